@@ -109,13 +109,21 @@ def norm_action(c) -> Column:
 
 def keep_first_distinct(arr) -> Column:
     """W6 on an array: drop blanks and repeats after normalization, keep first spelling (stripped)."""
-    a = col_of(arr)
-    normed = F.transform(a, lambda x: norm_action(x))
-    kept = F.filter(
-        F.transform(a, lambda x, i: F.struct(py_strip(x).alias("v"), F.element_at(normed, i + 1).alias("n"), i.alias("i"))),
-        lambda s: (s["n"] != "") & (F.array_position(normed, s["n"]) == s["i"] + 1),
+    # One fold; the normalized form of each item is computed once (a lambda
+    # that referenced the whole normalized array would recompute it per item).
+    items = F.transform(col_of(arr), lambda x: F.struct(norm_action(x).alias("n"), py_strip(x).alias("v")))
+    init = F.struct(
+        F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out")
     )
-    return F.transform(kept, lambda s: s["v"])
+
+    def step(acc, s):
+        new = (s["n"] != "") & ~F.array_contains(acc["seen"], s["n"])
+        return F.when(
+            new,
+            F.struct(F.concat(acc["seen"], F.array(s["n"])).alias("seen"), F.concat(acc["out"], F.array(s["v"])).alias("out")),
+        ).otherwise(acc)
+
+    return F.aggregate(items, init, step, lambda acc: acc["out"])
 
 
 def _is_container(v: Column, allow_object: bool = True) -> Column:

@@ -7,6 +7,8 @@ import importlib
 # Plan modules, each exposing QUERIES (name -> callable) and oracles().
 _MODULES = [
     "judging",
+    "guidelines",
+    "actions",
 ]
 
 
