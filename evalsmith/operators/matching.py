@@ -59,8 +59,15 @@ def keep_first_distinct_rows(df: DataFrame, keys: Sequence[str], idx: str = "idx
     return g.select(*keys, F.col("_first.i").alias(idx), F.col("_first.t").alias(text))
 
 
+def tokenize(items: DataFrame, text: str = "text", out: str = "tok") -> DataFrame:
+    """Add the distinct normalized token set of each item (computed once per
+    item, so pair predicates never re-run the regex per pair)."""
+    return items if out in items.columns else items.withColumn(out, tokens(text))
+
+
 def _tokenized(df: DataFrame, keys, id_col: str, text: str) -> DataFrame:
-    return df.select(*keys, F.col(id_col).alias("_id"), tokens(text).alias("_tok")).withColumn("_n", F.size("_tok")).filter(
+    tok = F.col("tok") if "tok" in df.columns else tokens(text)
+    return df.select(*keys, F.col(id_col).alias("_id"), tok.alias("_tok")).withColumn("_n", F.size("_tok")).filter(
         F.col("_n") > 0
     )
 
@@ -123,23 +130,30 @@ def overlap_candidates(
 def attach_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, keys, id_col: str = "idx", text: str = "text") -> DataFrame:
     """Bring the texts of both ends back to candidate pairs (two key joins)."""
     keys = list(keys)
-    l = left.select(*keys, F.col(id_col).alias("a"), F.col(text).alias("text_a"))
-    r = right.select(*keys, F.col(id_col).alias("b"), F.col(text).alias("text_b"))
+    lcols = [F.col(id_col).alias("a"), F.col(text).alias("text_a")] + ([F.col("tok").alias("tok_a")] if "tok" in left.columns else [])
+    rcols = [F.col(id_col).alias("b"), F.col(text).alias("text_b")] + ([F.col("tok").alias("tok_b")] if "tok" in right.columns else [])
+    l = left.select(*keys, *lcols)
+    r = right.select(*keys, *rcols)
     return pairs.join(l, [*keys, "a"]).join(r, [*keys, "b"])
 
 
 def token_pair_scores(pairs: DataFrame, a: str = "text_a", b: str = "text_b") -> DataFrame:
     """Built-in scorer on each pair: forward = coverage of b by a,
-    backward = coverage of a by b, score = min (F10), overlap (F9)."""
-    ta, tb = tokens(a), tokens(b)
+    backward = coverage of a by b, score = min (F10), overlap (F9).
+
+    Uses ``tok_a`` / ``tok_b`` when the pairs carry them (tokenize items
+    before pairing); otherwise tokenizes here."""
+    p = pairs
+    if "tok_a" not in p.columns:
+        p = p.withColumn("tok_a", tokens(a))
+    if "tok_b" not in p.columns:
+        p = p.withColumn("tok_b", tokens(b))
     return (
-        pairs.withColumn("_ta", ta)
-        .withColumn("_tb", tb)
-        .withColumn("forward", coverage("_ta", "_tb"))
-        .withColumn("backward", coverage("_tb", "_ta"))
-        .withColumn("score", bidirectional("_ta", "_tb"))
-        .withColumn("overlap", lexical_overlap("_ta", "_tb"))
-        .drop("_ta", "_tb")
+        p.withColumn("forward", coverage("tok_a", "tok_b"))
+        .withColumn("backward", coverage("tok_b", "tok_a"))
+        .withColumn("score", bidirectional("tok_a", "tok_b"))
+        .withColumn("overlap", lexical_overlap("tok_a", "tok_b"))
+        .drop("tok_a", "tok_b")
     )
 
 
@@ -325,15 +339,12 @@ def redundancy_edges(items: DataFrame, keys: Sequence[str], threshold: float, id
     t > 0.5 exactly overlap >= t * min, so candidates use tau = t."""
     keys = list(keys)
     tau = min(max(threshold, 1e-9), 1.0)
-    cand = overlap_candidates(items, None, keys, tau, idx, text)
-    pairs = attach_texts(cand, items, items, keys, idx, text).withColumnRenamed("text_a", "_ta_text").withColumnRenamed(
-        "text_b", "_tb_text"
-    )
-    ta, tb = tokens("_ta_text"), tokens("_tb_text")
-    scored = pairs.select(*keys, "a", "b", ta.alias("_ta"), tb.alias("_tb"))
-    fwd, bwd = coverage("_tb", "_ta"), coverage("_ta", "_tb")  # candidate b vs kept a
-    red = (F.least(fwd, bwd) >= threshold) | ((lexical_overlap("_ta", "_tb") >= 0.5) & (F.greatest(fwd, bwd) >= threshold))
-    return scored.filter(red).select(*keys, "a", "b")
+    tok = tokenize(items.select(*keys, idx, text), text)
+    cand = overlap_candidates(tok, None, keys, tau, idx, text)
+    pairs = attach_texts(cand, tok, tok, keys, idx, text)
+    fwd, bwd = coverage("tok_b", "tok_a"), coverage("tok_a", "tok_b")  # candidate b vs kept a
+    red = (F.least(fwd, bwd) >= threshold) | ((lexical_overlap("tok_a", "tok_b") >= 0.5) & (F.greatest(fwd, bwd) >= threshold))
+    return pairs.filter(red).select(*keys, "a", "b")
 
 
 def _lfmis_fold(edges: DataFrame, keys) -> DataFrame:

@@ -25,6 +25,7 @@ from ..operators.matching import (
     overlap_candidates,
     semantic_dedup,
     token_pair_scores,
+    tokenize,
 )
 from ..operators.metrics import action_summary, truncate_floats
 from ..session import table
@@ -64,8 +65,8 @@ def action_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exploded(cases: DataFrame):
-    gen = explode_actions(cases, KEYS, "generated_actions")
-    ref = explode_actions(cases, KEYS, "reference_actions")
+    gen = tokenize(explode_actions(cases, KEYS, "generated_actions"))
+    ref = tokenize(explode_actions(cases, KEYS, "reference_actions"))
     return gen, ref
 
 

@@ -9,6 +9,7 @@ _MODULES = [
     "judging",
     "guidelines",
     "actions",
+    "sessions",
 ]
 
 
