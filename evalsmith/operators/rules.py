@@ -270,6 +270,56 @@ def number_rules(raw: DataFrame, record: str, pos: str) -> DataFrame:
     return allr.withColumn("rule_id", rule_id_text(F.row_number().over(w2)))
 
 
+# Action phrasings that give a near miss away.
+HINTING_ACTION_PHRASES = ["as if", "as though"]
+DIFFICULTY_LEVELS = ["easy", "medium", "hard"]
+
+
+def _clean_list(arr: Column) -> Column:
+    return F.filter(F.transform(F.coalesce(arr, F.array()), lambda a: py_strip(a)), lambda a: a != "")
+
+
+def validate_near_misses(examples, rules) -> Column:
+    """F8 (near-miss form): per example strip strings, keep only cited ids
+    in the supplied rules (J4), drop blank actions and likely actions with
+    a hinting phrase, force DISCORDANT, difficulty in easy / medium / hard
+    else medium; examples with a blank vignette are dropped."""
+    valid = F.transform(F.coalesce(col_of(rules), F.array()), lambda r: r["rule_id"])
+
+    def one(e):
+        diff = F.lower(py_strip(F.coalesce(e["difficulty"], F.lit("medium"))))
+        likely = F.filter(
+            _clean_list(e["likely_but_incorrect_actions"]),
+            lambda a: ~F.exists(F.array(*[F.lit(p) for p in HINTING_ACTION_PHRASES]), lambda p: F.lower(a).contains(p)),
+        )
+        return F.struct(
+            py_strip(F.coalesce(e["patient_vignette"], F.lit(""))).alias("patient_vignette"),
+            F.filter(F.coalesce(e["invalidated_rule_ids"], F.array()), lambda x: F.array_contains(valid, x)).alias("invalidated_rule_ids"),
+            F.filter(F.coalesce(e["triggered_rule_ids"], F.array()), lambda x: F.array_contains(valid, x)).alias("triggered_rule_ids"),
+            py_strip(F.coalesce(e["deceptive_similarity"], F.lit(""))).alias("deceptive_similarity"),
+            likely.alias("likely_but_incorrect_actions"),
+            _clean_list(e["recommended_actions"]).alias("recommended_actions"),
+            py_strip(F.coalesce(e["corrected_assessment"], F.lit(""))).alias("corrected_assessment"),
+            py_strip(F.coalesce(e["rationale"], F.lit(""))).alias("rationale"),
+            F.lit("DISCORDANT").alias("true_guideline_concordance"),
+            F.when(diff.isin(*DIFFICULTY_LEVELS), diff).otherwise(F.lit("medium")).alias("difficulty"),
+        )
+
+    return F.filter(F.transform(F.coalesce(col_of(examples), F.array()), one), lambda x: x["patient_vignette"] != "")
+
+
+def validate_vignette(case, rules) -> Column:
+    """F8 (vignette form): strip, keep cited ids in the rules, drop blank actions."""
+    c = col_of(case)
+    valid = F.transform(F.coalesce(col_of(rules), F.array()), lambda r: r["rule_id"])
+    return F.struct(
+        py_strip(F.coalesce(c["patient_vignette"], F.lit(""))).alias("patient_vignette"),
+        F.filter(F.coalesce(c["triggered_rule_ids"], F.array()), lambda x: F.array_contains(valid, x)).alias("triggered_rule_ids"),
+        _clean_list(c["recommended_actions"]).alias("recommended_actions"),
+        py_strip(F.coalesce(c["rationale"], F.lit(""))).alias("rationale"),
+    )
+
+
 def cited_rules_array(ids, rules) -> Column:
     """Keep cited ids present in the supplied rules; order and repeats kept."""
     valid = F.transform(col_of(rules), lambda r: r["rule_id"])

@@ -10,6 +10,7 @@ _MODULES = [
     "guidelines",
     "actions",
     "sessions",
+    "decisions",
 ]
 
 
