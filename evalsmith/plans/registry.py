@@ -11,6 +11,7 @@ _MODULES = [
     "actions",
     "sessions",
     "decisions",
+    "terms",
 ]
 
 
