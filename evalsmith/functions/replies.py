@@ -89,10 +89,13 @@ def answer_sections(text) -> Column:
     t = F.coalesce(col_of(text), F.lit(""))
     labels = F.regexp_extract_all(t, F.lit(pat), 1)
     bodies = F.regexp_extract_all(t, F.lit(pat), 2)
-    pairs = F.arrays_zip(labels.alias("l"), bodies.alias("b"))
+    pairs = F.zip_with(labels, bodies, lambda l, b: F.struct(l.alias("l"), b.alias("b")))
     fields = []
+    def label_is(name):
+        return lambda p: py_strip(p["l"]) == name
+
     for name in ANSWER_SECTION_LABELS:
-        hits = F.filter(pairs, lambda p, name=name: py_strip(p["l"]) == name)
+        hits = F.filter(pairs, label_is(name))
         last = F.when(F.size(hits) > 0, py_strip(F.element_at(hits, -1)["b"])).otherwise(F.lit(""))
         fields.append(last.alias(name.lower().replace(" ", "_")))
     return F.struct(*fields)

@@ -12,6 +12,7 @@ _MODULES = [
     "sessions",
     "decisions",
     "terms",
+    "generation",
 ]
 
 
