@@ -143,16 +143,15 @@ def json_payload(text) -> Column:
     Parsed with ``try_parse_json`` (strict JSON, like Python's json module).
     """
     t = py_strip(F.coalesce(col_of(text), F.lit("")))
-    whole = F.try_parse_json(t)
+    # A candidate that starts with '{' / '[' and parses is an object / array,
+    # so the container test needs no walk over the parsed value.
+    starts_container = t.startswith("{") | t.startswith("[")
+    whole = F.when(starts_container, F.try_parse_json(t))
     o1, o2 = F.instr(t, "{"), _last_index(t, "}")
     braces = F.when((o1 > 0) & (o2 > o1), F.try_parse_json(F.substring(t, o1, o2 - o1 + 1)))
     l1, l2 = F.instr(t, "["), _last_index(t, "]")
     brackets = F.when((l1 > 0) & (l2 > l1), F.try_parse_json(F.substring(t, l1, l2 - l1 + 1)))
-    return (
-        F.when(_is_container(whole), whole)
-        .when(_is_container(braces), braces)
-        .when(_is_container(brackets, allow_object=False), brackets)
-    )
+    return F.coalesce(whole, braces, brackets)
 
 
 def _last_index(t: Column, ch: str) -> Column:
@@ -173,11 +172,13 @@ def _variant_items(v: Column) -> Column:
 
 def _payload_actions(payload: Column) -> Column:
     """(decided, actions) from a JSON payload, following the key order."""
-    is_arr = F.upper(F.substring(F.schema_of_variant(payload), 1, 5)) == "ARRAY"
+    is_arr = F.try_variant_get(payload, "$", "array<variant>").isNotNull()
     result = None
     for key in reversed(ACTION_LIST_KEYS):
         val = F.try_variant_get(payload, f"$.{key}", "variant")
-        kind = F.upper(F.substring(F.schema_of_variant(val), 1, 5))
+        is_list = F.try_variant_get(val, "$", "array<variant>").isNotNull()
+        # only a JSON string counts as one action (not a number or object)
+        is_text = F.coalesce(F.schema_of_variant(val) == "STRING", F.lit(False))
         as_str = py_strip(F.try_variant_get(val, "$", "string"))
         list_branch = F.struct(F.lit(True).alias("decided"), _variant_items(val).alias("actions"))
         str_branch = F.struct(F.lit(True).alias("decided"), F.array(as_str).alias("actions"))
@@ -185,8 +186,8 @@ def _payload_actions(payload: Column) -> Column:
             F.lit(False).alias("decided"), F.array().cast("array<string>").alias("actions")
         )
         result = (
-            F.when(val.isNotNull() & (kind == "ARRAY"), list_branch)
-            .when(val.isNotNull() & (kind != "OBJEC") & as_str.isNotNull() & (as_str != ""), str_branch)
+            F.when(val.isNotNull() & is_list, list_branch)
+            .when(val.isNotNull() & is_text & (as_str != ""), str_branch)
             .otherwise(nxt)
         )
     arr_branch = F.struct(F.lit(True).alias("decided"), _variant_items(payload).alias("actions"))
@@ -216,6 +217,17 @@ def action_lines(text) -> Column:
     return F.filter(cleaned, lambda s: (s != "") & ~s.isin("[", "]", "{", "}"))
 
 
+def parse_action_replies(df, reply: str, out: str = "actions", legacy_empty_list: bool = False):
+    """F5 as a DataFrame operator: the JSON payload and the key lookup are
+    staged as columns so each reply is parsed once (an expression used in
+    several branches would be re-evaluated per branch)."""
+    staged = df.withColumn("_payload", json_payload(F.col(reply)))
+    staged = staged.withColumn("_parsed", _payload_actions(F.col("_payload")))
+    use = F.size(F.col("_parsed.actions")) > 0 if legacy_empty_list else F.col("_parsed.decided")
+    res = F.when(use, keep_first_distinct(F.col("_parsed.actions"))).otherwise(keep_first_distinct(action_lines(F.col(reply))))
+    return staged.withColumn(out, res).drop("_payload", "_parsed")
+
+
 def parse_action_reply(text, legacy_empty_list: bool = False) -> Column:
     """reply text to a de-duplicated action list.
 

@@ -339,7 +339,9 @@ def redundancy_edges(items: DataFrame, keys: Sequence[str], threshold: float, id
     t > 0.5 exactly overlap >= t * min, so candidates use tau = t."""
     keys = list(keys)
     tau = min(max(threshold, 1e-9), 1.0)
-    tok = tokenize(items.select(*keys, idx, text), text)
+    # tokenized once and materialized: it feeds the token index, the probe
+    # prefixes and both text lookups
+    tok = _ckpt(tokenize(items.select(*keys, idx, text), text))
     cand = overlap_candidates(tok, None, keys, tau, idx, text)
     pairs = attach_texts(cand, tok, tok, keys, idx, text)
     fwd, bwd = coverage("tok_b", "tok_a"), coverage("tok_a", "tok_b")  # candidate b vs kept a

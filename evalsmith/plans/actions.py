@@ -28,7 +28,7 @@ from ..operators.matching import (
     tokenize,
 )
 from ..operators.metrics import action_summary, truncate_floats
-from ..session import table
+from ..session import materialize, table
 from .common import explode_judges, hex_digit, key_text
 
 THRESHOLD = 0.5
@@ -65,8 +65,10 @@ def action_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exploded(cases: DataFrame):
-    gen = tokenize(explode_actions(cases, KEYS, "generated_actions"))
-    ref = tokenize(explode_actions(cases, KEYS, "reference_actions"))
+    """Exploded, tokenized action lists, materialized once: each side feeds
+    the token index, the probe prefixes and the text lookups."""
+    gen = materialize(tokenize(explode_actions(cases, KEYS, "generated_actions")))
+    ref = materialize(tokenize(explode_actions(cases, KEYS, "reference_actions")))
     return gen, ref
 
 
@@ -91,7 +93,7 @@ def bidirectional_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = action_cases(spark, sf_dir)
+    cases = materialize(action_cases(spark, sf_dir))
     gen, ref = _exploded(cases)
     cand = overlap_candidates(gen, ref, KEYS, THRESHOLD)
     scored = token_pair_scores(attach_texts(cand, gen, ref, KEYS)).withColumnsRenamed({"a": "g", "b": "r"})

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.replies import answer_sections, fooled, option_vote, parse_action_reply, qa_reply_label
+from ..functions.replies import answer_sections, fooled, option_vote, parse_action_replies, qa_reply_label
 from ..functions.similarity import coverage, cosine
 from ..functions.text import tokens
 from ..operators.generation import (
@@ -228,9 +228,8 @@ def action_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_action_replies_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = action_replies(spark, sf_dir)
-    acts = parse_action_reply(F.col("reply"))
-    return r.select("case_id", "shape", F.array_join(acts, " | ").alias("actions_text"), F.size(acts).alias("n_actions"))
+    r = parse_action_replies(action_replies(spark, sf_dir), "reply", "acts")
+    return r.select("case_id", "shape", F.array_join("acts", " | ").alias("actions_text"), F.size("acts").alias("n_actions"))
 
 
 QUERIES = {

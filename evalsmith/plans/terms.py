@@ -21,7 +21,7 @@ from ..operators.terms import (
     term_frequency,
     value_counts,
 )
-from ..session import table
+from ..session import materialize, table
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +41,16 @@ def vocabulary_descriptors(terms: DataFrame) -> DataFrame:
 
 
 def term_category_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = doc_terms(spark, sf_dir)
+    # the (doc, term) table feeds the vocabulary, the frequencies and the
+    # lookup: extract it from the texts once
+    terms = materialize(doc_terms(spark, sf_dir))
     cats = descriptor_categories(vocabulary_descriptors(terms))
     weights = term_frequency(terms)
     return lookup_category(terms, cats).join(weights.select("term", "weight"), "term")
 
 
 def term_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = term_category_rows(spark, sf_dir)
+    rows = materialize(term_category_rows(spark, sf_dir))
     by_w = category_by_weight(rows, ["doc_id"])
     by_n = category_by_count(rows, ["doc_id"])
     n = rows.groupBy("doc_id").agg(F.count("*").alias("n_terms"))

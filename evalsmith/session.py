@@ -56,5 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where a derived table feeds several branches of one plan (it would
+    otherwise be recomputed per branch) and to cut long lineages; reliable
+    storage, so a lost executor never forces a recompute from the source.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
