@@ -56,6 +56,12 @@ def score_batches(
     return src.mapInPandas(run, schema)
 
 
+def attach_responses(cases: DataFrame, responses: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Replies to cases by key, never by position; ``how="left"``
+    surfaces cases whose reply is missing (null ``raw_output``)."""
+    return cases.join(responses, keys, how)
+
+
 def refine_rounds(
     items: DataFrame,
     key: str,

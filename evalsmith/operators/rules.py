@@ -320,6 +320,20 @@ def validate_vignette(case, rules) -> Column:
     )
 
 
+def explode_rules(records: DataFrame, rules: str = "rules", keys=("record_index",)) -> DataFrame:
+    """One row per rule with its position; records without rules keep
+    one row with null rule fields (``posexplode_outer``)."""
+    return records.select(*keys, F.posexplode_outer(F.col(rules)).alias("rule_pos", "rule")).select(
+        *keys, "rule_pos", "rule.*"
+    )
+
+
+def extraction_method_counts(specs: DataFrame, method: str = "rule_spec.engine_metadata.extraction_method") -> DataFrame:
+    """How many records each extraction method produced (``llm``,
+    ``llm_no_valid_rules``, ``llm_failed``); one algebraic count."""
+    return specs.groupBy(F.col(method).alias("extraction_method")).agg(F.count("*").alias("count"))
+
+
 def cited_rules_array(ids, rules) -> Column:
     """Keep cited ids present in the supplied rules; order and repeats kept."""
     valid = F.transform(col_of(rules), lambda r: r["rule_id"])
