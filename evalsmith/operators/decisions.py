@@ -116,10 +116,17 @@ def decide(patients: DataFrame, rules=PET_RULES, policy: str = "specificity") ->
     then both wrappers. ``policy`` settles Q9: ``specificity`` (default,
     so the exceptions R03 / R08 override R02 / R07) or ``priority``.
     """
-    missing = missing_required()
-    decisions = fire_rules(rules, "DECISION")
-    modifiers = fire_rules(rules, "MODIFIER")
-    win = _winner(decisions, policy)
+    # Staged as columns so the rule arrays are evaluated once per row (an
+    # array expression referenced from several CASE branches is otherwise
+    # re-evaluated per branch).
+    patients = patients.withColumns(
+        {
+            "_missing": missing_required(),
+            "_decisions": fire_rules(rules, "DECISION"),
+            "_modifiers": fire_rules(rules, "MODIFIER"),
+        }
+    ).withColumn("_win", _winner(F.col("_decisions"), policy))
+    missing, decisions, modifiers, win = F.col("_missing"), F.col("_decisions"), F.col("_modifiers"), F.col("_win")
     gated = F.size(missing) > 0
     wrappers = F.array(*[F.lit(r) for r in WRAPPER_RULE_IDS])
     activated = F.when(gated, F.concat(F.array(F.lit(GATE_RULE)), wrappers)).otherwise(
@@ -135,8 +142,9 @@ def decide(patients: DataFrame, rules=PET_RULES, policy: str = "specificity") ->
     rationale = F.when(gated, F.concat(F.lit("Request missing fields: "), F.array_join(missing, ", "))).when(
         F.size(decisions) == 0, F.lit("No decision rule fired")
     ).otherwise(win["execute"])
+    keep = [c for c in patients.columns if not c.startswith("_")]
     return patients.select(
-        "*",
+        *keep,
         rec.alias("recommendation_class"),
         F.when(gated | (F.size(decisions) == 0), F.lit(None).cast("string")).otherwise(win["rule_id"]).alias("winning_rule"),
         activated.alias("activated_rules"),

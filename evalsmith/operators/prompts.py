@@ -33,6 +33,19 @@ GENERATION_TEMPLATE = (
     "#Question#: {question}\n\n#Knowledge#: {knowledge}\n\n#Ground truth answer#: {ground_truth}\n\n"
     "Return exactly:\n#Hallucinated Answer#: <answer>\n#Justification of Hallucinated answer#: <rationale>"
 )
+# JSON-payload prompts: pass ``payload=F.to_json(F.struct(...))`` to render.
+RULE_EXTRACTION_TEMPLATE = (
+    "Turn the guideline text into rules. Return one JSON object with a \"rules\" list; each rule has "
+    "scenario, activation_condition, recommendation_class, execute, source_statement.\n\nInput:\n{payload}"
+)
+VIGNETTE_TEMPLATE = (
+    "Write one patient vignette that the listed rules apply to. Return JSON with patient_vignette, "
+    "triggered_rule_ids, recommended_actions, rationale.\n\nInput:\n{payload}"
+)
+NEAR_MISS_TEMPLATE = (
+    "Write near-miss variants of the case that look like it but should not trigger the cited rules. "
+    "Return JSON with an \"examples\" list.\n\nInput:\n{payload}"
+)
 OPTION_JUDGE_TEMPLATE = (
     "Question: {question}\nOption 1: {option_1}\nOption 2: {option_2}\n\nWhich option is correct? Reply Option 1 or Option 2."
 )

@@ -41,11 +41,9 @@ UNKNOWN_WEIGHTED = "Unknown"
 
 
 def category_of_letter(letter) -> Column:
-    out = F.lit(UNKNOWN_CATEGORY)
-    l = col_of(letter)
-    for k, v in reversed(BROAD_CATEGORIES):
-        out = F.when(l == k, F.lit(v)).otherwise(out)
-    return out
+    """Broad category name of a tree-number letter (one map lookup)."""
+    m = F.create_map(*[F.lit(x) for kv in BROAD_CATEGORIES for x in kv])
+    return F.coalesce(F.element_at(m, col_of(letter)), F.lit(UNKNOWN_CATEGORY))
 
 
 def extract_mesh_terms(context) -> Column:
@@ -79,13 +77,31 @@ def descriptor_categories(descriptors: DataFrame, name: str = "name", tree_numbe
     most common first letter of its tree numbers (ties: first met), mapped to
     a broad category; no tree numbers -> Unknown Category."""
     first = descriptors.groupBy(name).agg(F.min_by(F.col(tree_numbers), F.col(order)).alias("_tn"))
-    ex = first.select(name, F.posexplode_outer("_tn").alias("_p", "_t"))
-    letters = ex.withColumn("_l", F.when(F.coalesce(F.col("_t"), F.lit("")) != "", F.substring("_t", 1, 1)))
-    per_letter = letters.groupBy(name, "_l").agg(F.count("_t").alias("_n"), F.min("_p").alias("_fp"))
-    best = per_letter.groupBy(name).agg(
-        F.max_by(F.col("_l"), F.when(F.col("_l").isNotNull(), F.struct(F.col("_n"), -F.col("_fp")))).alias("_letter")
+    # the letter is staged as a column so the array scan runs once per name
+    letters = first.select(name, most_common_letter(F.col("_tn")).alias("_letter"))
+    return letters.select(
+        name, F.when(F.col("_letter").isNull(), F.lit(UNKNOWN_CATEGORY)).otherwise(category_of_letter("_letter")).alias("category")
     )
-    return best.select(name, F.when(F.col("_letter").isNull(), F.lit(UNKNOWN_CATEGORY)).otherwise(category_of_letter("_letter")).alias("category"))
+
+
+def most_common_letter(tree_numbers) -> Column:
+    """A9 on one descriptor's tree-number list (bounded by the record): the
+    most common first letter, ties to the one met first; null if none."""
+    letters = F.filter(
+        F.transform(F.coalesce(col_of(tree_numbers), F.array()), lambda t: F.substring(t, 1, 1)), lambda l: l != ""
+    )
+    scored = F.transform(
+        F.array_distinct(letters),
+        lambda l: F.struct(
+            F.size(F.filter(letters, lambda x: x == l)).alias("n"), (-F.array_position(letters, l)).alias("fp"), l.alias("l")
+        ),
+    )
+    return F.array_max(scored)["l"]
+
+
+def category_of_tree_numbers(tree_numbers) -> Column:
+    letter = most_common_letter(tree_numbers)
+    return F.when(letter.isNull(), F.lit(UNKNOWN_CATEGORY)).otherwise(category_of_letter(letter))
 
 
 def lookup_category(terms: DataFrame, categories: DataFrame, term: str = "term", name: str = "name") -> DataFrame:
@@ -140,6 +156,31 @@ def category_by_count(cats: DataFrame, keys: Sequence[str], category: str = "cat
     )
 
 
+def category_winners(rows: DataFrame, keys: Sequence[str], category: str = "category", weight: str = "weight", pos: str = "pos") -> DataFrame:
+    """A7 + A8 + term count from one (row, category) aggregation and one
+    per-row aggregation (both algebraic): the fused form of
+    ``category_by_weight`` and ``category_by_count``."""
+    keys = list(keys)
+    per = rows.groupBy(*keys, category).agg(
+        F.round(F.sum(weight), 12).alias("_w"), F.count("*").alias("_n"), F.min(pos).alias("_fp")
+    )
+    known = F.col(category) != UNKNOWN_CATEGORY
+    top = per.groupBy(*keys).agg(
+        F.max_by(F.col(category), F.struct(F.col("_w"), -F.col("_fp"))).alias("weighted_category"),
+        F.max_by(F.col(category), F.struct(F.col("_n"), -F.col("_fp"))).alias("_top"),
+        F.max_by(F.col(category), F.when(known, F.struct(F.col("_n"), -F.col("_fp")))).alias("_known"),
+        F.sum("_n").alias("n_terms"),
+    )
+    return top.select(
+        *keys,
+        "n_terms",
+        "weighted_category",
+        F.when((F.col("_top") == UNKNOWN_CATEGORY) & F.col("_known").isNotNull(), F.col("_known"))
+        .otherwise(F.col("_top"))
+        .alias("frequent_category"),
+    )
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Distribution of a column, most frequent first."""
     return df.groupBy(col).agg(F.count("*").alias("count")).orderBy(F.desc("count"), F.col(col))

@@ -14,8 +14,7 @@ from ..operators.terms import (
     BROAD_CATEGORIES,
     UNKNOWN_CATEGORY,
     UNKNOWN_WEIGHTED,
-    category_by_count,
-    category_by_weight,
+    category_winners,
     descriptor_categories,
     lookup_category,
     term_frequency,
@@ -41,24 +40,22 @@ def vocabulary_descriptors(terms: DataFrame) -> DataFrame:
 
 
 def term_category_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the (doc, term) table feeds the vocabulary, the frequencies and the
-    # lookup: extract it from the texts once
+    """(doc, pos, term, weight, category): the per-term facts (frequency,
+    weight, descriptor category) are gathered in one term-keyed table first,
+    so the large (doc, term) table is joined once."""
+    # the (doc, term) table feeds the vocabulary and the join: extract once
     terms = materialize(doc_terms(spark, sf_dir))
-    cats = descriptor_categories(vocabulary_descriptors(terms))
-    weights = term_frequency(terms)
-    return lookup_category(terms, cats).join(weights.select("term", "weight"), "term")
+    freq = term_frequency(terms)  # A5 + A6, one algebraic aggregation
+    cats = descriptor_categories(vocabulary_descriptors(freq.select("term")))  # A9, per term
+    info = lookup_category(freq.select("term", "weight"), cats)  # J2 on the vocabulary
+    return terms.join(info, "term")
 
 
 def term_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(term_category_rows(spark, sf_dir))
-    by_w = category_by_weight(rows, ["doc_id"])
-    by_n = category_by_count(rows, ["doc_id"])
-    n = rows.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
+    winners = category_winners(term_category_rows(spark, sf_dir), ["doc_id"])  # A7 + A8
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return (
-        docs.join(n, "doc_id", "left")
-        .join(by_w, "doc_id", "left")
-        .join(by_n, "doc_id", "left")
+        docs.join(winners, "doc_id", "left")
         .select(
             "doc_id",
             F.coalesce(F.col("n_terms"), F.lit(0)).alias("n_terms"),
