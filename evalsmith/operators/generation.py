@@ -89,7 +89,8 @@ def final_answer(
 def pending(inputs: DataFrame, done: DataFrame, key) -> DataFrame:
     """Items not yet done (left anti join on the key)."""
     keys = [key] if isinstance(key, str) else list(key)
-    return inputs.join(done.select(*keys).distinct(), keys, "left_anti")
+    # an anti join already ignores repeated keys: no distinct (and no extra shuffle)
+    return inputs.join(done.select(*keys), keys, "left_anti")
 
 
 def widen_attempts(
