@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from ..session import materialize
 
 # ---------------------------------------------------------------------------
 # Log markers and question patterns of the optimizer logs.
@@ -88,8 +89,12 @@ def sessionize_steps(
         raise ValueError("n must be >= 1")
     msg = py_strip(F.coalesce(F.col(message), F.lit("")))
     val = py_strip(F.col(payload))
-    lines = log.select(part, order, msg.alias("_msg"), F.when(val != "", val).alias("_val"))
+    # The line table is read by the chunk counts, the window and (after step
+    # numbering) by both the close lookup and the field aggregation: it is
+    # materialized at those two points instead of being recomputed per branch.
+    lines = materialize(log.select(part, order, msg.alias("_msg"), F.when(val != "", val).alias("_val")))
     lines = running_count(lines, part, order, F.col("_msg") == start, "_step", chunk_width).filter(F.col("_step") > 0)
+    lines = materialize(lines)
     closes = lines.filter(F.col("_msg") == close).groupBy(part, "_step").agg(F.min(order).alias("_close"))
     inside = lines.join(closes, [part, "_step"]).filter(F.col(order) <= F.col("_close"))
 
@@ -107,7 +112,7 @@ def sessionize_steps(
     for f in STEP_FIELDS:
         if f not in steps.columns:
             steps = steps.withColumn(f, F.lit(None).cast("string"))
-    steps = running_count(steps, part, "_step", F.lit(1), "step_no", chunk_width)
+    steps = running_count(materialize(steps), part, "_step", F.lit(1), "step_no", chunk_width)
     return steps.select(
         part,
         "step_no",
