@@ -19,6 +19,22 @@ from ..session import ensure_checkpoint_dir
 from .generation import any_fooled, difficulty_from_votes, pending
 
 
+def _ship_package_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers run the
+    batch functions without the package installed on the executors."""
+    try:
+        import importlib
+
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(importlib.import_module(__name__.split(".")[0]))
+    except Exception:  # noqa: BLE001 - older cloudpickle: ship with --py-files
+        pass
+
+
+_ship_package_by_value()
+
+
 def score_batches(
     df: DataFrame,
     fn: Callable[[pd.DataFrame], pd.Series],
