@@ -127,11 +127,19 @@ def overlap_candidates(
     return c1.select(*keys, "a", "b").unionByName(c2.select(*keys, "a", "b")).distinct()
 
 
-def attach_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, keys, id_col: str = "idx", text: str = "text") -> DataFrame:
-    """Bring the texts of both ends back to candidate pairs (two key joins)."""
+def attach_texts(
+    pairs: DataFrame, left: DataFrame, right: DataFrame, keys, id_col: str = "idx", text: str = "text", with_text: bool = True
+) -> DataFrame:
+    """Bring the token sets (and texts, unless ``with_text=False``) of both
+    ends back to candidate pairs (two key joins)."""
     keys = list(keys)
-    lcols = [F.col(id_col).alias("a"), F.col(text).alias("text_a")] + ([F.col("tok").alias("tok_a")] if "tok" in left.columns else [])
-    rcols = [F.col(id_col).alias("b"), F.col(text).alias("text_b")] + ([F.col("tok").alias("tok_b")] if "tok" in right.columns else [])
+    has_tok_l, has_tok_r = "tok" in left.columns, "tok" in right.columns
+    lcols = [F.col(id_col).alias("a")] + ([F.col(text).alias("text_a")] if with_text or not has_tok_l else []) + (
+        [F.col("tok").alias("tok_a")] if has_tok_l else []
+    )
+    rcols = [F.col(id_col).alias("b")] + ([F.col(text).alias("text_b")] if with_text or not has_tok_r else []) + (
+        [F.col("tok").alias("tok_b")] if has_tok_r else []
+    )
     l = left.select(*keys, *lcols)
     r = right.select(*keys, *rcols)
     return pairs.join(l, [*keys, "a"]).join(r, [*keys, "b"])
@@ -255,13 +263,14 @@ def greedy_match(
     if fold_cap is None:
         return _greedy_fold(e, keys).withColumnsRenamed({"g": g, "r": r, "score": score})
     e = _ckpt(e)
-    sizes = e.groupBy(*keys).agg(F.count("*").alias("_m"))
-    big_keys = sizes.filter(F.col("_m") > fold_cap).select(*keys)
-    small = e.join(big_keys, keys, "left_anti")
-    big = e.join(big_keys, keys, "left_semi")
-    out = _greedy_fold(small, keys)
-    if not big_keys.isEmpty():
-        out = out.unionByName(_greedy_rounds(big, keys))
+    big_keys = e.groupBy(*keys).agg(F.count("*").alias("_m")).filter(F.col("_m") > fold_cap).select(*keys)
+    if big_keys.isEmpty():
+        out = _greedy_fold(e, keys)
+    else:
+        big_keys = _ckpt(big_keys)
+        out = _greedy_fold(e.join(big_keys, keys, "left_anti"), keys).unionByName(
+            _greedy_rounds(e.join(big_keys, keys, "left_semi"), keys)
+        )
     return out.withColumnsRenamed({"g": g, "r": r, "score": score})
 
 
@@ -343,7 +352,7 @@ def redundancy_edges(items: DataFrame, keys: Sequence[str], threshold: float, id
     # prefixes and both text lookups
     tok = _ckpt(tokenize(items.select(*keys, idx, text), text))
     cand = overlap_candidates(tok, None, keys, tau, idx, text)
-    pairs = attach_texts(cand, tok, tok, keys, idx, text)
+    pairs = attach_texts(cand, tok, tok, keys, idx, text, with_text=False)
     fwd, bwd = coverage("tok_b", "tok_a"), coverage("tok_a", "tok_b")  # candidate b vs kept a
     red = (F.least(fwd, bwd) >= threshold) | ((lexical_overlap("tok_a", "tok_b") >= 0.5) & (F.greatest(fwd, bwd) >= threshold))
     return pairs.filter(red).select(*keys, "a", "b")
@@ -419,11 +428,14 @@ def semantic_dedup(
         removed = _lfmis_fold(e, keys)
     else:
         e = _ckpt(e)
-        sizes = e.groupBy(*keys).agg(F.count("*").alias("_m"))
-        big_keys = sizes.filter(F.col("_m") > fold_cap).select(*keys)
-        removed = _lfmis_fold(e.join(big_keys, keys, "left_anti"), keys)
-        if not big_keys.isEmpty():
-            removed = removed.unionByName(_lfmis_rounds(e.join(big_keys, keys, "left_semi"), keys))
+        big_keys = e.groupBy(*keys).agg(F.count("*").alias("_m")).filter(F.col("_m") > fold_cap).select(*keys)
+        if big_keys.isEmpty():
+            removed = _lfmis_fold(e, keys)
+        else:
+            big_keys = _ckpt(big_keys)
+            removed = _lfmis_fold(e.join(big_keys, keys, "left_anti"), keys).unionByName(
+                _lfmis_rounds(e.join(big_keys, keys, "left_semi"), keys)
+            )
     flagged = removed.select(*keys, F.col("idx").alias(idx), F.lit(True).alias("_rm"))
     return items.join(flagged, [*keys, idx], "left").withColumn(
         "status", F.when(F.col("_rm"), "removed").otherwise("kept")

@@ -76,7 +76,7 @@ def scored_pairs(spark: SparkSession, sf_dir: str, tau: float = THRESHOLD) -> Da
     """Candidate (generated, reference) pairs with both direction scores."""
     gen, ref = _exploded(action_cases(spark, sf_dir))
     cand = overlap_candidates(gen, ref, KEYS, tau)
-    return token_pair_scores(attach_texts(cand, gen, ref, KEYS)).withColumnsRenamed({"a": "g", "b": "r"})
+    return token_pair_scores(attach_texts(cand, gen, ref, KEYS, with_text=False)).withColumnsRenamed({"a": "g", "b": "r"})
 
 
 def action_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = materialize(action_cases(spark, sf_dir))
     gen, ref = _exploded(cases)
     cand = overlap_candidates(gen, ref, KEYS, THRESHOLD)
-    scored = token_pair_scores(attach_texts(cand, gen, ref, KEYS)).withColumnsRenamed({"a": "g", "b": "r"})
+    scored = token_pair_scores(attach_texts(cand, gen, ref, KEYS, with_text=False)).withColumnsRenamed({"a": "g", "b": "r"})
     matched = greedy_match(scored, KEYS, THRESHOLD)
     return match_metrics(cases, matched, KEYS)
 
