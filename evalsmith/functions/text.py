@@ -33,7 +33,7 @@ def first_nonblank(*cols) -> Column:
 
 def normalize_ws(c) -> Column:
     """CRLF to LF, runs of space / tab to one space, 3+ newlines to 2, strip."""
-    x = F.regexp_replace(col_of(c), r"\r\n?", "\n")
+    x = F.replace(col_of(c), F.lit("\r\n"), F.lit("\n"))
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")
     return py_strip(x)
