@@ -93,15 +93,23 @@ def overlap_candidates(
     tau: float,
     id_col: str = "idx",
     text: str = "text",
+    mode: str = "min",
 ) -> DataFrame:
     """Exact candidate pairs ``(keys, a, b)`` inside each case.
 
-    Every pair whose distinct-token overlap is at least ``tau`` times the
-    smaller token set is returned (plus some that are not). ``right=None``
-    gives unordered self pairs with ``a < b``.
+    ``mode="min"``: every pair whose distinct-token overlap is at least
+    ``tau`` times the SMALLER token set (overlap coefficient, F9, T3); the
+    smaller item's prefix probes the other's full token index.
+    ``mode="max"``: every pair whose overlap is at least ``tau`` times the
+    LARGER set (the two-way token score, F10 / T2); then both prefixes must
+    share a token and the sizes are within a factor ``tau``, so prefixes join
+    prefixes. Either way some extra pairs may come back; none is missed.
+    ``right=None`` gives unordered self pairs with ``a < b``.
     """
     if not 0 < tau <= 1:
         raise ValueError("tau must be in (0, 1]")
+    if mode not in ("min", "max"):
+        raise ValueError("mode must be 'min' or 'max'")
     keys = list(keys)
     lt = _tokenized(left, keys, id_col, text)
     rt = lt if right is None else _tokenized(right, keys, id_col, text)
@@ -110,6 +118,17 @@ def overlap_candidates(
         toks = toks.unionByName(rt.select(F.explode("_tok").alias("_token")))
     freq = toks.groupBy("_token").agg(F.count("*").alias("_df"))
     lp, li = _probe_and_index(lt, keys, tau, freq)
+    if mode == "max":
+        rp = lp if right is None else _probe_and_index(rt, keys, tau, freq)[0]
+        a = lp.select(*keys, "_token", F.col("_id").alias("a"), F.col("_n").alias("_an"))
+        b = rp.select(*keys, "_token", F.col("_id").alias("b"), F.col("_n").alias("_bn"))
+        eps = F.lit(1e-9)
+        c = a.join(b, [*keys, "_token"]).filter(
+            (F.col("_an") >= F.col("_bn") * tau - eps) & (F.col("_bn") >= F.col("_an") * tau - eps)
+        )
+        if right is None:
+            c = c.filter(F.col("a") < F.col("b"))
+        return c.select(*keys, "a", "b").distinct()
     if right is None:
         p = lp.select(*keys, "_token", F.col("_id").alias("_p"), F.col("_n").alias("_pn"))
         i = li.select(*keys, "_token", F.col("_id").alias("_i"), F.col("_n").alias("_in"))

@@ -72,22 +72,25 @@ def _exploded(cases: DataFrame):
     return gen, ref
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, tau: float = THRESHOLD) -> DataFrame:
-    """Candidate (generated, reference) pairs with both direction scores."""
+def scored_pairs(spark: SparkSession, sf_dir: str, tau: float = THRESHOLD, mode: str = "max") -> DataFrame:
+    """Candidate (generated, reference) pairs with both direction scores.
+
+    ``mode="max"`` finds every pair whose two-way score can reach ``tau``;
+    ``mode="min"`` every pair whose lexical overlap can."""
     gen, ref = _exploded(action_cases(spark, sf_dir))
-    cand = overlap_candidates(gen, ref, KEYS, tau)
+    cand = overlap_candidates(gen, ref, KEYS, tau, mode=mode)
     return token_pair_scores(attach_texts(cand, gen, ref, KEYS, with_text=False)).withColumnsRenamed({"a": "g", "b": "r"})
 
 
 def action_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + F9: within-case pairs whose lexical overlap reaches 0.5."""
-    p = scored_pairs(spark, sf_dir).filter(F.col("overlap") >= THRESHOLD)
+    p = scored_pairs(spark, sf_dir, mode="min").filter(F.col("overlap") >= THRESHOLD)
     return truncate_floats(p.select(*KEYS, "g", "r", "overlap"), 6)
 
 
 def bidirectional_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10 + J7: pairs whose two-way score reaches the threshold, labelled."""
-    p = scored_pairs(spark, sf_dir).filter(F.col("score") >= THRESHOLD)
+    p = scored_pairs(spark, sf_dir, mode="max").filter(F.col("score") >= THRESHOLD)
     out = p.select(*KEYS, "g", "r", "forward", "backward", "score", similarity_label("score", THRESHOLD).alias("label"))
     return truncate_floats(out, 6)
 
@@ -95,7 +98,7 @@ def bidirectional_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = materialize(action_cases(spark, sf_dir))
     gen, ref = _exploded(cases)
-    cand = overlap_candidates(gen, ref, KEYS, THRESHOLD)
+    cand = overlap_candidates(gen, ref, KEYS, THRESHOLD, mode="max")  # the match score is two-way
     scored = token_pair_scores(attach_texts(cand, gen, ref, KEYS, with_text=False)).withColumnsRenamed({"a": "g", "b": "r"})
     matched = greedy_match(scored, KEYS, THRESHOLD)
     return match_metrics(cases, matched, KEYS)

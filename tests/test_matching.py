@@ -117,15 +117,24 @@ def test_overlap_candidates_exact(spark):
             b_rows.append((f"c{c}", i, " ".join(rng.sample(vocab, rng.randint(1, 6)))))
     a = spark.createDataFrame(a_rows, "case_id string, idx int, text string")
     b = spark.createDataFrame(b_rows, "case_id string, idx int, text string")
-    for tau in (0.3, 0.5, 0.8):
-        got = {(r[0], r[1], r[2]) for r in overlap_candidates(tokenize(a), tokenize(b), ["case_id"], tau).collect()}
-        for ca, ia, ta in a_rows:
-            for cb, ib, tb in b_rows:
-                if ca != cb:
-                    continue
+    for mode, norm in (("min", min), ("max", max)):
+        for tau in (0.3, 0.5, 0.8):
+            got = {(r[0], r[1], r[2]) for r in overlap_candidates(tokenize(a), tokenize(b), ["case_id"], tau, mode=mode).collect()}
+            for ca, ia, ta in a_rows:
+                for cb, ib, tb in b_rows:
+                    if ca != cb:
+                        continue
+                    x, y = _toks(ta), _toks(tb)
+                    if x and y and len(x & y) >= tau * norm(len(x), len(y)) - 1e-12:
+                        assert (ca, ia, ib) in got, (mode, tau, ta, tb)
+    # self pairs in max mode
+    got = {(r[0], r[1], r[2]) for r in overlap_candidates(tokenize(a), None, ["case_id"], 0.5, mode="max").collect()}
+    for ca, ia, ta in a_rows:
+        for cb, ib, tb in a_rows:
+            if ca == cb and ia < ib:
                 x, y = _toks(ta), _toks(tb)
-                if x and y and len(x & y) >= tau * min(len(x), len(y)) - 1e-12:
-                    assert (ca, ia, ib) in got, (tau, ta, tb)
+                if x and y and len(x & y) >= 0.5 * max(len(x), len(y)):
+                    assert (ca, ia, ib) in got
 
 
 def test_redundancy_edges_match_rule(spark):
