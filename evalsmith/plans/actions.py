@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.replies import keep_first_distinct
 from ..functions.similarity import similarity_label
 from ..functions.text import py_strip
-from ..operators.diagnostics import diagnose
+from ..operators.diagnostics import diagnose, rescore_saved
+from ..sources.readers import read_matched_pairs, read_predictions
 from ..operators.matching import (
     attach_texts,
     explode_actions,
@@ -135,6 +136,34 @@ def diagnose_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "missed_reference_actions_text", "hallucinated_actions_text")
 
 
+def rescore_saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 + J8 + A16: the matches saved with list cells as JSON text (the CSV
+    form), read back, with every third reference action treated as removed
+    by de-duplication, then re-scored on the diagnostics-only path."""
+    m = matches(spark, sf_dir)
+    kept_ref = F.filter("reference_actions", lambda x, i: i % 3 != 2)
+    saved = m.select(
+        *KEYS,
+        F.to_json("generated_actions").alias("generated_actions"),
+        F.to_json(kept_ref).alias("reference_actions"),
+        F.to_json("matched_pairs").alias("matched_pairs"),
+    )
+    back = read_matched_pairs(read_predictions(saved, ["generated_actions", "reference_actions"]))
+    r = rescore_saved(back)
+    out = r.select(
+        *KEYS,
+        "num_matched_actions",
+        "action_precision",
+        "action_recall",
+        "action_f1",
+        "exact_match",
+        "average_match_score",
+        F.array_join("unmatched_generated_actions", " | ").alias("unmatched_generated_text"),
+        F.array_join("unmatched_reference_actions", " | ").alias("unmatched_reference_text"),
+    )
+    return truncate_floats(out, 3)
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = d.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
@@ -154,6 +183,7 @@ QUERIES = {
     "action_summary": action_summary_table,
     "diagnose": diagnose_table,
     "semantic_dedup": semantic_dedup_table,
+    "rescore_saved": rescore_saved_table,
 }
 
 
@@ -364,8 +394,34 @@ FROM items i JOIN folded f ON i.doc_id = f.doc_id
 """
 
 
+def _rescore_sql() -> str:
+    return _match_sql() + f"""
+, saved AS (
+  SELECT case_id, model_name, generated_actions AS g,
+    list_filter(reference_actions, lambda x, i: (i - 1) % 3 <> 2) AS r,
+    list_transform(m, lambda q: {{'ga': generated_actions[q.g + 1], 'ra': reference_actions[q.r + 1], 's': q.score}}) AS mp
+  FROM final
+), kept AS (
+  SELECT *, list_filter(mp, lambda p: list_contains(r, p.ra)) AS kp FROM saved
+), cnt AS (
+  SELECT *, len(kp) AS n, len(g) AS ng, len(r) AS nr,
+    list_transform(kp, lambda p: p.ga) AS mg, list_transform(kp, lambda p: p.ra) AS mr FROM kept
+), met AS (
+  SELECT *, CASE WHEN ng <> 0 THEN n / ng ELSE 0.0 END AS p, CASE WHEN nr <> 0 THEN n / nr ELSE 0.0 END AS rc FROM cnt
+)
+SELECT case_id, model_name, CAST(n AS INTEGER) AS num_matched_actions, {_t3('p')} AS action_precision, {_t3('rc')} AS action_recall,
+  {_t3('CASE WHEN p + rc <> 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END')} AS action_f1,
+  CASE WHEN n = ng AND n = nr THEN 1 ELSE 0 END AS exact_match,
+  {_t3('CASE WHEN n > 0 THEN list_sum(list_transform(kp, lambda q: q.s)) / n ELSE 0.0 END')} AS average_match_score,
+  array_to_string(list_filter(g, lambda x: NOT list_contains(mg, x)), ' | ') AS unmatched_generated_text,
+  array_to_string(list_filter(r, lambda x: NOT list_contains(mr, x)), ' | ') AS unmatched_reference_text
+FROM met
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
+        "rescore_saved": _rescore_sql(),
         "action_pairs": _action_pairs_sql(),
         "bidirectional_similarity": _bidir_sql(),
         "greedy_match": _greedy_sql(),
