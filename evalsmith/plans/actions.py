@@ -258,12 +258,12 @@ def _t3(x: str) -> str:
 
 
 def _action_pairs_sql() -> str:
-    return f"WITH {_cases_sql()} SELECT case_id, model_name, g, r, {_t6('overlap')} AS overlap FROM scored WHERE overlap >= {THRESHOLD}"
+    return f"WITH {_cases_sql()} SELECT case_id, model_name, CAST(g AS INTEGER) AS g, CAST(r AS INTEGER) AS r, {_t6('overlap')} AS overlap FROM scored WHERE overlap >= {THRESHOLD}"
 
 
 def _bidir_sql() -> str:
     return (
-        f"WITH {_cases_sql()} SELECT case_id, model_name, g, r, {_t6('forward')} AS forward, {_t6('backward')} AS backward, "
+        f"WITH {_cases_sql()} SELECT case_id, model_name, CAST(g AS INTEGER) AS g, CAST(r AS INTEGER) AS r, {_t6('forward')} AS forward, {_t6('backward')} AS backward, "
         f"{_t6('score')} AS score, 'same' AS label FROM scored WHERE score >= {THRESHOLD}"
     )
 

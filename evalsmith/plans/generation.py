@@ -313,7 +313,7 @@ WITH a AS (
 
 
 def _first_success_sql() -> str:
-    return _ATTEMPTS_SQL + " SELECT item_id, attempt_no, any_fooled, difficulty, trunc(similarity * 1000000.0) / 1000000.0 AS similarity FROM kept"
+    return _ATTEMPTS_SQL + " SELECT item_id, CAST(attempt_no AS INTEGER) AS attempt_no, any_fooled, difficulty, trunc(similarity * 1000000.0) / 1000000.0 AS similarity FROM kept"
 
 
 def _final_answer_sql() -> str:
@@ -327,7 +327,7 @@ def _final_answer_sql() -> str:
 SELECT item_id,
   CASE WHEN ok = 1 THEN fst.a ELSE best.a END AS least_similar_answer,
   CASE WHEN ok = 1 THEN fst.d ELSE best.d END AS final_difficulty_level,
-  CASE WHEN ok = 1 THEN fst.n ELSE best.n END AS chosen_attempt,
+  CAST(CASE WHEN ok = 1 THEN fst.n ELSE best.n END AS INTEGER) AS chosen_attempt,
   ok = 1 AS succeeded, attempts
 FROM g
 """
@@ -414,7 +414,7 @@ WITH c AS (
          ELSE []::VARCHAR[] END AS acts
   FROM s
 )
-SELECT case_id, shape, array_to_string(acts, ' | ') AS actions_text, CAST(len(acts) AS INTEGER) AS n_actions FROM a
+SELECT case_id, CAST(shape AS INTEGER) AS shape, array_to_string(acts, ' | ') AS actions_text, CAST(len(acts) AS INTEGER) AS n_actions FROM a
 """
 
 

@@ -291,7 +291,7 @@ FROM lineitem
 def _draw_answers_sql() -> str:
     return f"""
 SELECT CAST(item_id AS VARCHAR) AS item_id,
-  {_sql_draw('CAST(item_id AS VARCHAR)')} AS label,
+  CAST({_sql_draw('CAST(item_id AS VARCHAR)')} AS INTEGER) AS label,
   CASE WHEN {_sql_draw('CAST(item_id AS VARCHAR)')} = 1 THEN 'hallucinated_answer' ELSE 'ground_truth' END AS shown
 FROM benchmark
 """
