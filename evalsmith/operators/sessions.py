@@ -48,20 +48,22 @@ QUESTION_PATTERNS = [
 STEP_FIELDS = ["evaluation_trace", "backward_prompt", "backward_gradient", "optimizer_prompt", "optimizer_response", "updated_text"]
 
 
-def running_count(df: DataFrame, part: str, order: str, flag: Column, out: str, chunk_width: int) -> DataFrame:
-    """Inclusive running sum of ``flag`` per part in ``order``, skew-safe.
+def running_count(df: DataFrame, part, order: str, flag: Column, out: str, chunk_width: int) -> DataFrame:
+    """Inclusive running sum of ``flag`` per part (a column or a list of
+    columns) in ``order`` (numeric), skew-safe.
 
     Rows are cut into chunks of ``chunk_width`` order values; a window runs
     per (part, chunk) and a small per-chunk table supplies the offset.
     """
+    parts = [part] if isinstance(part, str) else list(part)
     d = df.withColumn("_flag", flag.cast("long")).withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_width)))
-    per_chunk = d.groupBy(part, "_chunk").agg(F.sum("_flag").alias("_cnt"))
-    wc = Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    per_chunk = d.groupBy(*parts, "_chunk").agg(F.sum("_flag").alias("_cnt"))
+    wc = Window.partitionBy(*parts).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.withColumn("_off", F.coalesce(F.sum("_cnt").over(wc), F.lit(0))).drop("_cnt")
-    wr = Window.partitionBy(part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    wr = Window.partitionBy(*parts, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         d.withColumn("_run", F.sum("_flag").over(wr))
-        .join(offsets, [part, "_chunk"])
+        .join(offsets, [*parts, "_chunk"])
         .withColumn(out, F.col("_off") + F.col("_run"))
         .drop("_flag", "_chunk", "_run", "_off")
     )
