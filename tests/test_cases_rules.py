@@ -144,3 +144,24 @@ def test_header_and_status(spark):
     assert [r[0] for r in s.select(record_status("a", "s", "n")).collect()] == [
         "skipped_no_actionable_rules", "skipped_missing_source_case", "generated", "empty_generation"]
     assert F is not None
+
+
+def test_number_rules_rows_chunked(spark):
+    from evalsmith.operators.rules import number_rules
+
+    classes = ["recommended", "NOT_RECOMMENDED", " conditional_consider ", "unknown", None]
+    rows = [(f"b{i % 2}", i * 7 + 1, "GENERAL", None, "", classes[i % 5], None, "it is recommended" if i % 3 else "")
+            for i in range(40)]
+    raw = spark.createDataFrame(rows, "record string, pos long, scenario string, priority int, activation_condition string, "
+                                      "recommendation_class string, execute string, source_statement string")
+    a = sorted(tuple(r) for r in number_rules(raw, "record", "pos").collect())
+    b = sorted(tuple(r) for r in number_rules(raw, "record", "pos", chunk_width=5).collect())
+    assert a == b
+    by = {}
+    for r in number_rules(raw, "record", "pos").collect():
+        by.setdefault(r["record"], []).append((r["rule_id"], r["priority"]))
+    for rec, lst in by.items():
+        lst.sort()
+        assert [x[0] for x in lst] == [f"R{i:03d}" for i in range(1, len(lst) + 1)]
+        prios = [x[1] for x in lst]
+        assert prios == sorted(prios, reverse=True) and prios[-2:] == [20, 10]
