@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import keep_first_distinct
 from ..functions.similarity import similarity_label
-from ..functions.text import py_strip
 from ..operators.diagnostics import diagnose, rescore_saved
 from ..sources.readers import read_matched_pairs, read_predictions
 from ..operators.matching import (
