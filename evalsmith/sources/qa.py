@@ -64,7 +64,10 @@ def decode_legacy_knowledge(c) -> Column:
     body = F.regexp_extract(x, pat, 1)
     items = F.regexp_extract_all(body, F.lit(_QUOTED), 1)
     joined = F.array_join(F.transform(items, _unquote), "\n")
-    return F.when(x.isNull(), F.lit("")).when(x.rlike(pat), joined).otherwise(x)
+    # {'contexts': 'one text'}: the value itself
+    single = r"(?s)^\s*\{'contexts':\s*" + _QUOTED + r"\s*\}\s*$"
+    one = _unquote(F.regexp_extract(x, single, 1))
+    return F.when(x.isNull(), F.lit("")).when(x.rlike(pat), joined).when(x.rlike(single), one).otherwise(x)
 
 
 def _text_of(c: Column, dt: T.DataType) -> Column:

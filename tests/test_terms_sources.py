@@ -116,9 +116,10 @@ def test_qa_sources(spark):
     except ValueError as e:
         assert "question" in str(e)
     leg = spark.createDataFrame(
-        [("{'contexts': ['a', \"b's\"]}",), ("{'contexts': array(['c', 'd'], dtype=object)}",), ("plain",), (None,)], "k string"
+        [("{'contexts': ['a', \"b's\"]}",), ("{'contexts': array(['c', 'd'], dtype=object)}",), ("plain",), (None,),
+         ("{'contexts': 'one'}",)], "k string"
     )
-    assert [r[0] for r in leg.select(decode_legacy_knowledge("k")).collect()] == ["a\nb's", "c\nd", "plain", ""]
+    assert [r[0] for r in leg.select(decode_legacy_knowledge("k")).collect()] == ["a\nb's", "c\nd", "plain", "", "one"]
 
 
 def test_adapt_medqa(spark):
