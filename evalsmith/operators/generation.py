@@ -112,7 +112,7 @@ def widen_attempts(
         cols.append(F.max_by(F.col("answer"), F.when(at, F.lit(1))).alias(f"hallucinated_answer_{i}"))
         cols.append(F.max_by(F.col("justification"), F.when(at, F.lit(1))).alias(f"justification_{i}"))
         for j in range(1, n_judges + 1):
-            v = F.element_at(F.col("votes"), j)
+            v = F.try_element_at(F.col("votes"), F.lit(j))
             cols.append(F.max_by(v["fooled"], F.when(at, F.lit(1))).alias(f"fooled_discriminator_{j}_{i}"))
             cols.append(F.max_by(v["reasoning"], F.when(at, F.lit(1))).alias(f"discriminator_reasoning_{j}_{i}"))
         cols.append(F.max_by(F.col("difficulty"), F.when(at, F.lit(1))).alias(f"difficulty_level_{i}"))

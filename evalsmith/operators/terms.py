@@ -43,7 +43,7 @@ UNKNOWN_WEIGHTED = "Unknown"
 def category_of_letter(letter) -> Column:
     """Broad category name of a tree-number letter (one map lookup)."""
     m = F.create_map(*[F.lit(x) for kv in BROAD_CATEGORIES for x in kv])
-    return F.coalesce(F.element_at(m, col_of(letter)), F.lit(UNKNOWN_CATEGORY))
+    return F.coalesce(F.try_element_at(m, col_of(letter)), F.lit(UNKNOWN_CATEGORY))
 
 
 def extract_mesh_terms(context) -> Column:

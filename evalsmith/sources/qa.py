@@ -117,7 +117,7 @@ def adapt_medqa(df: DataFrame, split: str | None = None, limit: int | None = Non
     tagged = F.filter(outputs, lambda o: o["ok"])
     nonempty = F.filter(outputs, lambda o: o["t"] != "")
     answer = F.when(F.size(tagged) > 0, F.element_at(tagged, 1)["t"]).otherwise(
-        F.coalesce(F.element_at(nonempty, 1)["t"], F.lit(""))
+        F.coalesce(F.try_element_at(nonempty, F.lit(1))["t"], F.lit(""))
     )
     out = d.select(*([order_col] if order_col else []), q.alias("question"), context.alias("context"), answer.alias("long_answer"))
     out = out.filter((F.coalesce(F.col("question"), F.lit("")) != "") & (F.col("long_answer") != ""))
