@@ -442,8 +442,35 @@ def _score_batches_sql() -> str:
     ) + ")"
 
 
+def _refine_rounds_sql(rounds: int = 3) -> str:
+    """The stub models restated in SQL: a generated answer is
+    'answer-' || (first 8 md5 hex digits of the prompt) % 97, a revision
+    appends '+r', judge s is fooled when (md5 of answer || s) % 4 = 0."""
+    h = lambda x: f"(('0x' || substr(md5({x}), 1, 8))::BIGINT)"
+    fooled = lambda a: [f"({h(a + ' || ' + repr_s)} % 4 = 0)" for repr_s in ("'a'", "'b'", "'c'")]
+
+    def judged(a: str) -> str:
+        f = fooled(a)
+        n = " + ".join(f"CAST({x} AS INTEGER)" for x in f)
+        return (f"({' OR '.join(f)})", f"(CASE WHEN {n} = 3 THEN 'hard' WHEN {n} > 1 THEN 'medium' ELSE 'easy' END)")
+
+    a1 = "('answer-' || CAST(" + h("text") + " % 97 AS VARCHAR))"
+    a2 = f"({a1} || '+r')"
+    any1, d1 = judged(a1)
+    any2, d2 = judged(a2)
+    rows = []
+    for rnd in range(1, rounds + 1):
+        first = "TRUE" if rnd == 1 else f"NOT {any1} AND NOT {any2}"
+        rows.append(f"SELECT CAST(item_id AS VARCHAR) AS item_id, {2 * rnd - 1} AS attempt_no, 'generate' AS stage, {a1} AS answer, "
+                    f"{any1} AS any_fooled, {d1} AS difficulty FROM benchmark WHERE {first}")
+        rows.append(f"SELECT CAST(item_id AS VARCHAR) AS item_id, {2 * rnd} AS attempt_no, 'revise' AS stage, {a2} AS answer, "
+                    f"{any2} AS any_fooled, {d2} AS difficulty FROM benchmark WHERE NOT {any1} AND ({first})")
+    return "\nUNION ALL\n".join(rows)
+
+
 def oracles() -> dict[str, str]:
     return {
+        "refine_rounds": _refine_rounds_sql(),
         "option_votes": _option_votes_sql(),
         "difficulty": _difficulty_sql(),
         "first_success": _first_success_sql(),
