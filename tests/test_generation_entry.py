@@ -83,3 +83,16 @@ def test_entry_and_registry(spark):
     assert set(ors) <= set(qs)
     assert len(qs) >= 30
     assert F is not None
+
+
+def test_refine_rounds_resume_skips_done_items(spark):
+    """A run stopped after round 1 resumes with the items not yet done (K5)."""
+    items = spark.createDataFrame([(str(i), f"p{i}") for i in range(6)], "item_id string, prompt string")
+    gen = lambda b: b.iloc[:, 0] + "-a"
+    rev = lambda b: b.iloc[:, 1] + "+"
+    judge = lambda b: b.iloc[:, 0].map(lambda a: "Option 2" if a.startswith(("p1", "p3")) else "Option 1")
+    first = refine_rounds(items, "item_id", gen, [judge], rev, rounds=1)
+    done = first.filter("any_fooled").select("item_id")
+    assert sorted(r[0] for r in done.collect()) == ["1", "3"]
+    resumed = refine_rounds(items, "item_id", gen, [judge], rev, rounds=1, done=done)
+    assert sorted({r[0] for r in resumed.select("item_id").collect()}) == ["0", "2", "4", "5"]
