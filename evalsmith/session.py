@@ -48,13 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder is created.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a remote session: the server's setting applies
+        return current or ""
     if not current:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = current.get() if current.isDefined() else None
+        d = sc._jsc.sc().getCheckpointDir()
+        current = d.get() if d.isDefined() else None
     if not current:
         current = tempfile.mkdtemp(prefix="evalsmith-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    d = sc._jsc.sc().getCheckpointDir()
+    if not (d.isDefined() and d.get()):
+        sc.setCheckpointDir(current)
     return current
 
 
