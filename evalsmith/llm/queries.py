@@ -3,13 +3,45 @@ where SQL can express the result."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert, mixing, quality_rules, simhash
+from . import decontamination, hilbert, mixing, pseudonyms, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
 from .common import table
 
 
+#: The rules that op3 applies.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: A deployment passes its own secret.
+PSEUDONYM_KEY = "query-key"
+
+
+def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    labelled = quality_classifier.labelled_rows(docs, table(spark, sf_dir, "labels"), "quality", fold != 2)
+    weights = quality_classifier.train(labelled)
+    scored = quality_classifier.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    counts = [F.size(F.filter(F.col("pii")["kind"], _equals(k))).alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return out.select("doc_id", "text", F.size("pii").alias("n_found"), *counts)
+
+
+def _equals(value: str):
+    return lambda x: x == value
+
+
+def op3_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, default="allow")
+    j = F.col("judged")
+    return out.select("page_id", j["host"].alias("host"), j["path"].alias("path"), j["rule"].alias("rule"), j["action"].alias("verdict"))
+
+
 def op4_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     leak = F.col("leak")
@@ -23,6 +55,12 @@ def op4_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.shard_by_curve(table(spark, sf_dir, "documents"), shards=40)
     return out.select(
@@ -30,6 +68,11 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=1000)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m = F.col("measures")
@@ -59,8 +102,13 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ftrl_quality": op1_ftrl_quality,
+    "op2_feistel_pii": op2_feistel_pii,
+    "op3_url_trie": op3_url_trie,
     "op4_aho_corasick": op4_aho_corasick,
+    "op5_rank_merge": op5_rank_merge,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_gzip_normaliser": op7_gzip_normaliser,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_trie": op10_simhash_trie,
@@ -126,7 +174,36 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
 
+_OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r(action, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), u AS (
+  SELECT DISTINCT host, path FROM p
+), best AS (
+  SELECT host, path, max_by(rhost || rpath, length(rhost) * 1000 + length(rpath)) AS rule, max_by(action, length(rhost) * 1000 + length(rpath)) AS action
+  FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN best USING (host, path)
+"""
+
+_OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN best <> page_id THEN best END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
 ORACLES = {
+    "op3_url_trie": _OP3_SQL,
+    "op7_gzip_normaliser": _OP7_SQL,
     "op4_aho_corasick": _OP4_SQL,
     "op8_rule_ledger": _OP8_SQL,
 }
