@@ -19,8 +19,8 @@ then range-sorted by that time.
 Only DataFrame functions. Every decision follows from a row's own columns and
 one row of plan per source, so texts are shuffled only by the final sort.
 
-Defined results: null and empty texts have size 0 and take 0 words; a null
-source is a source of its own, last in order; rows equal in doc_id and text
+Defined results: null and empty texts have size 0 and take 0 words; a source
+without words takes nothing; a null source is a source of its own, last in order; rows equal in doc_id and text
 share a hash and so one fate; an empty table gives an empty mix. Working
 columns start with ``__mix``; a column ``mix`` of the input is replaced.
 """
@@ -38,8 +38,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Relative weight at equally spaced knots of time, by the weight's place:
 #: broad sources fade out, small ones come late.
 SCHEDULES = ((3.0, 2.0, 1.0), (1.0, 2.0, 1.0), (1.0, 2.0, 3.0))
-#: Bits of the hash settled per pass, and passes: 2^40 places to stop at.
-_DIGIT, _PASSES = 10, 4
+#: Bits of the hash settled per pass, and passes: 2^36 places to stop at.
+_DIGIT, _PASSES = 12, 3
 #: Hash cells per source between whose bounds running words are interpolated.
 _CELL_BITS = 8
 #: Plans of up to so many sources (about 2 KB each) are broadcast; beyond, the
@@ -93,8 +93,9 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 def _stops(rows: DataFrame, goals: DataFrame, broadcast_sources: int) -> DataFrame:
     """Per source the ``_DIGIT * _PASSES`` leading hash bits, as a number, at
     which the last, partial pass stops: rows below it are taken once more.
-    rows: source, size, h. goals: source, rest (words of the partial pass)."""
-    at = goals.select("source", "rest", F.lit(0).cast("long").alias("head"))
+    rows: source, size, h. goals: source, rest (words of the partial pass);
+    a source that is whole without one stops at 0."""
+    at = goals.where("rest > 0").select("source", "rest", F.lit(0).cast("long").alias("head"))
     for k in range(_PASSES):
         held = with_plan(rows, at, F.col("h"), broadcast_sources).select("*", "__mix_plan.*")
         if k:
@@ -141,8 +142,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     plan = aims.drop("rest")
     for more in (stops, sources.drop("source_size")):
         more = more.withColumnRenamed("source", "__s")
-        plan = plan.join(more, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    return rows, store(plan, "mix-plan")
+        plan = plan.join(more, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    return rows, store(plan.fillna(0, ["stop"]), "mix-plan")
 
 
 def _time_of(q: Column, knots: Sequence[float]) -> Column:
