@@ -172,7 +172,7 @@ def _links(max_bits: int):
     return run
 
 
-def near_links(fps: DataFrame, max_bits: int = 3, task_rows: int = 100_000) -> DataFrame:
+def near_links(fps: DataFrame, max_bits: int = 3, task_rows: int = 100_000, least_group: int = 1024) -> DataFrame:
     """Forest edges (u, v), v < u, that connect distinct fingerprints ``fp``
     exactly as all links within ``max_bits`` bits would.
 
@@ -183,8 +183,9 @@ def near_links(fps: DataFrame, max_bits: int = 3, task_rows: int = 100_000) -> D
     width = 64 // blocks
     n = fps.count()
     parts = shuffle_partitions(spark, n * blocks, task_rows)
-    # A value may fill about a fair task; beyond, it is dealt over chunks.
-    group_rows = max(1024, min(task_rows, n * blocks // parts))
+    # A value may fill about a fair task; beyond, it is dealt over chunks (of
+    # no less than ``least_group``, as chunks meet in pairs).
+    group_rows = max(least_group, min(task_rows, n * blocks // parts))
     value = lambda b: F.shiftrightunsigned(F.shiftleft("fp", b * width), 64 - width)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), value(b).alias("value")) for b in range(blocks)])).alias("k")).select("fp", "k.*")
     hot = store(keyed.groupBy("block", "value").count().where(F.col("count") > group_rows), "simhash-hot")
