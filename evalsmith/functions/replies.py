@@ -112,21 +112,20 @@ def norm_action(c) -> Column:
 
 def keep_first_distinct(arr) -> Column:
     """W6 on an array: drop blanks and repeats after normalization, keep first spelling (stripped)."""
-    # One fold; the normalized form of each item is computed once (a lambda
-    # that referenced the whole normalized array would recompute it per item).
-    items = F.transform(col_of(arr), lambda x: F.struct(norm_action(x).alias("n"), py_strip(x).alias("v")))
-    init = F.struct(
-        F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out")
+    # Sorted by normal form and place, the first of each form is told from the
+    # item before it; each list is bound once by a one-element transform.
+    items = F.array_sort(
+        F.filter(
+            F.transform(col_of(arr), lambda x, i: F.struct(norm_action(x).alias("n"), i.alias("i"), py_strip(x).alias("v"))),
+            lambda s: s["n"] != "",
+        )
     )
 
-    def step(acc, s):
-        new = (s["n"] != "") & ~F.array_contains(acc["seen"], s["n"])
-        return F.when(
-            new,
-            F.struct(F.concat(acc["seen"], F.array(s["n"])).alias("seen"), F.concat(acc["out"], F.array(s["v"])).alias("out")),
-        ).otherwise(acc)
+    def firsts(s):
+        own = F.filter(s, lambda e, i: (i == 0) | (e["n"] != F.get(s, i - 1)["n"]))
+        return F.transform(F.array_sort(F.transform(own, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v")))), lambda e: e["v"])
 
-    return F.aggregate(items, init, step, lambda acc: acc["out"])
+    return F.get(F.transform(F.array(items), firsts), F.lit(0))
 
 
 def _is_container(v: Column, allow_object: bool = True) -> Column:

@@ -5,23 +5,28 @@ Scale design
 ------------
 * Lists are exploded to one row per action ``(case keys, idx, text)``.
 * Candidate pairs inside a case come from an inverted token index with
-  prefix filtering (an exact set-similarity join): a pair whose token
-  overlap reaches ``tau * min(|a|, |b|)`` always shares a token in the
-  smaller item's prefix (rarest tokens first). No case ever emits all of
-  its pairs, and a case holding a third of all rows is spread over its
-  (case, token) join keys.
-* Greedy matching (T2) and keep-first de-duplication (T3) are sequential
-  per case. Cases whose edge count is at most ``fold_cap`` are solved by
-  one fold over their sorted edges; larger cases run an exact distributed
-  algorithm in rounds (locally dominant edges for T2, lexicographically
-  first independent set for T3), checkpointed each round, so no case is
-  ever gathered into one row.
+  prefix filtering (an exact set-similarity join for the token scorer): a
+  pair whose token overlap reaches ``tau * min(|a|, |b|)`` always shares a
+  token in the smaller item's prefix. Tokens are ordered by length and hash,
+  an order every task knows, so prefixes need no shuffle and no count over
+  all cases. No case emits all of its pairs, and a case holding a third of
+  all rows is spread over its (case, token) join keys.
+* For any other scorer the caller brings the candidate pairs (its blocking),
+  and each distinct text pair is scored once (``score_distinct_pairs``).
+* Greedy matching (T2) and keep-first de-duplication (T3) are sequential by
+  definition. Every case takes the same two steps: ``ROUNDS`` rounds settle
+  what depends on nothing undecided, in parallel; what is left is dealt by
+  connected component and decided in order while it streams through a task
+  (sorted by Spark's spilling sort; the task holds the used endpoints of one
+  component). That takes 2 * ROUNDS stored tables and those of the component
+  search, whose steps grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +34,11 @@ from ..functions.numeric import safe_div
 from ..functions.replies import norm_action
 from ..functions.similarity import bidirectional, coverage, lexical_overlap
 from ..functions.text import py_strip, tokens
-from ..session import ensure_checkpoint_dir
+from ..session import store
+from .graph import components
 
-DEFAULT_FOLD_CAP = 20000
-
-
-def _ckpt(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Parallel rounds before the ordered pass.
+ROUNDS = 2
 
 
 def explode_actions(df: DataFrame, keys: Sequence[str], col: str, idx: str = "idx", text: str = "text") -> DataFrame:
@@ -65,25 +66,21 @@ def tokenize(items: DataFrame, text: str = "text", out: str = "tok") -> DataFram
     return items if out in items.columns else items.withColumn(out, tokens(text))
 
 
-def _tokenized(df: DataFrame, keys, id_col: str, text: str) -> DataFrame:
+def _tokenized(df: DataFrame, keys, id_col: str, text: str, tau: float) -> DataFrame:
+    """Items with their tokens in the common order (longer ones, which are
+    rarer, first) and the length of the prefix that ``tau`` requires."""
     tok = F.col("tok") if "tok" in df.columns else tokens(text)
-    return df.select(*keys, F.col(id_col).alias("_id"), tok.alias("_tok")).withColumn("_n", F.size("_tok")).filter(
-        F.col("_n") > 0
-    )
+    placed = F.array_sort(F.transform(tok, lambda t: F.struct((-F.length(t)).alias("l"), F.xxhash64(t).alias("h"), t.alias("t"))))
+    n = F.size("_tok")
+    need = F.greatest(F.ceil(n * F.lit(tau) - F.lit(1e-9)), F.lit(1))
+    t = df.select(*keys, F.col(id_col).alias("_id"), F.transform(placed, lambda x: x["t"]).alias("_tok"))
+    return t.where(n > 0).select("*", n.alias("_n"), (n - need + 1).cast("int").alias("_k"))
 
 
-def _probe_and_index(t: DataFrame, keys, tau: float, freq: DataFrame):
-    """Prefix tokens (rarest first) and full token rows of each item."""
-    exploded = t.select(*keys, "_id", "_n", F.explode("_tok").alias("_token"))
-    with_df = exploded.join(freq, "_token")
-    w = Window.partitionBy(*keys, "_id").orderBy(F.col("_df"), F.col("_token"))
-    alpha = F.greatest(F.ceil(F.col("_n") * F.lit(tau) - F.lit(1e-9)), F.lit(1))
-    probe = (
-        with_df.withColumn("_rk", F.row_number().over(w))
-        .filter(F.col("_rk") <= F.col("_n") - alpha + 1)
-        .select(*keys, "_id", "_n", "_token")
-    )
-    return probe, exploded
+def _probe_and_index(t: DataFrame, keys):
+    """Prefix token rows and all token rows of each item."""
+    cols = [*keys, "_id", "_n"]
+    return t.select(*cols, F.explode(F.slice("_tok", F.lit(1), F.col("_k"))).alias("_token")), t.select(*cols, F.explode("_tok").alias("_token"))
 
 
 def overlap_candidates(
@@ -103,7 +100,9 @@ def overlap_candidates(
     ``mode="max"``: every pair whose overlap is at least ``tau`` times the
     LARGER set (the two-way token score, F10 / T2); then both prefixes must
     share a token and the sizes are within a factor ``tau``, so prefixes join
-    prefixes. Either way some extra pairs may come back; none is missed.
+    prefixes. Either way some extra pairs may come back; none is missed. Pairs
+    without a common token are never candidates: a threshold of 0 would ask
+    for all pairs of a case, and ``tau`` must be above it.
     ``right=None`` gives unordered self pairs with ``a < b``.
     """
     if not 0 < tau <= 1:
@@ -111,15 +110,9 @@ def overlap_candidates(
     if mode not in ("min", "max"):
         raise ValueError("mode must be 'min' or 'max'")
     keys = list(keys)
-    lt = _tokenized(left, keys, id_col, text)
-    rt = lt if right is None else _tokenized(right, keys, id_col, text)
-    toks = lt.select(F.explode("_tok").alias("_token"))
-    if right is not None:
-        toks = toks.unionByName(rt.select(F.explode("_tok").alias("_token")))
-    freq = toks.groupBy("_token").agg(F.count("*").alias("_df"))
-    lp, li = _probe_and_index(lt, keys, tau, freq)
+    lp, li = _probe_and_index(_tokenized(left, keys, id_col, text, tau), keys)
+    rp, ri = (lp, li) if right is None else _probe_and_index(_tokenized(right, keys, id_col, text, tau), keys)
     if mode == "max":
-        rp = lp if right is None else _probe_and_index(rt, keys, tau, freq)[0]
         a = lp.select(*keys, "_token", F.col("_id").alias("a"), F.col("_n").alias("_an"))
         b = rp.select(*keys, "_token", F.col("_id").alias("b"), F.col("_n").alias("_bn"))
         eps = F.lit(1e-9)
@@ -136,7 +129,6 @@ def overlap_candidates(
             (F.col("_pn") < F.col("_in")) | ((F.col("_pn") == F.col("_in")) & (F.col("_p") < F.col("_i")))
         )
         return c.select(*keys, F.least("_p", "_i").alias("a"), F.greatest("_p", "_i").alias("b")).distinct()
-    rp, ri = _probe_and_index(rt, keys, tau, freq)
     c1 = lp.select(*keys, "_token", F.col("_id").alias("a"), F.col("_n").alias("_an")).join(
         ri.select(*keys, "_token", F.col("_id").alias("b"), F.col("_n").alias("_bn")), [*keys, "_token"]
     ).filter(F.col("_an") <= F.col("_bn"))
@@ -196,68 +188,37 @@ def score_distinct_pairs(pairs: DataFrame, scorer, a: str = "text_a", b: str = "
 # -- T2: greedy matching --------------------------------------------------------
 
 
-def _edge_order(score: Column, g: Column, r: Column) -> Column:
-    return F.struct((-score).alias("ns"), g.alias("g"), r.alias("r"))
+def _component_of(edges: DataFrame, u: Column, v: Column, name: str) -> DataFrame:
+    """``edges`` with the ``_root`` of their connected component. Nodes are
+    64-bit hashes; two that collide only share a task."""
+    e = store(edges.withColumns({"_u": u, "_v": v}), name)
+    found = components(e.select(F.col("_u").alias("u"), F.col("_v").alias("v")), name)
+    joined = e.join(found, F.col("_u") == F.col("node"), "left").select("*", F.coalesce("root", "_u").alias("_root"))
+    return joined.drop("_u", "_v", "node", "root")
 
 
-def _greedy_fold(edges: DataFrame, keys) -> DataFrame:
-    es = edges.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("ns"), "g", "r", "score"))).alias("_es")
-    )
-    init = F.struct(
-        F.array().cast("array<int>").alias("ug"),
-        F.array().cast("array<int>").alias("ur"),
-        F.array().cast("array<struct<g:int,r:int,score:double>>").alias("acc"),
-    )
+def _take_in_order(keys: list[str]) -> Callable:
+    """Takes rows whose two endpoints are both free, in the order given."""
 
-    def step(acc, e):
-        used = F.array_contains(acc["ug"], e["g"]) | F.array_contains(acc["ur"], e["r"])
-        take = F.struct(
-            F.concat(acc["ug"], F.array(e["g"])).alias("ug"),
-            F.concat(acc["ur"], F.array(e["r"])).alias("ur"),
-            F.concat(acc["acc"], F.array(F.struct(e["g"].alias("g"), e["r"].alias("r"), e["score"].alias("score")))).alias("acc"),
-        )
-        return F.when(used, acc).otherwise(take)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, used = None, set()
+        for f in frames:
+            take = []
+            for at, g, r, *case in zip(f["_root"], f["g"], f["r"], *[f[k] for k in keys], strict=True):
+                if at != root:
+                    root, used = at, set()
+                ends = ("g", g, *case), ("r", r, *case)
+                free = used.isdisjoint(ends)
+                if free:
+                    used.update(ends)
+                take.append(free)
+            yield f.loc[take, [*keys, "g", "r", "score"]]
 
-    folded = es.select(*keys, F.aggregate("_es", init, step, lambda a: a["acc"]).alias("_m"))
-    return folded.select(*keys, F.posexplode("_m").alias("ord", "_p")).select(
-        *keys, "_p.g", "_p.r", "_p.score", (F.col("ord") + 1).alias("ord")
-    )
+    return run
 
 
-def _greedy_rounds(edges: DataFrame, keys) -> DataFrame:
-    """Locally dominant edges, repeated: with a strict total order on edges
-    this equals the sequential greedy matching. Each round is two
-    algebraic aggregations and key joins; remaining edges are checkpointed."""
-    keys = list(keys)
-    remaining = edges.select(*keys, "g", "r", "score")
-    parts = []
-    while True:
-        remaining = _ckpt(remaining)
-        if remaining.isEmpty():
-            break
-        o = _edge_order(F.col("score"), F.col("g"), F.col("r"))
-        bg = remaining.groupBy(*keys, "g").agg(F.min(o).alias("_bg"))
-        br = remaining.groupBy(*keys, "r").agg(F.min(o).alias("_br"))
-        dom = (
-            remaining.withColumn("_o", o)
-            .join(bg, [*keys, "g"])
-            .join(br, [*keys, "r"])
-            .filter((F.col("_o") == F.col("_bg")) & (F.col("_o") == F.col("_br")))
-            .select(*keys, "g", "r", "score")
-        )
-        dom = _ckpt(dom)
-        parts.append(dom)
-        remaining = remaining.join(dom.select(*keys, "g"), [*keys, "g"], "left_anti").join(
-            dom.select(*keys, "r"), [*keys, "r"], "left_anti"
-        )
-    if not parts:
-        return edges.select(*keys, "g", "r", "score").limit(0).withColumn("ord", F.lit(0))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "g", "r")
-    return out.withColumn("ord", F.row_number().over(w))
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
 def greedy_match(
@@ -267,30 +228,38 @@ def greedy_match(
     g: str = "g",
     r: str = "r",
     score: str = "score",
-    fold_cap: int | None = DEFAULT_FOLD_CAP,
 ) -> DataFrame:
     """Repeatedly take the best free pair (score desc, then lower g, then
     lower r) while its score is at least ``threshold``.
 
     Returns matched pairs ``(keys, g, r, score, ord)`` with ``ord`` the
     acceptance order. Edges below the threshold can never be taken, so they
-    are dropped first.
+    are dropped first. An edge that is the best of both its ends is taken
+    whatever else happens: a round takes all of those and drops their
+    neighbours. The rest is decided in order per component.
     """
     keys = list(keys)
     e = edges.select(*keys, F.col(g).cast("int").alias("g"), F.col(r).cast("int").alias("r"), F.col(score).cast("double").alias("score"))
-    e = e.filter(F.col("score") >= threshold)
-    if fold_cap is None:
-        return _greedy_fold(e, keys).withColumnsRenamed({"g": g, "r": r, "score": score})
-    e = _ckpt(e)
-    big_keys = e.groupBy(*keys).agg(F.count("*").alias("_m")).filter(F.col("_m") > fold_cap).select(*keys)
-    if big_keys.isEmpty():
-        out = _greedy_fold(e, keys)
-    else:
-        big_keys = _ckpt(big_keys)
-        out = _greedy_fold(e.join(big_keys, keys, "left_anti"), keys).unionByName(
-            _greedy_rounds(e.join(big_keys, keys, "left_semi"), keys)
-        )
-    return out.withColumnsRenamed({"g": g, "r": r, "score": score})
+    left = store(e.where(F.col("score") >= threshold), "greedy-edges")
+    order = F.struct((-F.col("score")).alias("s"), "g", "r")
+    parts = []
+    for _ in range(ROUNDS):
+        best_g = left.groupBy(*keys, "g").agg(F.min(order).alias("_bg"))
+        best_r = left.groupBy(*keys, "r").agg(F.min(order).alias("_br"))
+        both = left.join(best_g, [*keys, "g"]).join(best_r, [*keys, "r"]).where((order == F.col("_bg")) & (order == F.col("_br")))
+        taken = store(both.select(*keys, "g", "r", "score"), "greedy-taken")
+        parts.append(taken)
+        left = left.join(taken.select(*keys, "g"), [*keys, "g"], "left_anti").join(taken.select(*keys, "r"), [*keys, "r"], "left_anti")
+        left = store(left.select(*keys, "g", "r", "score"), "greedy-left")
+    if not left.isEmpty():
+        dealt = _component_of(left, F.xxhash64(F.lit("g"), *keys, "g"), F.xxhash64(F.lit("r"), *keys, "r"), "greedy-parts")
+        dealt = dealt.repartition("_root").sortWithinPartitions("_root", F.col("score").desc(), "g", "r")
+        parts.append(dealt.mapInPandas(_take_in_order(keys), _fields(left, [*keys, "g", "r", "score"])))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "g", "r")
+    return out.withColumn("ord", F.row_number().over(w)).withColumnsRenamed({"g": g, "r": r, "score": score})
 
 
 def match_metrics(
@@ -335,8 +304,8 @@ def match_metrics(
         )).alias("matched_pairs"),
         F.transform(mg, lambda i: F.element_at(gen, i + 1)).alias("matched_generated_actions"),
         F.transform(mr, lambda i: F.element_at(ref, i + 1)).alias("matched_reference_actions"),
-        F.transform(F.filter(F.transform(gen, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(mg, s["i"])), lambda s: s["x"]).alias("unmatched_generated_actions"),
-        F.transform(F.filter(F.transform(ref, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(mr, s["i"])), lambda s: s["x"]).alias("unmatched_reference_actions"),
+        F.transform(F.array_except(F.transform(gen, lambda _, i: i), mg), lambda i: F.element_at(gen, i + 1)).alias("unmatched_generated_actions"),
+        F.transform(F.array_except(F.transform(ref, lambda _, i: i), mr), lambda i: F.element_at(ref, i + 1)).alias("unmatched_reference_actions"),
         n.alias("num_matched_actions"),
         prec.alias("action_precision"),
         rec.alias("action_recall"),
@@ -359,69 +328,81 @@ def match_metrics(
 # -- T3: keep-first semantic de-duplication ------------------------------------
 
 
-def redundancy_edges(items: DataFrame, keys: Sequence[str], threshold: float, idx: str = "idx", text: str = "text") -> DataFrame:
+def redundancy_edges(
+    items: DataFrame,
+    keys: Sequence[str],
+    threshold: float,
+    idx: str = "idx",
+    text: str = "text",
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    candidates: DataFrame | None = None,
+) -> DataFrame:
     """Edges (keys, a, b), a < b, where the later action is redundant to the
-    earlier one under the built-in scorer: min(fwd, bwd) >= t, or lexical
-    overlap >= 0.5 and max(fwd, bwd) >= t. Both imply token overlap of at
-    least min(t, 0.5) * min(|a|, |b|) ... >= t * min for t <= 0.5, and for
-    t > 0.5 exactly overlap >= t * min, so candidates use tau = t."""
+    earlier one: min(fwd, bwd) >= t, or lexical overlap >= 0.5 and
+    max(fwd, bwd) >= t.
+
+    With the built-in token scorer both imply a token overlap of at least
+    t * min(|a|, |b|), so candidates use tau = t and none is missed. Any other
+    ``scorer`` (distinct text pairs in, ``forward`` / ``backward`` added) can
+    call any two actions alike: the caller gives the ``candidates`` (keys, a,
+    b) to score, and pairs outside them count as different."""
     keys = list(keys)
-    tau = min(max(threshold, 1e-9), 1.0)
-    # tokenized once and materialized: it feeds the token index, the probe
-    # prefixes and both text lookups
-    tok = _ckpt(tokenize(items.select(*keys, idx, text), text))
-    cand = overlap_candidates(tok, None, keys, tau, idx, text)
-    pairs = attach_texts(cand, tok, tok, keys, idx, text, with_text=False)
-    fwd, bwd = coverage("tok_b", "tok_a"), coverage("tok_a", "tok_b")  # candidate b vs kept a
+    if (scorer is None) != (candidates is None):
+        raise ValueError("a scorer of the caller's needs the caller's candidates, and the other way round")
+    tok = store(tokenize(items.select(*keys, idx, text), text), "dedup-items")
+    if scorer is None:
+        candidates = overlap_candidates(tok, None, keys, threshold, idx, text)
+    pairs = attach_texts(candidates, tok, tok, keys, idx, text, with_text=scorer is not None)
+    if scorer is None:
+        pairs = pairs.withColumns({"forward": coverage("tok_b", "tok_a"), "backward": coverage("tok_a", "tok_b")})
+    else:
+        pairs = score_distinct_pairs(pairs, scorer)
+    fwd, bwd = F.col("forward"), F.col("backward")  # candidate b vs kept a
     red = (F.least(fwd, bwd) >= threshold) | ((lexical_overlap("tok_a", "tok_b") >= 0.5) & (F.greatest(fwd, bwd) >= threshold))
     return pairs.filter(red).select(*keys, "a", "b")
 
 
-def _lfmis_fold(edges: DataFrame, keys) -> DataFrame:
-    """Per case: vertices with earlier neighbours, in order; removed iff an
-    earlier neighbour was kept."""
-    nb = edges.groupBy(*keys, "b").agg(F.collect_list("a").alias("_nb"))
-    per_case = nb.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "_nb"))).alias("_vs"))
-    init = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<int>").alias("removed"))
+def _remove_in_order(keys: list[str]) -> Callable:
+    """Rows (case, b, a) by b: b is removed once an ``a`` of its is kept. All
+    rows that decide ``a`` come before, as a < b."""
 
-    def step(acc, v):
-        # an earlier neighbour is kept iff it is not removed (vertices with
-        # no earlier neighbour are always kept and never appear in _vs)
-        kept_nb = F.exists(v["_nb"], lambda a: ~F.array_contains(acc["removed"], a))
-        return F.when(kept_nb, F.struct(acc["kept"].alias("kept"), F.concat(acc["removed"], F.array(v["b"])).alias("removed"))).otherwise(
-            F.struct(F.concat(acc["kept"], F.array(v["b"])).alias("kept"), acc["removed"].alias("removed"))
-        )
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, removed = None, set()
+        for f in frames:
+            new = []
+            for at, a, b, *case in zip(f["_root"], f["a"], f["b"], *[f[k] for k in keys], strict=True):
+                if at != root:
+                    root, removed = at, set()
+                gone = (a, *case) not in removed and (b, *case) not in removed
+                if gone:
+                    removed.add((b, *case))
+                new.append(gone)
+            yield f.loc[new, [*keys, "b"]].rename(columns={"b": "idx"})
 
-    res = per_case.select(*keys, F.aggregate("_vs", init, step, lambda a: a["removed"]).alias("_rm"))
-    return res.select(*keys, F.explode("_rm").alias("idx"))
+    return run
 
 
-def _lfmis_rounds(edges: DataFrame, keys) -> DataFrame:
-    """Distributed keep-first scan: a vertex is removed once any earlier
-    neighbour is kept, and kept once all earlier neighbours are removed."""
-    keys = list(keys)
-    live = _ckpt(edges.select(*keys, "a", "b"))
-    removed = None
-    while not live.isEmpty():
-        # undecided vertices that still have a live earlier neighbour
-        dependents = live.select(*keys, F.col("b").alias("a")).distinct()
-        # an earlier endpoint with no live earlier neighbour that is not
-        # removed is kept, so every live later neighbour of it is removed
-        kept_src = live.join(dependents, [*keys, "a"], "left_anti")
-        if removed is not None:
-            kept_src = kept_src.join(removed.withColumnRenamed("idx", "a"), [*keys, "a"], "left_anti")
-        newly = kept_src.select(*keys, F.col("b").alias("idx")).distinct()
-        removed = _ckpt(newly if removed is None else removed.unionByName(newly))
-        # drop edges into removed vertices (decided) and out of them (they
-        # can no longer remove anything); a dependent left with no edges is kept
-        live = _ckpt(
-            live.join(removed.withColumnRenamed("idx", "b"), [*keys, "b"], "left_anti").join(
-                removed.withColumnRenamed("idx", "a"), [*keys, "a"], "left_anti"
-            )
-        )
-    if removed is None:
-        return edges.select(*keys, F.col("b").alias("idx")).limit(0)
-    return removed
+def _removed(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, idx) of the actions that a keep-first scan removes."""
+    live = store(edges, "dedup-edges")
+    parts = []
+    for _ in range(ROUNDS):
+        # What has no live earlier neighbour is kept, and its later ones go.
+        later = live.select(*keys, F.col("b").alias("a")).distinct()
+        gone = store(live.join(later, [*keys, "a"], "left_anti").select(*keys, F.col("b").alias("idx")).distinct(), "dedup-gone")
+        parts.append(gone)
+        for end in ("a", "b"):
+            live = live.join(gone.withColumnRenamed("idx", end), [*keys, end], "left_anti")
+        live = store(live.select(*keys, "a", "b"), "dedup-live")
+    if not live.isEmpty():
+        node = lambda c: F.xxhash64(*keys, c)
+        dealt = _component_of(live, node("a"), node("b"), "dedup-parts")
+        dealt = dealt.repartition("_root").sortWithinPartitions("_root", *keys, "b", "a")
+        parts.append(dealt.mapInPandas(_remove_in_order(keys), _fields(live.withColumnRenamed("b", "idx"), [*keys, "idx"])))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def semantic_dedup(
@@ -431,30 +412,35 @@ def semantic_dedup(
     idx: str = "idx",
     text: str = "text",
     edges: DataFrame | None = None,
-    fold_cap: int | None = DEFAULT_FOLD_CAP,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Keep-first scan; an action is removed when it is redundant to an
     earlier KEPT action. Returns ``items`` with ``status`` kept / removed.
 
     ``items`` should already be W6-distinct. ``edges`` (keys, a, b) may be
-    supplied from any scorer; by default the built-in scorer's are used.
+    supplied ready, or a ``scorer`` with its ``candidates``; by default the
+    token scorer's edges are used. That scorer sees token sets only, so equal
+    sets of a case share their fate: the first stands for all, and the later
+    ones, redundant to it or to what removes it, always go.
     """
     keys = list(keys)
-    if edges is None:
-        edges = redundancy_edges(items, keys, threshold, idx, text)
-    e = edges.select(*keys, F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
-    if fold_cap is None:
-        removed = _lfmis_fold(e, keys)
-    else:
-        e = _ckpt(e)
-        big_keys = e.groupBy(*keys).agg(F.count("*").alias("_m")).filter(F.col("_m") > fold_cap).select(*keys)
-        if big_keys.isEmpty():
-            removed = _lfmis_fold(e, keys)
-        else:
-            big_keys = _ckpt(big_keys)
-            removed = _lfmis_fold(e.join(big_keys, keys, "left_anti"), keys).unionByName(
-                _lfmis_rounds(e.join(big_keys, keys, "left_semi"), keys)
-            )
+    same = None
+    if edges is None and scorer is None:
+        sets = store(
+            items.select(*keys, idx, text, F.array_sort(tokens(text)).alias("tok")).withColumn("_set", F.xxhash64("tok")), "dedup-sets"
+        )
+        # No tokens: redundant to nothing.
+        firsts = sets.where(F.size("tok") > 0).groupBy(*keys, "_set", "tok").agg(F.min(F.struct(idx, text)).alias("_f"))
+        firsts = store(firsts.select(*keys, "_set", "tok", f"_f.{idx}", f"_f.{text}"), "dedup-firsts")
+        first_of = firsts.select(*keys, "_set", "tok", F.col(idx).alias("_first"))
+        same = sets.join(first_of, [*keys, "_set", "tok"]).where(F.col(idx) != F.col("_first")).select(*keys, F.col(idx).alias("idx"))
+        edges = redundancy_edges(firsts.select(*keys, idx, text), keys, threshold, idx, text)
+    elif edges is None:
+        edges = redundancy_edges(items, keys, threshold, idx, text, scorer, candidates)
+    removed = _removed(edges.select(*keys, F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")), keys)
+    if same is not None:
+        removed = removed.unionByName(same.select(*keys, F.col("idx").cast("int")))
     flagged = removed.select(*keys, F.col("idx").alias(idx), F.lit(True).alias("_rm"))
     return items.join(flagged, [*keys, idx], "left").withColumn(
         "status", F.when(F.col("_rm"), "removed").otherwise("kept")

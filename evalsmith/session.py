@@ -1,13 +1,14 @@
 """Session and table helpers shared by every plan.
 
 Nothing here is cluster specific: the checkpoint folder is read from the
-session (``spark.checkpoint.dir``) and only filled in for local runs.
+session (``spark.checkpoint.dir``) and only filled in for local masters.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,31 +42,29 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` is set by the operator and points at
-    shared storage; it is used as is. Only when it is unset (local tests) a
-    scratch folder is created.
+    Only a session whose master is ``local`` gets a scratch folder where none
+    is set. Anywhere else a missing setting is an error: a folder of one
+    machine cannot be read by the others.
     """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - e.g. a remote session: the server's setting applies
-        return current or ""
-    if not current:
-        d = sc._jsc.sc().getCheckpointDir()
-        current = d.get() if d.isDefined() else None
+    held = sc._jsc.sc().getCheckpointDir()
+    if not current and held.isDefined():
+        current = held.get()
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="evalsmith-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    d = sc._jsc.sc().getCheckpointDir()
-    if not (d.isDefined() and d.get()):
+    if not held.isDefined():
         sc.setCheckpointDir(current)
     return current
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+    """Checkpoint ``df`` once in the shared checkpoint folder.
 
     Used where a derived table feeds several branches of one plan (it would
     otherwise be recomputed per branch) and to cut long lineages; reliable
@@ -75,5 +74,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: what
+    ``materialize`` does, compressed, and with columns pruned on reading."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalsmith.operators.diagnostics import rescore_saved
@@ -44,18 +45,26 @@ def _random_edges(rng, n_cases=60):
     return rows, by_case
 
 
-def test_greedy_fold_and_rounds_equal_loop(spark):
-    rng = random.Random(7)
-    rows, by_case = _random_edges(rng)
+def _check_greedy(spark, rows, by_case):
     df = spark.createDataFrame(rows, "case_id string, g int, r int, score double")
-    for cap in (None, 0, 10):
-        got = {}
-        for row in greedy_match(df, ["case_id"], 0.5, fold_cap=cap).collect():
-            got.setdefault(row["case_id"], []).append((row["ord"], row["g"], row["r"]))
-        for c, es in by_case.items():
-            want = py_greedy(es, 0.5)
-            have = [(g, r) for _, g, r in sorted(got.get(c, []))]
-            assert have == want, (cap, c)
+    got = {}
+    for row in greedy_match(df, ["case_id"], 0.5).collect():
+        got.setdefault(row["case_id"], []).append((row["ord"], row["g"], row["r"]))
+    for c, es in by_case.items():
+        assert [(g, r) for _, g, r in sorted(got.get(c, []))] == py_greedy(es, 0.5), c
+
+
+def test_greedy_equals_loop(spark):
+    _check_greedy(spark, *_random_edges(random.Random(7)))
+
+
+def test_greedy_long_chain_and_hot_case(spark):
+    # each edge is dominated by the next one: only the last is settled a round
+    chain = [(i // 2, (i + 1) // 2, 0.5 + i / 20_001) for i in range(10_000)]
+    rng = random.Random(5)
+    hot = [(g, r, rng.choice([0.5, 0.6, 0.9])) for g in range(60) for r in range(60)]
+    rows = [("chain", g, r, s) for g, r, s in chain] + [("hot", g, r, s) for g, r, s in hot] + [(f"c{i}", 0, 0, 0.7) for i in range(500)]
+    _check_greedy(spark, rows, {"chain": chain, "hot": hot})
 
 
 def py_dedup(items, redundant):
@@ -72,9 +81,33 @@ def test_semantic_dedup_chain_keeps_a_and_c(spark):
     # a~b and b~c but not a~c: the scan keeps a, removes b, keeps c
     items = spark.createDataFrame([("k", 0, "alpha beta"), ("k", 1, "beta gamma"), ("k", 2, "gamma delta")], "case_id string, idx int, text string")
     edges = spark.createDataFrame([("k", 0, 1), ("k", 1, 2)], "case_id string, a int, b int")
-    for cap in (None, 0):
-        out = {r["idx"]: r["status"] for r in semantic_dedup(items, ["case_id"], 0.5, edges=edges, fold_cap=cap).collect()}
-        assert out == {0: "kept", 1: "removed", 2: "kept"}
+    out = {r["idx"]: r["status"] for r in semantic_dedup(items, ["case_id"], 0.5, edges=edges).collect()}
+    assert out == {0: "kept", 1: "removed", 2: "kept"}
+
+
+def test_semantic_dedup_long_chain(spark):
+    n = 10_000
+    items = spark.createDataFrame([("k", i, f"t{i}") for i in range(n)], "case_id string, idx int, text string")
+    edges = spark.createDataFrame([("k", i, i + 1) for i in range(n - 1)], "case_id string, a int, b int")
+    out = semantic_dedup(items, ["case_id"], 0.5, edges=edges)
+    assert {r["idx"] for r in out.where("status = 'kept'").collect()} == set(range(0, n, 2))
+
+
+def test_semantic_dedup_with_a_scorer(spark):
+    """A scorer that calls texts of equal length alike, over the caller's pairs."""
+    items = spark.createDataFrame([("k", 0, "aa"), ("k", 1, "b"), ("k", 2, "cc"), ("k", 3, "d"), ("j", 0, "x"), ("j", 1, "y")], "case_id string, idx int, text string")
+    candidates = spark.createDataFrame([("k", 0, 1), ("k", 0, 2), ("k", 1, 3), ("j", 0, 1)], "case_id string, a int, b int")
+
+    def same_length(pairs):
+        alike = (F.length("text_a") == F.length("text_b")).cast("double")
+        return pairs.withColumns({"forward": alike, "backward": alike})
+
+    out = semantic_dedup(items, ["case_id"], 0.5, scorer=same_length, candidates=candidates).where("status = 'removed'").collect()
+    assert {(r["case_id"], r["idx"]) for r in out} == {("k", 2), ("k", 3), ("j", 1)}
+    with pytest.raises(ValueError):
+        semantic_dedup(items, ["case_id"], 0.5, scorer=same_length)
+    with pytest.raises(ValueError):
+        semantic_dedup(items, ["case_id"], 0.0)
 
 
 def test_semantic_dedup_random_vs_loop(spark):
@@ -91,12 +124,11 @@ def test_semantic_dedup_random_vs_loop(spark):
         truth[f"c{c}"] = set(kept)
     items = spark.createDataFrame(item_rows, "case_id string, idx int, text string")
     edges = spark.createDataFrame(edge_rows, "case_id string, a int, b int")
-    for cap in (None, 0, 5):
-        got = {}
-        for r in semantic_dedup(items, ["case_id"], 0.5, edges=edges, fold_cap=cap).collect():
-            if r["status"] == "kept":
-                got.setdefault(r["case_id"], set()).add(r["idx"])
-        assert got == truth, cap
+    got = {}
+    for r in semantic_dedup(items, ["case_id"], 0.5, edges=edges).collect():
+        if r["status"] == "kept":
+            got.setdefault(r["case_id"], set()).add(r["idx"])
+    assert got == truth
 
 
 def _toks(s):
