@@ -163,38 +163,55 @@ def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
     return values, radices
 
 
-def feistel(values: Column, radices: Column, key: str, tweak: Column, rounds: int = ROUNDS, back: bool = False) -> Column:
-    """The keyed permutation of ``values`` (array of int, each below its
-    radix), or its inverse. Numbers alternate between the halves, so that
-    each half has some of every part of the value."""
-    half = lambda a, h: F.filter(a, lambda x, i: i % 2 == h)
+def _network(halves: Column, radix: Column, key: str, tweak: Column, rounds: int, back: bool) -> Column:
+    """The two halves (struct of arrays a, b) after all rounds."""
+
+    def step(state: Column, r: Column) -> Column:
+        def add(target: str, source: str) -> Column:
+            seed = F.concat_ws(":", F.lit(key), tweak, r.cast("string"), F.array_join(F.transform(state[source], lambda x: x.cast("string")), ","))
+
+            def with_stream(stream: Column) -> Column:
+                def one(x: Column, i: Column) -> Column:
+                    y = F.conv(F.substring(stream, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+                    return F.pmod(x - y if back else x + y, F.get(radix[target], i)).cast("int")
+
+                return F.transform(state[target], one)
 
-    def permuted(radix: Column) -> Column:
-        def step(state: Column, r: Column) -> Column:
-            def add(target: str, source: str) -> Column:
-                seed = F.concat_ws(":", F.lit(key), tweak, r.cast("string"), F.array_join(F.transform(state[source], lambda x: x.cast("string")), ","))
+            # Sixteen numbers of 32 bits from each block of the stream.
+            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(state[target]) / 16).cast("int")), lambda k: F.sha2(F.concat_ws(":", seed, k.cast("string")), 512))
+            return _let(F.array_join(blocks, ""), with_stream)
 
-                def with_stream(stream: Column) -> Column:
-                    def one(x: Column, i: Column) -> Column:
-                        y = F.conv(F.substring(stream, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
-                        return F.pmod(x - y if back else x + y, F.get(radix[target], i)).cast("int")
+        return F.struct(
+            F.when(r % 2 == 0, add("a", "b")).otherwise(state["a"]).alias("a"),
+            F.when(r % 2 == 1, add("b", "a")).otherwise(state["b"]).alias("b"),
+        )
+
+    order = F.sequence(F.lit(rounds - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(rounds - 1))
+    return F.aggregate(order, halves, step)
+
+
+def feistel(values: Column, radices: Column, key: str, tweak: Column, rounds: int = ROUNDS, back: bool = False) -> Column:
+    """The keyed permutation of ``values`` (array of int, each below its
+    radix), or its inverse. Numbers that can change (radix above 1) alternate
+    between the halves, so that each half has some of every part of the value;
+    what stands between them, such as separators, makes no difference."""
+    places = F.filter(F.transform(radices, lambda r, i: F.when(r > 1, i).otherwise(-1)), lambda i: i >= 0)
 
-                    return F.transform(state[target], one)
+    def with_places(at: Column) -> Column:
+        half = lambda a, h: F.transform(F.filter(at, lambda x, j: j % 2 == h), lambda i: F.get(a, i))
+        halves = lambda a: F.struct(half(a, 0).alias("a"), half(a, 1).alias("b"))
 
-                # Sixteen numbers of 32 bits from each block of the stream.
-                blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(state[target]) / 16).cast("int")), lambda k: F.sha2(F.concat_ws(":", seed, k.cast("string")), 512))
-                return _let(F.array_join(blocks, ""), with_stream)
+        def put_back(done: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                j = F.array_position(at, i).cast("int") - 1
+                return F.when(j < 0, x).otherwise(F.get(F.when(j % 2 == 0, done["a"]).otherwise(done["b"]), (j / 2).cast("int")))
 
-            return F.struct(
-                F.when(r % 2 == 0, add("a", "b")).otherwise(state["a"]).alias("a"),
-                F.when(r % 2 == 1, add("b", "a")).otherwise(state["b"]).alias("b"),
-            )
+            return F.transform(values, one)
 
-        order = F.sequence(F.lit(rounds - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(rounds - 1))
-        return F.aggregate(order, F.struct(half(values, 0).alias("a"), half(values, 1).alias("b")), step)
+        done = _let(halves(radices), lambda radix: _network(halves(values), radix, key, tweak, rounds, back))
+        return _let(done, put_back)
 
-    done = _let(F.struct(half(radices, 0).alias("a"), half(radices, 1).alias("b")), permuted)
-    return _let(done, lambda d: F.transform(values, lambda _, i: F.get(F.when(i % 2 == 0, d["a"]).otherwise(d["b"]), (i / 2).cast("int"))))
+    return _let(places, with_places)
 
 
 def _let(value: Column, then) -> Column:
