@@ -80,14 +80,13 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     placed = running(store(sources, "mix-sources"), [F.col("source").asc_nulls_last()], index="place")
     placed = placed.withColumn("weight", F.element_at(w, (F.col("place") % len(weights) + 1).cast("int")))
     placed = store(placed.withColumn("cap", F.col("source_size") * F.lit(float(max_repeat))), "mix-places")
-    whole = placed.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    whole = placed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     by_cap = running(placed, [F.col("source_size") / F.col("weight"), F.col("place")], {"caps": "cap", "weights": "weight"}, index="nth")
-    level = (F.col("all_size") * F.lit(float(share)) - F.col("caps")) / (F.col("all_weight") - F.col("weights"))
-    levels = store(by_cap.join(F.broadcast(whole)).withColumn("level", level), "mix-levels")
-    settled = levels.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("nth", "level")).getField("level").alias("settled"))
-    return levels.join(F.broadcast(settled)).select(
-        "source", "source_size", "place", "weight", F.coalesce(F.least("cap", F.col("settled") * F.col("weight")), F.col("cap")).alias("target")
-    )
+    level = (F.lit(float(whole["size"] or 0) * share) - F.col("caps")) / (F.lit(float(whole["weight"] or 0)) - F.col("weights"))
+    levels = store(by_cap.withColumn("level", level), "mix-levels")
+    settled = levels.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("nth", "level")).getField("level")).first()[0]
+    target = F.col("cap") if settled is None else F.least("cap", F.lit(settled) * F.col("weight"))
+    return levels.select("source", "source_size", "place", "weight", target.alias("target"))
 
 
 def _stops(rows: DataFrame, goals: DataFrame, broadcast_sources: int) -> DataFrame:
