@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, table
+from ..session import shared_path, store, table
 
 # Python workers receive this package's functions by value, so executors need
 # no installed copy.
@@ -18,22 +17,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 __all__ = ["as_text", "chunks", "running", "shared_path", "shuffle_partitions", "store", "table"]
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name inside the shared folder of ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts lineage: what reads the result survives lost executors without
-    computing ``df`` again, and several branches share one computation.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Tasks for ``rows`` small rows: the session's shuffle width, or more so
     that no task gets over about ``rows_per_task``."""

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import as_text, shuffle_partitions, store
 
 SEED = 42
@@ -202,27 +203,6 @@ def near_links(fps: DataFrame, max_bits: int = 3, task_rows: int = 100_000, leas
     return dealt.repartition(parts, "block", "value", "x", "y").select("fp", "block", "x", "y").mapInPandas(_links(max_bits), "u long, v long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v): root is the smallest
-    node reachable. Alternates large-star and small-star steps; each step's
-    edges are written to the shared folder, minima before they are joined, so
-    that a hot node's rows can be split over tasks."""
-    edges = store(edges.select("u", "v").where("u != v").distinct(), name)
-    seen = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
-        large = store(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), name)
-        least = store(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = store(small.where("u != v").distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, task_rows: int = 100_000) -> DataFrame:
     """One row per document: ``doc_id``, ``text_hash``, ``fp`` and
     ``component_id``, the smallest doc_id reachable; ``first_hash`` is the
