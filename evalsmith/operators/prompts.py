@@ -33,6 +33,8 @@ GENERATION_TEMPLATE = (
     "#Question#: {question}\n\n#Knowledge#: {knowledge}\n\n#Ground truth answer#: {ground_truth}\n\n"
     "Return exactly:\n#Hallucinated Answer#: <answer>\n#Justification of Hallucinated answer#: <rationale>"
 )
+# Added to a prompt whose answer is to be improved.
+REVISION_SUFFIX = "\n\nImprove on this previous attempt and keep the same two fields:\n"
 # JSON-payload prompts: pass ``payload=F.to_json(F.struct(...))`` to render.
 RULE_EXTRACTION_TEMPLATE = (
     "Turn the guideline text into rules. Return one JSON object with a \"rules\" list; each rule has "
@@ -66,6 +68,12 @@ def render(template: str, **overrides) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def revision_prompt(prompt: Column, previous: Column) -> Column:
+    """P3 (revision): the prompt again, with the previous attempt or what a
+    reviser made of it; without one, the prompt alone."""
+    return F.when(F.coalesce(previous, F.lit("")) != "", F.concat(prompt, F.lit(REVISION_SUFFIX), previous)).otherwise(prompt)
+
+
 def messages(user: Column, system: str | Column | None = None, merge_system: bool = False) -> Column:
     """Chat messages; ``merge_system`` puts the system text in front of the
     user text for models without a system role."""

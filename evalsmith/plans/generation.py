@@ -26,7 +26,7 @@ from ..operators.generation import (
 )
 from ..operators.inference import refine_rounds, score_batches
 from ..operators.metrics import truncate_floats
-from ..operators.prompts import QA_JUDGE_KNOWLEDGE_TEMPLATE, QA_JUDGE_SYSTEM, build_prompts
+from ..operators.prompts import QA_JUDGE_KNOWLEDGE_TEMPLATE, QA_JUDGE_SYSTEM, REVISION_SUFFIX, build_prompts
 from ..session import table
 from .common import hex_digit, key_text, pick, sql_hex_digit, sql_list
 
@@ -172,7 +172,7 @@ def stub_judge(prompts: pd.DataFrame) -> pd.Series:
 
 def score_batches_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prompt_table(spark, sf_dir)
-    out = score_batches(p, stub_judge, ["item_id"], ["prompt"], "raw_output")
+    out = score_batches(p, stub_judge, ["item_id"], ["prompt"], "raw_output").drop("error")
     return out.withColumn("predicted_label", qa_reply_label("raw_output"))
 
 
@@ -181,11 +181,20 @@ def _h(s: str) -> int:
 
 
 def stub_generate(b: pd.DataFrame) -> pd.Series:
-    return b.iloc[:, 0].map(lambda p: "answer-" + str(_h(p) % 97))
+    """By the prompt's hash: nothing, a bare answer, or the two sections."""
+
+    def one(prompt: str) -> str:
+        h = _h(prompt)
+        if h % 7 == 0:
+            return ""
+        answer = f"answer-{h % 97}"
+        return answer if h % 5 == 0 else f"#Hallucinated Answer#: {answer}\n#Justification of Hallucinated answer#: reason {h % 13}"
+
+    return b.iloc[:, 0].map(one)
 
 
 def stub_revise(b: pd.DataFrame) -> pd.Series:
-    return b.iloc[:, 1].map(lambda a: a + "+r")
+    return b["answer"] + "+r" + b["reasoning"].map(lambda r: str(_h(r) % 10))
 
 
 def _stub_vote(salt: str):
@@ -198,7 +207,7 @@ def _stub_vote(salt: str):
 def refine_rounds_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir).select("item_id", F.col("text").alias("prompt"))
     att = refine_rounds(items, "item_id", stub_generate, [_stub_vote("a"), _stub_vote("b"), _stub_vote("c")], stub_revise, rounds=3)
-    return att.select("item_id", "attempt_no", "stage", "answer", "any_fooled", "difficulty")
+    return att.select("item_id", "attempt_no", "stage", "answer", "justification", "any_fooled", "difficulty")
 
 
 # -- action replies ---------------------------------------------------------------
@@ -419,7 +428,6 @@ SELECT case_id, CAST(shape AS INTEGER) AS shape, array_to_string(acts, ' | ') AS
 
 
 def _build_prompts_sql() -> str:
-    from ..operators.prompts import QA_JUDGE_KNOWLEDGE_TEMPLATE, QA_JUDGE_SYSTEM
 
     t = QA_JUDGE_KNOWLEDGE_TEMPLATE
     t = t.replace("{knowledge}", "' || knowledge || '").replace("{question}", "' || question || '").replace("{answer}", "' || answer || '")
@@ -443,29 +451,32 @@ def _score_batches_sql() -> str:
 
 
 def _refine_rounds_sql(rounds: int = 3) -> str:
-    """The stub models restated in SQL: a generated answer is
-    'answer-' || (first 8 md5 hex digits of the prompt) % 97, a revision
-    appends '+r', judge s is fooled when (md5 of answer || s) % 4 = 0."""
+    """The stub models restated in SQL. They are pure, so an item's rows of a
+    later round equal those of the first."""
     h = lambda x: f"(('0x' || substr(md5({x}), 1, 8))::BIGINT)"
-    fooled = lambda a: [f"({h(a + ' || ' + repr_s)} % 4 = 0)" for repr_s in ("'a'", "'b'", "'c'")]
-
-    def judged(a: str) -> str:
-        f = fooled(a)
-        n = " + ".join(f"CAST({x} AS INTEGER)" for x in f)
-        return (f"({' OR '.join(f)})", f"(CASE WHEN {n} = 3 THEN 'hard' WHEN {n} > 1 THEN 'medium' ELSE 'easy' END)")
-
-    a1 = "('answer-' || CAST(" + h("text") + " % 97 AS VARCHAR))"
-    a2 = f"({a1} || '+r')"
-    any1, d1 = judged(a1)
-    any2, d2 = judged(a2)
+    revision = REVISION_SUFFIX.replace("\n", "' || chr(10) || '")
+
+    def stage(name: str, prompt: str, source: str) -> str:
+        fooled = [f"CAST({h(f'answer || {salt!r}')} % 4 = 0 AS INTEGER)" for salt in ("a", "b", "c")]
+        return f"""{name} AS (
+  SELECT *, n > 0 AS any_fooled, CASE WHEN n = 3 THEN 'hard' WHEN n > 1 THEN 'medium' ELSE 'easy' END AS difficulty FROM (
+    SELECT *, {' + '.join(fooled)} AS n FROM (
+      SELECT item_id, text, 'answer-' || CAST(hash % 97 AS VARCHAR) AS answer, CASE WHEN hash % 5 = 0 THEN '' ELSE 'reason ' || CAST(hash % 13 AS VARCHAR) END AS justification
+      FROM (SELECT item_id, text, {h(prompt)} AS hash FROM {source}) WHERE hash % 7 <> 0)))"""
+
+    reasons = "'Option 1Reasons: Option 1Reasons: Option 1'"
+    feedback = f"answer || '+r' || CAST({h(reasons)} % 10 AS VARCHAR)"
+    ctes = [
+        stage("g", "text", "(SELECT CAST(item_id AS VARCHAR) AS item_id, text FROM benchmark)"),
+        stage("r", f"text || '{revision}' || {feedback}", "(SELECT * FROM g WHERE NOT any_fooled)"),
+        "s AS (SELECT item_id FROM g WHERE any_fooled UNION SELECT item_id FROM r WHERE any_fooled)",
+    ]
     rows = []
     for rnd in range(1, rounds + 1):
-        first = "TRUE" if rnd == 1 else f"NOT {any1} AND NOT {any2}"
-        rows.append(f"SELECT CAST(item_id AS VARCHAR) AS item_id, {2 * rnd - 1} AS attempt_no, 'generate' AS stage, {a1} AS answer, "
-                    f"{any1} AS any_fooled, {d1} AS difficulty FROM benchmark WHERE {first}")
-        rows.append(f"SELECT CAST(item_id AS VARCHAR) AS item_id, {2 * rnd} AS attempt_no, 'revise' AS stage, {a2} AS answer, "
-                    f"{any2} AS any_fooled, {d2} AS difficulty FROM benchmark WHERE NOT {any1} AND ({first})")
-    return "\nUNION ALL\n".join(rows)
+        where = "" if rnd == 1 else " WHERE item_id NOT IN (SELECT item_id FROM s)"
+        for n, (t, name) in enumerate((("g", "generate"), ("r", "revise"))):
+            rows.append(f"SELECT item_id, {2 * rnd - 1 + n} AS attempt_no, '{name}' AS stage, answer, justification, any_fooled, difficulty FROM {t}{where}")
+    return "WITH " + ", ".join(ctes) + "\n" + "\nUNION ALL\n".join(rows)
 
 
 def oracles() -> dict[str, str]:
