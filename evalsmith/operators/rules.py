@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_of, py_strip
-from ..session import materialize
+from .ordering import numbered_within
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for parity).
@@ -185,7 +185,11 @@ def priority_for_class(cls) -> Column:
 
 def normalize_rule(r: Column) -> Column:
     """F7 for one raw rule struct; null when its class cannot be settled
-    (the rule is dropped). ``rule_id`` is left null for W2 to number."""
+    (the rule is dropped). ``rule_id`` is left null for W2 to number.
+
+    A null scenario counts as a missing one and becomes GENERAL: in a typed
+    column the two are the same, and a missing key is the common case. Any
+    other text outside the allowed set is inferred from the statement."""
     stmt_raw = F.coalesce(r["source_statement"].cast("string"), F.lit(""))
     scen = F.upper(py_strip(F.coalesce(r["scenario"].cast("string"), F.lit("GENERAL"))))
     scen = F.when(scen.isin(*ALLOWED_SCENARIOS), scen).otherwise(infer_scenario(stmt_raw))
@@ -248,23 +252,19 @@ def number_rules_array(raw_rules) -> Column:
     return F.transform(srt, lambda x, i: x.withField("rule_id", rule_id_text(i + 1)))
 
 
-def number_rules(raw: DataFrame, record: str, pos: str, chunk_width: int = 1 << 20) -> DataFrame:
+def number_rules(raw: DataFrame, record: str, pos: str, rows_per_task: int = 1_000_000) -> DataFrame:
     """W2 (row form) over an exploded raw-rules table ``(record, pos, rule fields)``.
 
     Valid rules are numbered by input position, two wrapper rows are added
     per record (one row per record from a grouped count: algebraic), then all
-    rules are renumbered by (priority desc, id text). No window partition
-    holds a whole record: numbering uses chunked running counts and the
-    per-priority offsets come from a table with one row per (record,
-    priority).
+    rules are renumbered by (priority desc, id text). Both numberings are
+    places in a range-sorted global order less the record's first, so a
+    record with a third of all rules spreads over many tasks, and ids of any
+    length are compared as the text they are.
     """
-    from .sessions import running_count  # skew-safe numbering
-
     rule = normalize_rule(F.struct(*[F.col(c) for c in RULE_FIELDS if c != "rule_id"], F.lit(None).alias("rule_id")))
-    valid = materialize(raw.select(record, pos, rule.alias("r")).filter(F.col("r").isNotNull()))
-    # valid rules numbered by input position: a running count per record,
-    # chunked so one huge record is not sorted by a single task
-    valid = running_count(valid, record, pos, F.lit(1), "_k", chunk_width)
+    valid = raw.select(record, pos, rule.alias("r")).filter(F.col("r").isNotNull())
+    valid = numbered_within(valid, [record], [F.col(pos)], "_k", rows_per_task)
     valid = valid.select(record, F.col("r").withField("rule_id", rule_id_text(F.col("_k"))).alias("r"))
     counts = raw.select(record).distinct().join(
         valid.groupBy(record).agg(F.count("*").alias("n")), record, "left"
@@ -274,18 +274,8 @@ def number_rules(raw: DataFrame, record: str, pos: str, chunk_width: int = 1 <<
         F.explode(F.array(_wrapper_struct(WRAPPER_RULES[0], F.col("n") + 1), _wrapper_struct(WRAPPER_RULES[1], F.col("n") + 2))).alias("r"),
     )
     allr = valid.unionByName(wrappers).select(record, "r.*")
-    # Final rank = rules of the record with a higher priority + rank by id
-    # text within (record, priority). The id text order is reproduced by a
-    # numeric key (digits right-padded, then length), so the within-priority
-    # rank is again a chunked running count.
-    digits = F.substring(F.col("rule_id"), 2, 64)
-    allr = materialize(allr.withColumn("_key", F.rpad(digits, 12, "0").cast("long") * 100 + F.length(digits)))
-    within = running_count(allr, [record, "priority"], "_key", F.lit(1), "_w", chunk_width)
-    per_prio = allr.groupBy(record, "priority").agg(F.count("*").alias("_c"))
-    wp = Window.partitionBy(record).orderBy(F.col("priority").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_prio.withColumn("_off", F.coalesce(F.sum("_c").over(wp), F.lit(0))).drop("_c")
-    ranked = within.join(offsets, [record, "priority"])
-    return ranked.withColumn("rule_id", rule_id_text(F.col("_off") + F.col("_w"))).drop("_key", "_w", "_off")
+    ranked = numbered_within(allr, [record], [F.col("priority").desc(), F.col("rule_id")], "_w", rows_per_task)
+    return ranked.withColumn("rule_id", rule_id_text(F.col("_w"))).drop("_w")
 
 
 # Action phrasings that give a near miss away.

@@ -155,7 +155,7 @@ def test_number_rules_rows_chunked(spark):
     raw = spark.createDataFrame(rows, "record string, pos long, scenario string, priority int, activation_condition string, "
                                       "recommendation_class string, execute string, source_statement string")
     a = sorted(tuple(r) for r in number_rules(raw, "record", "pos").collect())
-    b = sorted(tuple(r) for r in number_rules(raw, "record", "pos", chunk_width=5).collect())
+    b = sorted(tuple(r) for r in number_rules(raw, "record", "pos", rows_per_task=5).collect())
     assert a == b
     by = {}
     for r in number_rules(raw, "record", "pos").collect():
