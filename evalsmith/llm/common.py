@@ -5,9 +5,8 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
 
+from ..operators.ordering import running, shuffle_partitions
 from ..session import shared_path, store, table
 
 # Python workers receive this package's functions by value, so executors need
@@ -17,12 +16,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 __all__ = ["as_text", "chunks", "running", "shared_path", "shuffle_partitions", "store", "table"]
 
 
-def shuffle_partitions(spark: SparkSession, rows: int, rows_per_task: int) -> int:
-    """Tasks for ``rows`` small rows: the session's shuffle width, or more so
-    that no task gets over about ``rows_per_task``."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
-
-
 def as_text(value) -> str:
     """A cell of a pandas string column as text; null is the empty text."""
     return value if isinstance(value, str) else ""
@@ -39,31 +32,3 @@ def chunks(lengths, limit: int):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
-
-
-def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, index: str = "index", rows_per_task: int = 1_000_000) -> DataFrame:
-    """``df`` with its 0-based ``index`` in the global ``order`` and, for each
-    (name, column) of ``sums``, the sum over all rows before it.
-
-    A range shuffle sorts the rows, the sorted rows are written once with their
-    place, and one row per range carries the totals before it. No task sees
-    more than its range, whatever keys repeat. ``df`` is read twice (ranges
-    are sampled first): pass a stored table.
-    """
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark, df.count(), rows_per_task)
-    at = F.monotonically_increasing_id()
-    rows = store(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", at), "running")
-    rows = rows.withColumn("__range", F.shiftright("__at", 33))
-    sums = sums or {}
-    ranges = rows.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__sum_{k}") for k, c in sums.items()])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    # One row per range: ``parts`` rows, whatever the input.
-    ranges = store(ranges.select("__range", totals("__n").alias("__n"), *[totals(f"__sum_{k}").alias(f"__sum_{k}") for k in sums]), "ranges")
-    if sums:
-        own = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumns({k: F.coalesce(F.sum(c).over(own), F.lit(0)) for k, c in sums.items()})
-    out = rows.join(F.broadcast(ranges), "__range").withColumn(index, F.col("__n") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    out = out.withColumns({k: F.col(k) + F.col(f"__sum_{k}") for k in sums})
-    return out.drop("__at", "__range", "__n", *[f"__sum_{k}" for k in sums])

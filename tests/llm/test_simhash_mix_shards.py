@@ -208,13 +208,3 @@ def test_shards_are_runs_of_the_curve(odd_docs, no_docs):
     assert [r["curve_index"] for r in line] == sorted(r["curve_index"] for r in line)
     assert hilbert.shard_by_curve(no_docs).count() == 0
     assert sorted(r["slot"] for r in hilbert.shard_by_curve(odd_docs.limit(3)).collect()) == [0, 0, 0]
-
-
-def test_running_sums(spark):
-    rows = [(i % 7, i, (i * 37) % 11) for i in range(500)] + [(None, 1, 2)] * 3
-    got = common.running(common.store(spark.createDataFrame(rows, "k long, i long, n long"), "t"), [F.col("k").asc_nulls_last(), F.col("i")], {"before": "n"}, rows_per_task=40)
-    want, total = [], 0
-    for at, (k, i, n) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))):
-        want.append((at, k, i, total))
-        total += n
-    assert sorted((r["index"], r["k"], r["i"], r["before"]) for r in got.collect()) == want
