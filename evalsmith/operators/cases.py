@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.replies import keep_first_distinct
 from ..functions.text import blank_to_null, bullet_list, py_strip
@@ -96,6 +97,39 @@ def near_miss_cases(records: DataFrame) -> DataFrame:
     )
 
 
+def guideline_cases(records: DataFrame, payload: str = "source_case") -> DataFrame:
+    """X1, X2 and O1 in one pass over the records: the concordant case and the
+    near-miss cases of each record, which is built and read once."""
+    p, ex = F.col(payload), F.coalesce(F.col("challenging_examples"), F.array())
+    no_ids = F.array().cast("array<string>")
+
+    def one(v, actions, ids, difficulty, pos):
+        return F.struct(
+            v.alias("vignette"), actions.alias("actions"), F.coalesce(ids, no_ids).alias("ids"),
+            F.lower(py_strip(F.coalesce(difficulty, F.lit("medium")))).alias("difficulty"), pos.cast("int").alias("pos"),
+        )
+
+    base = one(p["patient_vignette"], p["recommended_actions"], p["triggered_rule_ids"], F.lit("concordant"), F.lit(-1))
+    others = F.transform(ex, lambda e, i: one(e["patient_vignette"], e["likely_but_incorrect_actions"], e["invalidated_rule_ids"], e["difficulty"], i))
+    staged = records.select(*_guideline_cols(), _record_index_text().alias("_index"), _rules_text(records).alias("rules_text"), F.concat(F.array(base), others).alias("_cases"))
+    c, is_base = F.col("_c"), F.col("_c.pos") < 0
+    return (
+        staged.select("*", F.explode("_cases").alias("_c"))
+        .where(_nonblank(c["vignette"]) & (F.coalesce(F.size(c["actions"]), F.lit(0)) > 0))
+        .select(
+            "record_index", "guideline_id", "guideline_source", "guideline_title",
+            F.concat("_index", F.when(is_base, F.lit("_source")).otherwise(F.concat(F.lit("_adv_"), c["pos"].cast("string")))).alias("case_id"),
+            F.when(is_base, "source_case").otherwise("challenging_example").alias("case_kind"),
+            F.when(c["difficulty"] == "", "medium").otherwise(c["difficulty"]).alias("difficulty"),
+            F.when(is_base, 0).otherwise(1).alias("label"),
+            py_strip(c["vignette"]).alias("patient_vignette"),
+            c["actions"].alias("proposed_actions"),
+            c["ids"].alias("reference_rule_ids"),
+            "rules_text",
+        )
+    )
+
+
 def all_cases(concordant: DataFrame, near_miss: DataFrame, require_rows: bool = False) -> DataFrame:
     """O1: concordant rows then near-miss rows, duplicates kept.
 
@@ -128,49 +162,49 @@ def reference_cases(records: DataFrame, keep_orphan_examples: bool = False) -> D
     left after cleaning. Examples: every ``challenging_examples`` element
     with a vignette and an action list (an empty cleaned list is kept). If
     the base case is dropped, its examples are dropped too (Q7) unless
-    ``keep_orphan_examples``. Decided per record, before exploding: no join.
+    ``keep_orphan_examples``. One pass: a record's base case, its cleaned
+    actions and its examples are each made once, then exploded.
     """
     gen = F.col("generated_case") if "generated_case" in records.columns else F.lit(None)
     src = F.col("source_case") if "source_case" in records.columns else F.lit(None)
-    base = F.coalesce(gen, src)
-    kind = F.when(gen.isNotNull(), "generated_case").otherwise("source_case")
-    cleaned = _clean_actions(base["recommended_actions"])
-    base_ok = (
-        base.isNotNull() & _nonblank(base["patient_vignette"]) & base["recommended_actions"].isNotNull()
-        & (F.size(cleaned) > 0)
-    )
-    r = records.select("*", F.coalesce(base_ok, F.lit(False)).alias("_base_ok"))
-    common = [*_guideline_cols()]
-    bases = r.filter("_base_ok").select(
-        *common,
-        F.concat(_record_index_text(), F.lit("_"), kind).alias("case_id"),
-        kind.alias("case_kind"),
-        py_strip(base["patient_vignette"]).alias("patient_vignette"),
-        cleaned.alias("reference_actions"),
-        F.coalesce(base["triggered_rule_ids"], F.array().cast("array<string>")).alias("reference_rule_ids"),
+    ex = F.col("challenging_examples") if "challenging_examples" in records.columns else F.lit(None).cast("array<struct<patient_vignette:string,recommended_actions:array<string>,triggered_rule_ids:array<string>>>")
+    no_ids = F.array().cast("array<string>")
+
+    def one(kind, vignette, actions, ids, pos):
+        return F.struct(kind.alias("kind"), vignette.alias("vignette"), actions.alias("actions"), F.coalesce(ids, no_ids).alias("ids"), pos.cast("int").alias("pos"))
+
+    staged = records.select(
+        *_guideline_cols(),
+        _record_index_text().alias("_index"),
         _rules_text(records).alias("rules_text"),
+        F.when(gen.isNotNull(), "generated_case").otherwise("source_case").alias("_kind"),
+        F.coalesce(gen, src).alias("_base"),
+        F.coalesce(ex, F.array()).alias("_examples"),
+    ).withColumn("_clean", _clean_actions(F.col("_base.recommended_actions")))
+    base_ok = F.coalesce(_nonblank(F.col("_base.patient_vignette")) & (F.size("_clean") > 0), F.lit(False))
+    base = one(F.col("_kind"), F.col("_base.patient_vignette"), F.col("_clean"), F.col("_base.triggered_rule_ids"), F.lit(-1))
+    usable = F.filter(
+        F.transform("_examples", lambda e, i: F.struct(e.alias("e"), i.alias("i"))),
+        lambda x: _nonblank(x["e"]["patient_vignette"]) & x["e"]["recommended_actions"].isNotNull(),
     )
-    src_examples = r if keep_orphan_examples else r.filter("_base_ok")
-    ex = src_examples.select(
-        "*", F.posexplode(F.coalesce(F.col("challenging_examples"), F.array())).alias("_pos", "_ex")
+    others = F.transform(
+        usable,
+        lambda x: one(F.lit("challenging_example"), x["e"]["patient_vignette"], _clean_actions(x["e"]["recommended_actions"]), x["e"]["triggered_rule_ids"], x["i"]),
     )
-    e = F.col("_ex")
-    examples = ex.filter(
-        e.isNotNull() & _nonblank(e["patient_vignette"]) & e["recommended_actions"].isNotNull()
-    ).select(
-        *common,
-        F.concat(_record_index_text(), F.lit("_challenging_example_"), F.col("_pos").cast("string")).alias("case_id"),
-        F.lit("challenging_example").alias("case_kind"),
-        py_strip(e["patient_vignette"]).alias("patient_vignette"),
-        _clean_actions(e["recommended_actions"]).alias("reference_actions"),
-        F.coalesce(e["triggered_rule_ids"], F.array().cast("array<string>")).alias("reference_rule_ids"),
-        _rules_text(records).alias("rules_text"),
+    none = F.filter(F.array(base), lambda _: F.lit(False))
+    cases = F.when(base_ok, F.concat(F.array(base), others)).otherwise(others if keep_orphan_examples else none)
+    c = F.col("_c")
+    return staged.select("*", F.explode(cases).alias("_c")).select(
+        "record_index", "guideline_id", "guideline_source", "guideline_title",
+        F.concat("_index", F.lit("_"), c["kind"], F.when(c["pos"] < 0, F.lit("")).otherwise(F.concat(F.lit("_"), c["pos"].cast("string")))).alias("case_id"),
+        c["kind"].alias("case_kind"),
+        py_strip(c["vignette"]).alias("patient_vignette"),
+        c["actions"].alias("reference_actions"),
+        c["ids"].alias("reference_rule_ids"),
+        "rules_text",
+        F.array_join(F.transform(c["actions"], lambda a: F.concat(F.lit("- "), a)), "\n").alias("reference_actions_text"),
+        F.array_join(c["ids"], ", ").alias("reference_rule_ids_text"),
     )
-    out = bases.unionByName(examples)
-    return out.withColumn(
-        "reference_actions_text",
-        F.array_join(F.transform("reference_actions", lambda a: F.concat(F.lit("- "), a)), "\n"),
-    ).withColumn("reference_rule_ids_text", F.array_join("reference_rule_ids", ", "))
 
 
 def select_index_range(df: DataFrame, start: int, end: int, col: str = "guideline.record_index") -> DataFrame:
@@ -178,7 +212,10 @@ def select_index_range(df: DataFrame, start: int, end: int, col: str = "guidelin
     column is top-level); a non-integer index is dropped."""
     if end < start:
         raise ValueError("end must be >= start")
-    idx = F.col(col).cast("long")
+    idx = F.col(col)
+    # A cast would keep the filter from the scan: integers are compared as they are.
+    if not isinstance(df.select(idx).schema[0].dataType, (T.IntegerType, T.LongType, T.ShortType)):
+        idx = idx.try_cast("long")
     return df.filter(idx.isNotNull() & idx.between(start, end))
 
 

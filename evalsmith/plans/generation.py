@@ -26,6 +26,7 @@ from ..operators.generation import (
 )
 from ..operators.inference import refine_rounds, score_batches
 from ..operators.metrics import truncate_floats
+from ..operators.joins import join_facts
 from ..operators.prompts import QA_JUDGE_KNOWLEDGE_TEMPLATE, QA_JUDGE_SYSTEM, REVISION_SUFFIX, build_prompts
 from ..session import table
 from .common import hex_digit, key_text, pick, sql_hex_digit, sql_list
@@ -129,7 +130,7 @@ def cosine_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cent = dims.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("_c")).select(
         "label", F.transform("_c", lambda s: s["m"]).alias("centroid")
     )
-    j = e.join(cent, "label")
+    j = join_facts(e, cent, ["label"], F.col("vec_id"))
     return j.select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("centroid")), 6).alias("cosine"))
 
 

@@ -1,6 +1,6 @@
 """Subject-term category bindings on ``documents``.
 
-Terms are the distinct lower-case words of each whole document (sorted);
+Terms are the distinct lower-case words, in any script, of each whole document (sorted);
 the descriptor table is derived from the vocabulary: a term's tree numbers
 are its letters, so its broad category is that of its most common letter.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_facts
 from ..operators.terms import (
     BROAD_CATEGORIES,
     UNKNOWN_CATEGORY,
@@ -20,12 +21,12 @@ from ..operators.terms import (
     term_frequency,
     value_counts,
 )
-from ..session import materialize, table
+from ..session import store, table
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit("([a-z]+)"), 1)
+    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(\p{L}+)"), 1)
     terms = F.array_sort(F.array_distinct(words))
     return d.select("doc_id", F.posexplode(terms).alias("pos", "term"))
 
@@ -42,13 +43,14 @@ def vocabulary_descriptors(terms: DataFrame) -> DataFrame:
 def term_category_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, pos, term, weight, category): the per-term facts (frequency,
     weight, descriptor category) are gathered in one term-keyed table first,
-    so the large (doc, term) table is joined once."""
+    so the large (doc, term) table is joined once, with frequent terms dealt
+    over tasks where the vocabulary is too large to broadcast."""
     # the (doc, term) table feeds the vocabulary and the join: extract once
-    terms = materialize(doc_terms(spark, sf_dir))
+    terms = store(doc_terms(spark, sf_dir), "doc-terms")
     freq = term_frequency(terms)  # A5 + A6, one algebraic aggregation
     cats = descriptor_categories(vocabulary_descriptors(freq.select("term")))  # A9, per term
     info = lookup_category(freq.select("term", "weight"), cats)  # J2 on the vocabulary
-    return terms.join(info, "term")
+    return join_facts(terms, info, ["term"], F.col("doc_id"))
 
 
 def term_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def _cat_case(x: str) -> str:
 
 _BASE_SQL = f"""
 WITH w AS (
-  SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z]+)', 1))) AS terms FROM documents
+  SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '(\\p{{L}}+)', 1))) AS terms FROM documents
 ), t AS (
   SELECT doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos FROM w
 ), freq AS (

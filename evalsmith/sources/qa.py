@@ -23,7 +23,7 @@ QA_REQUIRED = ["question", "knowledge", "ground_truth", "least_similar_answer",
 CONTEXT_FIELDS = ["context", "knowledge", "evidence", "support", "explanation", "rationale"]
 INPUT_CONTEXT_FIELDS = ["context", "knowledge", "evidence", "support"]
 # Preferred guideline text fields, in order.
-GUIDELINE_TEXT_FIELDS = ["guideline", "text", "content", "body", "recommendation", "recommendations", "overview"]
+GUIDELINE_TEXT_FIELDS = ["guideline", "text", "content", "body", "recommendation", "recommendations"]
 
 
 def prepare_qa_items(df: DataFrame) -> DataFrame:
@@ -86,7 +86,31 @@ def _text_of(c: Column, dt: T.DataType) -> Column:
     return py_strip(c.cast("string"))
 
 
-def adapt_medqa(df: DataFrame, split: str | None = None, limit: int | None = None, order_col: str | None = None) -> DataFrame:
+def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
+    """The first ``n`` rows by ``order_col``. The order is explicit, as
+    Spark has no input order; the limit runs per partition first."""
+    return df.orderBy(order_col).limit(n)
+
+
+def _reference_outputs(refs: T.ArrayType) -> Column:
+    """(output text, tagged correct) of each reference; ``output`` is text or
+    a struct with ``text``, ``tags`` a list or one text."""
+    names = refs.elementType.fieldNames()
+    output = refs.elementType["output"].dataType if "output" in names else None
+    tags = refs.elementType["tags"].dataType if "tags" in names else None
+
+    def one(r: Column) -> Column:
+        text = F.coalesce(_text_of(r["output"], output), F.lit("")) if output else F.lit("")
+        if isinstance(tags, T.ArrayType):
+            correct = F.exists(F.coalesce(r["tags"], F.array()), lambda t: F.coalesce(F.lower(t) == "correct", F.lit(False)))
+        else:
+            correct = F.coalesce(F.lower(r["tags"].cast("string")) == "correct", F.lit(False)) if tags else F.lit(False)
+        return F.struct(text.alias("t"), correct.alias("ok"))
+
+    return F.transform(F.coalesce(F.col("references"), F.array()), one)
+
+
+def adapt_medqa(df: DataFrame, split: str | None = None, limit: int | None = None, order_col: str | None = None, require_rows: bool = False) -> DataFrame:
     """MedQA-style rows to (question, context, long_answer).
 
     Question is ``input`` or ``input.text``; context is the first non-empty
@@ -94,38 +118,31 @@ def adapt_medqa(df: DataFrame, split: str | None = None, limit: int | None = Non
     the answer is the output of the first reference tagged ``correct``
     (case-insensitive), else the first non-empty output. Rows without a
     question or answer are dropped; ``limit`` keeps the first N by
-    ``order_col`` (an explicit order: Spark has no input order).
+    ``order_col``. ``require_rows`` raises when nothing is left (one probe,
+    which reads at most one row).
     """
     d = df.filter(F.col("split") == split) if split and "split" in df.columns else df
     sch = d.schema
     q = _text_of(F.col("input"), sch["input"].dataType) if "input" in sch.fieldNames() else F.lit("")
-    cands = []
-    for f in CONTEXT_FIELDS:
-        if f in sch.fieldNames():
-            cands.append(_text_of(F.col(f), sch[f].dataType))
+    cands = [_text_of(F.col(f), sch[f].dataType) for f in CONTEXT_FIELDS if f in sch.fieldNames()]
     if "input" in sch.fieldNames() and isinstance(sch["input"].dataType, T.StructType):
-        names = sch["input"].dataType.fieldNames()
-        for f in INPUT_CONTEXT_FIELDS:
-            if f in names:
-                cands.append(_text_of(F.col("input")[f], sch["input"].dataType[f].dataType))
+        inner = sch["input"].dataType
+        cands += [_text_of(F.col("input")[f], inner[f].dataType) for f in INPUT_CONTEXT_FIELDS if f in inner.fieldNames()]
     context = F.coalesce(*[F.when(c != "", c) for c in cands], F.lit("")) if cands else F.lit("")
-    refs = F.coalesce(F.col("references"), F.array())
-    outputs = F.transform(refs, lambda r: F.struct(
-        F.coalesce(py_strip(r["output"]["text"]), F.lit("")).alias("t"),
-        F.exists(F.coalesce(r["tags"], F.array()), lambda t: F.lower(t) == "correct").alias("ok"),
-    ))
-    tagged = F.filter(outputs, lambda o: o["ok"])
-    nonempty = F.filter(outputs, lambda o: o["t"] != "")
-    answer = F.when(F.size(tagged) > 0, F.element_at(tagged, 1)["t"]).otherwise(
-        F.coalesce(F.try_element_at(nonempty, F.lit(1))["t"], F.lit(""))
-    )
-    out = d.select(*([order_col] if order_col else []), q.alias("question"), context.alias("context"), answer.alias("long_answer"))
+    outputs = F.col("_outputs")
+    tagged = F.try_element_at(F.filter(outputs, lambda o: o["ok"]), F.lit(1))["t"]
+    nonempty = F.try_element_at(F.filter(outputs, lambda o: o["t"] != ""), F.lit(1))["t"]
+    order = [order_col] if order_col else []
+    out = d.select(*order, q.alias("question"), context.alias("context"), _reference_outputs(sch["references"].dataType).alias("_outputs"))
+    out = out.select(*order, "question", "context", F.coalesce(tagged, nonempty, F.lit("")).alias("long_answer"))
     out = out.filter((F.coalesce(F.col("question"), F.lit("")) != "") & (F.col("long_answer") != ""))
+    if require_rows and out.isEmpty():
+        raise ValueError(f"no question with an answer in split {split!r}" if split else "no question with an answer")
     if limit is not None:
         if not order_col:
             raise ValueError("limit needs an explicit order column")
-        out = out.orderBy(order_col).limit(limit)
-    return out.drop(order_col) if order_col else out
+        out = first_n(out, limit, order_col)
+    return out.drop(*order)
 
 
 def extract_guideline_text(df: DataFrame, fields: Sequence[str] = GUIDELINE_TEXT_FIELDS) -> Column:
