@@ -261,3 +261,15 @@ def parse_json_object(text, fenced: bool = False) -> Column:
     o1, o2 = F.instr(t, "{"), _last_index(t, "}")
     cands.append(F.when((o1 > 0) & (o2 > o1), obj(F.substring(t, o1, o2 - o1 + 1))))
     return F.coalesce(*cands)
+
+
+def typed_fields(obj, fields: dict[str, str]) -> Column:
+    """A struct of the named fields of a variant object: ``string`` fields as
+    text (a missing or non-text one is null), ``array<string>`` fields as
+    lists (a non-list is empty)."""
+    v = col_of(obj)
+    out = []
+    for name, kind in fields.items():
+        value = F.try_variant_get(v, f"$.{name}", kind)
+        out.append((F.coalesce(value, F.array().cast(kind)) if kind.startswith("array") else value).alias(name))
+    return F.struct(*out)

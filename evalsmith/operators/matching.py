@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div
 from ..functions.replies import norm_action
-from ..functions.similarity import bidirectional, coverage, lexical_overlap
+from ..functions.similarity import bidirectional, coverage, lexical_overlap, similarity_label
 from ..functions.text import py_strip, tokens
 from ..session import store
 from .graph import components
@@ -185,6 +185,24 @@ def score_distinct_pairs(pairs: DataFrame, scorer, a: str = "text_a", b: str = "
     return pairs.join(scored, [a, b], "left").withColumn("score", F.least("forward", "backward"))
 
 
+def label_pairs(pairs: DataFrame, threshold: float, a: str = "text_a", b: str = "text_b", scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """F10 row by row: ``forward``, ``backward``, ``score`` and ``label`` of
+    every given pair. A blank or null side scores 0; a score the scorer did
+    not give leaves the label ``unknown``. ``scorer`` sees each distinct pair
+    once (J7); without one the token scorer's columns are computed in place."""
+    blank = (F.trim(F.coalesce(F.col(a), F.lit(""))) == "") | (F.trim(F.coalesce(F.col(b), F.lit(""))) == "")
+    if scorer is None:
+        scored = token_pair_scores(pairs, a, b).drop("overlap")
+    else:
+        known = score_distinct_pairs(pairs.where(~blank).select(a, b).distinct(), scorer, a, b).drop("score")
+        scored = pairs.join(known, [a, b], "left")
+    zero = lambda c: F.when(blank, 0.0).otherwise(F.col(c))
+    scored = scored.withColumns({"forward": zero("forward"), "backward": zero("backward")})
+    # least() would skip a null side.
+    score = F.when(F.col("forward").isNotNull() & F.col("backward").isNotNull(), F.least("forward", "backward"))
+    return scored.withColumn("score", score).withColumn("label", similarity_label("score", threshold))
+
+
 # -- T2: greedy matching --------------------------------------------------------
 
 

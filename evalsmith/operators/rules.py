@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.replies import parse_json_object, typed_fields
 from ..functions.text import col_of, py_strip
 from .ordering import numbered_within
 
@@ -328,6 +329,21 @@ def validate_vignette(case, rules) -> Column:
     )
 
 
+#: Typed fields of a vignette reply.
+VIGNETTE_FIELDS = {"patient_vignette": "string", "triggered_rule_ids": "array<string>", "recommended_actions": "array<string>", "rationale": "string"}
+
+
+def vignettes_from_replies(replies: DataFrame, reply: str, rules: str, out: str = "vignette", fenced: bool = False) -> DataFrame:
+    """F6 + F8 as a job: the JSON object of each reply, typed, then validated
+    against the row's ``rules``; null where a reply has no object or its
+    vignette is blank."""
+    staged = replies.withColumn("_object", parse_json_object(reply, fenced))
+    staged = staged.withColumn("_typed", typed_fields("_object", VIGNETTE_FIELDS))
+    staged = staged.withColumn("_valid", validate_vignette("_typed", rules))
+    ok = F.col("_object").isNotNull() & (F.col("_valid.patient_vignette") != "")
+    return staged.withColumn(out, F.when(ok, F.col("_valid"))).drop("_object", "_typed", "_valid")
+
+
 def explode_rules(records: DataFrame, rules: str = "rules", keys=("record_index",)) -> DataFrame:
     """One row per rule with its position; records without rules keep
     one row with null rule fields (``posexplode_outer``)."""

@@ -13,6 +13,7 @@ _MODULES = [
     "decisions",
     "terms",
     "generation",
+    "records",
 ]
 
 

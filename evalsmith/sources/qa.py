@@ -44,7 +44,8 @@ def prepare_qa_items(df: DataFrame) -> DataFrame:
     )
 
 
-_QUOTED = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+# Unrolled: a repeated alternative would recurse once per character in Java.
+_QUOTED = r"""('[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*")"""
 
 
 def _unquote(item: Column) -> Column:
