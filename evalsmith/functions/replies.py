@@ -30,6 +30,14 @@ ANSWER_SECTION_LABELS = [
     "Hallucinated Answer",
     "Justification of Hallucinated answer",
 ]
+# A section block, the option a judge names, and a bare option number.
+SECTION_PATTERN = r"(?s)#([^#]+)#:\s*(.*?)(?=\n\s*#[^#]+#:\s*|\z)"
+OPTION_PATTERN = r"(?i)option\s*([12])\b"
+BARE_OPTION_PATTERN = r"\b([12])\b"
+# What is cut from a line that lists an action, in this order.
+LINE_KEY_PATTERN = r"(?i)^recommended_actions\s*:\s*"
+LINE_BULLET_PATTERN = r"^[-*•]+\s*"
+LINE_NUMBER_PATTERN = r"^\d+[\).]\s*"
 # ---------------------------------------------------------------------------
 
 
@@ -70,8 +78,8 @@ def guideline_reply_label(reply) -> Column:
 def option_vote(reply) -> Column:
     """the option a judge picked: ``option 1/2`` first, else a bare 1/2."""
     r = col_of(reply)
-    opt = F.regexp_extract(r, r"(?i)option\s*([12])\b", 1)
-    bare = F.regexp_extract(r, r"\b([12])\b", 1)
+    opt = F.regexp_extract(r, OPTION_PATTERN, 1)
+    bare = F.regexp_extract(r, BARE_OPTION_PATTERN, 1)
     return F.coalesce(F.nullif(opt, F.lit("")), F.nullif(bare, F.lit("")))
 
 
@@ -85,10 +93,9 @@ def answer_sections(text) -> Column:
 
     The last block with a label wins; a missing label gives "".
     """
-    pat = r"(?s)#([^#]+)#:\s*(.*?)(?=\n\s*#[^#]+#:\s*|\z)"
     t = F.coalesce(col_of(text), F.lit(""))
-    labels = F.regexp_extract_all(t, F.lit(pat), 1)
-    bodies = F.regexp_extract_all(t, F.lit(pat), 2)
+    labels = F.regexp_extract_all(t, F.lit(SECTION_PATTERN), 1)
+    bodies = F.regexp_extract_all(t, F.lit(SECTION_PATTERN), 2)
     pairs = F.zip_with(labels, bodies, lambda l, b: F.struct(l.alias("l"), b.alias("b")))
     fields = []
     def label_is(name):
@@ -204,9 +211,9 @@ def action_lines(text) -> Column:
 
     def clean(line):
         x = py_strip(line)
-        x = F.regexp_replace(x, r"(?i)^recommended_actions\s*:\s*", "")
-        x = F.regexp_replace(x, r"^[-*•]+\s*", "")
-        x = F.regexp_replace(x, r"^\d+[\).]\s*", "")
+        x = F.regexp_replace(x, LINE_KEY_PATTERN, "")
+        x = F.regexp_replace(x, LINE_BULLET_PATTERN, "")
+        x = F.regexp_replace(x, LINE_NUMBER_PATTERN, "")
         x = py_strip(x)
         x = F.regexp_replace(x, r'^"+|"+$', "")
         x = F.regexp_replace(x, r"^'+|'+$", "")

@@ -13,6 +13,10 @@ from ..functions.text import py_strip
 EXACT_SUMMARY = "Prediction exactly matched the reference action set."
 UNUSABLE_NOTE = "model output did not yield a usable recommended_actions list"
 EMPTY_NOTE = "model returned no output"
+MATCHED_NOTE = "Matched %d of %d reference actions"
+NONE_MATCHED_NOTE = "Matched 0 reference actions"
+MISSED_PREFIX = "missed: "
+EXTRA_PREFIX = "extra: "
 
 # The 28 diagnostic columns, in published order.
 DIAGNOSTIC_COLUMNS = [
@@ -56,13 +60,13 @@ def diagnose(m: DataFrame) -> DataFrame:
     label = F.when(F.col("exact_match") == 1, F.lit("correct")).when(issues == "", F.lit("partial_semantic_mismatch")).otherwise(issues)
     n_pairs = F.size(F.coalesce(F.col("matched_pairs"), F.array()))
     first = F.when(
-        n_pairs > 0, F.format_string("Matched %d of %d reference actions", F.col("num_matched_actions"), nr)
-    ).otherwise(F.lit("Matched 0 reference actions"))
+        n_pairs > 0, F.format_string(MATCHED_NOTE, F.col("num_matched_actions"), nr)
+    ).otherwise(F.lit(NONE_MATCHED_NOTE))
     summary = F.concat_ws(
         "; ",
         first,
-        F.when(F.size("unmatched_reference_actions") > 0, F.concat(F.lit("missed: "), summarize_actions("unmatched_reference_actions"))),
-        F.when(F.size("unmatched_generated_actions") > 0, F.concat(F.lit("extra: "), summarize_actions("unmatched_generated_actions"))),
+        F.when(F.size("unmatched_reference_actions") > 0, F.concat(F.lit(MISSED_PREFIX), summarize_actions("unmatched_reference_actions"))),
+        F.when(F.size("unmatched_generated_actions") > 0, F.concat(F.lit(EXTRA_PREFIX), summarize_actions("unmatched_generated_actions"))),
         F.when(unparseable, F.lit(UNUSABLE_NOTE)),
         F.when(empty_output, F.lit(EMPTY_NOTE)),
     )
@@ -94,6 +98,14 @@ def diagnostic_projection(d: DataFrame) -> DataFrame:
     return d.select(*cols)
 
 
+def _without(items: Column, used: Column) -> Column:
+    """Items that are not used, repeats kept: each item is looked up in a map
+    of the used ones instead of being compared with all of them."""
+    distinct = F.array_distinct(used)
+    known = F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.lit(True)))
+    return F.get(F.transform(F.array(known), lambda m: F.filter(items, lambda x: F.try_element_at(m, x).isNull())), F.lit(0))
+
+
 def rescore_saved(pred: DataFrame, kept_pairs: DataFrame | None = None) -> DataFrame:
     """Re-score saved predictions on the diagnostics-only path.
 
@@ -110,8 +122,8 @@ def rescore_saved(pred: DataFrame, kept_pairs: DataFrame | None = None) -> DataF
     mr = F.transform(pairs, lambda p: p["reference_action"])
     out = (
         pred.withColumn("matched_pairs", pairs)
-        .withColumn("unmatched_generated_actions", F.filter(gen, lambda x: ~F.array_contains(mg, x)))
-        .withColumn("unmatched_reference_actions", F.filter(ref, lambda x: ~F.array_contains(mr, x)))
+        .withColumn("unmatched_generated_actions", _without(gen, mg))
+        .withColumn("unmatched_reference_actions", _without(ref, mr))
         .withColumn("num_matched_actions", F.size(pairs))
         .withColumn("num_generated_actions", F.size(gen))
         .withColumn("num_reference_actions", F.size(ref))

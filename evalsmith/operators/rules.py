@@ -101,6 +101,9 @@ RENDER_FIELDS = [
     ("Guideline Action", "execute", ""),
     ("Source Statement", "source_statement", ""),
 ]
+# What stands in for a missing statement and a missing condition.
+DEFAULT_STATEMENT = "llm_generated_rule"
+DEFAULT_CONDITION_PREFIX = "scenario="
 # ---------------------------------------------------------------------------
 
 RULE_FIELDS = [
@@ -197,9 +200,9 @@ def normalize_rule(r: Column) -> Column:
     cls = F.upper(py_strip(F.coalesce(r["recommendation_class"].cast("string"), F.lit(""))))
     cls = F.when(cls.isin(*ALLOWED_RECOMMENDATION_CLASSES), cls).otherwise(infer_recommendation_class(stmt_raw))
     act = py_strip(F.coalesce(r["activation_condition"].cast("string"), F.lit("")))
-    act = F.when(act == "", F.concat(F.lit("scenario="), scen)).otherwise(act)
+    act = F.when(act == "", F.concat(F.lit(DEFAULT_CONDITION_PREFIX), scen)).otherwise(act)
     stmt = py_strip(stmt_raw)
-    stmt = F.when(stmt == "", F.lit("llm_generated_rule")).otherwise(stmt)
+    stmt = F.when(stmt == "", F.lit(DEFAULT_STATEMENT)).otherwise(stmt)
     exe = py_strip(F.coalesce(r["execute"].cast("string"), F.lit("")))
     exe = F.when(exe == "", F.concat(_by_class(cls, EXECUTE_PREFIX, DEFAULT_EXECUTE_PREFIX), stmt)).otherwise(exe)
     rule = F.struct(

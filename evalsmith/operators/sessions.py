@@ -38,11 +38,10 @@ RESPONSE_MARKER = "\nResponse: "
 VARIABLE_TAG_PATTERN = r"(?s)<VARIABLE>\s*(.*?)\s*</VARIABLE>"
 QUESTION_PATTERNS = [
     r"(?s)#Question#:\s*(.*?)\n\n(?:#Knowledge#:|#Answer#:|#Ground truth answer#:|#Hallucinated Answer#:)",
-    r"(?s)(?:^|\n)Question:\s*(.*?)(?:\n\n(?:#|Short answer|Brief summary|One-line takeaway|Quick patient takeaway|"
-    r"Clinician note|Key points|Practical advice|Practical guidance|What to watch for|Evidence and limitations|"
-    r"References|Bottom line)|\n|$)",
+    r"(?s)(?:^|\n)Question:\s*(.*?)(?:\n\n(?:#|Short answer|Brief summary|One-line takeaway|Quick patient takeaway|Clinician note|Key points|Practical advice|Practical guidance|What to watch for|Evidence and limitations|References|Bottom line)|\n|$)",
     r"(?i)for this question:\s*(.*?)(?:\n|$)",
 ]
+FOLLOW_UP_SENTENCE = "\n\nPrevious attempt improved by TextGrad: "
 # ---------------------------------------------------------------------------
 
 STEP_FIELDS = ["evaluation_trace", "backward_prompt", "backward_gradient", "optimizer_prompt", "optimizer_response", "updated_text"]
@@ -204,7 +203,7 @@ def follow_up_prompt(initial: Column, improved: Column) -> Column:
         HALLUCINATED_ANSWER_MARKER
     )
     prefix = F.concat(F.substring_index(initial, HALLUCINATED_ANSWER_MARKER, 1), F.lit(HALLUCINATED_ANSWER_MARKER))
-    return F.when(ok, F.concat(prefix, F.lit("\n\nPrevious attempt improved by TextGrad: "), improved))
+    return F.when(ok, F.concat(prefix, F.lit(FOLLOW_UP_SENTENCE), improved))
 
 
 def optimizer_log_lines(log: DataFrame) -> DataFrame:

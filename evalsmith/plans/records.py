@@ -14,7 +14,7 @@ from ..operators.diagnostics import DIAGNOSTIC_COLUMNS, diagnose, diagnostic_pro
 from ..operators.matching import label_pairs, token_pair_scores
 from ..operators.metrics import abstaining_binary_metrics, truncate_floats
 from ..operators.rules import explode_rules, extraction_method_counts, vignettes_from_replies
-from ..operators.sessions import follow_up_prompt, query_text, question_from, variable_text
+from ..operators.sessions import FOLLOW_UP_SENTENCE, follow_up_prompt, query_text, question_from, variable_text
 from ..operators.terms import distinct_sorted_terms, explode_terms, extract_mesh_terms, term_category_map
 from ..session import table
 from ..sources.qa import adapt_medqa, decode_legacy_knowledge, prepare_qa_items
@@ -177,7 +177,7 @@ WITH t AS (
   FROM {_TURNS_SQL}
 )
 SELECT case_id, initial_text, CASE WHEN NOT odd THEN nullif({_strip(q)}, '') END AS question,
-  CASE WHEN NOT odd AND improved <> '' THEN split_part(initial_text, '#Hallucinated Answer#:', 1) || '#Hallucinated Answer#:' || chr(10) || chr(10) || 'Previous attempt improved by TextGrad: ' || improved END AS follow_up
+  CASE WHEN NOT odd AND improved <> '' THEN split_part(initial_text, '#Hallucinated Answer#:', 1) || '#Hallucinated Answer#:' || '{FOLLOW_UP_SENTENCE}' || improved END AS follow_up
 FROM t
 """
 

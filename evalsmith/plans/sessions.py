@@ -1,5 +1,8 @@
 """Log sessionization bindings on ``events``.
 
+The payloads hold no query marker, so the texts cut from them are null here
+(``log_texts`` cuts real ones).
+
 Each user's events in event_id order are one ordered log: ``signup`` opens
 a step, ``click`` / ``view`` / ``error`` fill fields (last one wins),
 ``purchase`` closes it; every 3 closed steps form a run.
@@ -31,9 +34,7 @@ def session_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = run_records(event_steps(spark, sf_dir), "user_id", STEPS_PER_RUN)
-    return r.select("user_id", "optimization_index", "step_count", "is_partial", "initial_text",
-                    "final_optimizer_response", "final_updated_text")
+    return run_records(event_steps(spark, sf_dir), "user_id", STEPS_PER_RUN)
 
 
 QUERIES = {"session_steps": session_steps, "session_runs": session_runs}
@@ -78,7 +79,7 @@ def _runs_sql() -> str:
     return _STEPS_SQL + f"""
 , runs AS (SELECT *, CAST((step_no - 1) // {STEPS_PER_RUN} + 1 AS BIGINT) AS run_no FROM num)
 SELECT user_id, run_no AS optimization_index, count(*) AS step_count, count(*) <> {STEPS_PER_RUN} AS is_partial,
-  CAST(NULL AS VARCHAR) AS initial_text,
+  CAST(NULL AS VARCHAR) AS question, CAST(NULL AS VARCHAR) AS initial_text, CAST(NULL AS VARCHAR) AS reconstructed_follow_up_prompt,
   arg_max_null(optimizer_response, step_no) AS final_optimizer_response,
   arg_max_null(updated_text, step_no) AS final_updated_text
 FROM runs GROUP BY user_id, run_no

@@ -14,18 +14,34 @@ from pyspark.sql import types as T
 RESULT_PARTITIONS = ("run_id", "model_name")
 
 
-def append_results(df: DataFrame, path: str, partition_by: Sequence[str] = RESULT_PARTITIONS) -> None:
-    """K1: append predictions / summaries / diagnostics by column name,
-    partitioned by run and model (and ``dataset`` when present, P13)."""
+def with_dataset(df: DataFrame, path: str, column: str = "dataset") -> DataFrame:
+    """The data set a result belongs to, from its input's file name: one
+    whose stem has ``_adv`` or ends in ``adv`` is ``adversarial``, any other
+    ``vignette``. The sinks keep the two apart by this column."""
+    stem = path.rstrip("/").rpartition("/")[2].rpartition(".")[0] or path.rstrip("/").rpartition("/")[2]
+    adversarial = "_adv" in stem.lower() or stem.lower().endswith("adv")
+    return df.withColumn(column, F.lit("adversarial" if adversarial else "vignette"))
+
+
+def _partitions(df: DataFrame, partition_by: Sequence[str]) -> list[str]:
     parts = [c for c in partition_by if c in df.columns]
     if "dataset" in df.columns and "dataset" not in parts:
         parts.append("dataset")
-    df.write.mode("append").partitionBy(*parts).parquet(path)
+    return parts
+
+
+def append_results(df: DataFrame, path: str, partition_by: Sequence[str] = RESULT_PARTITIONS) -> None:
+    """K1: append predictions / summaries / diagnostics by column name,
+    partitioned by run and model (and ``dataset`` when present, P13)."""
+    df.write.mode("append").partitionBy(*_partitions(df, partition_by)).parquet(path)
 
 
 def replace_results(df: DataFrame, path: str, partition_by: Sequence[str] = RESULT_PARTITIONS) -> None:
-    """K2: replace the partitions this run writes, keep the others."""
-    parts = [c for c in partition_by if c in df.columns]
+    """K2: replace the partitions this run writes, keep the others. Without a
+    partition column the whole path would go, which is an error."""
+    parts = _partitions(df, partition_by)
+    if not parts:
+        raise ValueError(f"none of {list(partition_by)} is a column: nothing names the partitions to replace")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
