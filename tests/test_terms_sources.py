@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalsmith.operators.terms import (
@@ -17,7 +18,7 @@ from evalsmith.operators.terms import (
 )
 from evalsmith.sources.qa import adapt_medqa, decode_legacy_knowledge, extract_guideline_text, prepare_qa_items
 from evalsmith.sources.readers import read_mesh_descriptors, read_predictions, read_records, read_table_csv
-from evalsmith.sources.sinks import append_results, export_csv, replace_results, write_records
+from evalsmith.sources.sinks import append_results, export_csv, replace_results, with_dataset, write_records
 
 XML = """<?xml version="1.0"?>
 <DescriptorRecordSet>
@@ -164,3 +165,38 @@ def test_predictions_and_sinks(spark, tmpdir_path):
     export_csv(p, os.path.join(tmpdir_path, "csv"))
     c = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(os.path.join(tmpdir_path, "csv"))
     assert sorted(r["reference_actions"] for r in c.collect()) == ['["a","b"]', "[]"]
+
+
+def test_replace_results_needs_a_partition(spark, tmpdir_path):
+    df = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(ValueError):
+        replace_results(df, f"{tmpdir_path}/none")
+    out = f"{tmpdir_path}/by-set"
+    append_results(with_dataset(df, "/data/cases_adv.json"), out)
+    append_results(with_dataset(df, "/data/advice.json"), out)
+    replace_results(with_dataset(spark.createDataFrame([(2,)], "x int"), "/data/cases_adv.json"), out)
+    assert sorted((r["x"], r["dataset"]) for r in spark.read.parquet(out).collect()) == [(1, "vignette"), (2, "adversarial")]
+
+
+def test_guideline_text_defaults(spark):
+    """An overview is no preferred field: the other texts come with it."""
+    df = spark.createDataFrame([("t", "short", None, "a  b\r\nc"), ("t", "short", " ", None)], "title string, overview string, text string, notes string")
+    assert [r[0] for r in df.select(extract_guideline_text(df)).collect()] == ["t\nshort\na b\nc", "t\nshort"]
+
+
+def test_adapt_medqa_shapes(spark):
+    schema = "input string, references array<struct<output:string,tags:string>>"
+    df = spark.createDataFrame([("q1", [("a", "x"), ("b", "Correct")]), ("q2", [("", "x"), ("c", None)]), ("q3", None), (" ", [("d", "x")])], schema)
+    assert sorted((r["question"], r["long_answer"]) for r in adapt_medqa(df).collect()) == [("q1", "b"), ("q2", "c")]
+    with pytest.raises(ValueError):
+        adapt_medqa(df.where("input = 'q3'"), require_rows=True)
+    assert adapt_medqa(df.where("input = 'q3'")).count() == 0
+
+
+def test_decode_legacy_knowledge_long_text(spark):
+    """A quoted text of 200,000 characters, and a chain of escapes."""
+    long = "x" * 200_000
+    rows = [("{'contexts': ['" + long + "', \"it's\"]}", f"{long}\nit's"), ("{'contexts': ['" + "\\\\'" * 300 + "']}", "'" * 300)]
+    rows[1] = ("{'contexts': ['" + "\\'" * 300 + "']}", "'" * 300)
+    df = spark.createDataFrame(rows, "k string, want string")
+    assert all(r[0] == r[1] for r in df.select(decode_legacy_knowledge("k"), "want").collect())
