@@ -8,6 +8,7 @@ functions pick the winner. No join, no shuffle.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,8 @@ class Rule:
     condition: str  # Spark SQL boolean expression over the patient columns
     specificity: int
     execute: str
+    evidence_strength: str = ""
+    notes: str = ""
 
 
 PET_RULES = [
@@ -71,6 +74,40 @@ PET_RULES = [
 # ---------------------------------------------------------------------------
 
 
+#: Schema of a decision table file (``read_table_csv``).
+TABLE_SCHEMA = "rule_id string, priority int, clinical_scenario string, activation_condition string, recommendation string, execute_actions string, evidence_strength string, notes string"
+#: A decision table is compiled into columns: it must be of a person's making.
+MAX_TABLE_RULES = 1000
+_KINDS = {"INSUFFICIENT_DATA": "GATE", "CAUTION": "MODIFIER", "APPEND_QUALIFIER": "WRAPPER", "APPEND_SAFETY": "WRAPPER"}
+
+
+def condition_sql(text: str) -> str:
+    """A table's condition as an SQL expression: ``field=VALUE`` and ``field
+    IN (A, B)`` joined by AND, OR and brackets; ``always=true`` is true."""
+    if text.strip().lower() == "always=true":
+        return "true"
+    quoted = re.sub(r"\bIN\s*\(([^)]*)\)", lambda m: "IN (" + ", ".join(f"'{v.strip()}'" for v in m[1].split(",")) + ")", text)
+    return re.sub(r"(\w+)\s*=\s*(\w+)", r"\1 = '\2'", quoted)
+
+
+def rules_from_table(rows: DataFrame) -> list[Rule]:
+    """R2's rules from a decision table (``read_table_csv``): its kind follows
+    from the recommendation, its specificity is the number of conditions that
+    must hold together. Gates keep an empty condition: R1 decides them."""
+    found = rows.limit(MAX_TABLE_RULES + 1).collect()
+    if len(found) > MAX_TABLE_RULES:
+        raise ValueError(f"a decision table has at most {MAX_TABLE_RULES} rules")
+    out = []
+    for r in found:
+        kind = _KINDS.get(r["recommendation"], "DECISION")
+        text = r["activation_condition"] or ""
+        out.append(Rule(
+            r["rule_id"], int(r["priority"]), kind, r["recommendation"], "" if kind == "GATE" else condition_sql(text), len(re.split(r"\s+AND\s+", text)),
+            r["execute_actions"], r["evidence_strength"] or "", r["notes"] or "",
+        ))
+    return sorted(out, key=lambda r: (-r.priority, r.rule_id))
+
+
 def missing_required(fields=REQUIRED_FIELDS) -> Column:
     """Names of absent (null) required inputs, in field order (Q10: the
     value UNKNOWN is not missing)."""

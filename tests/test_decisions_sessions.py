@@ -94,3 +94,28 @@ def test_sessionize_chunked_equals_single_chunk(spark):
     a = {tuple(r) for r in sessionize_steps(df, *args, chunk_width=1 << 20).collect()}
     b = {tuple(r) for r in sessionize_steps(df, *args, chunk_width=7).collect()}
     assert a == b and len(a) > 0
+
+
+def test_rules_from_a_table_file(spark, tmpdir_path):
+    """The compiled table decides as the built-in one; N/A stays text."""
+    from dataclasses import replace
+
+    from evalsmith.operators.decisions import PET_RULES, TABLE_SCHEMA, condition_sql, decide, rules_from_table
+    from evalsmith.plans.decisions import patients
+    from evalsmith.sources.readers import read_table_csv
+
+    assert condition_sql("a=X AND (b=Y OR b=Z) AND c IN (P, Q)") == "a = 'X' AND (b = 'Y' OR b = 'Z') AND c IN ('P', 'Q')"
+    lines = ["rule_id,priority,clinical_scenario,activation_condition,recommendation,execute_actions,evidence_strength,notes"]
+    lines.append('R01,100,ANY,"Missing one or more required fields",INSUFFICIENT_DATA,"Request missing fields",N/A,Input gate')
+    for r in PET_RULES:
+        text = r.condition.replace(" = '", "=").replace("'", "")
+        lines.append(f'{r.rule_id},{r.priority},S,"{text}",{r.recommendation},"{r.execute}",LOW,note')
+    lines.append('R12,20,G,always=true,APPEND_QUALIFIER,"Append",N/A,all')
+    with open(f"{tmpdir_path}/table.csv", "w") as f:
+        f.write("\n".join(lines))
+    rules = rules_from_table(read_table_csv(spark, f"{tmpdir_path}/table.csv", TABLE_SCHEMA))
+    assert [(r.rule_id, r.kind, r.evidence_strength) for r in rules if r.kind in ("GATE", "WRAPPER")] == [("R01", "GATE", "N/A"), ("R12", "WRAPPER", "N/A")]
+    decided = [r for r in rules if r.kind in ("DECISION", "MODIFIER")]
+    assert [replace(r, evidence_strength="", notes="") for r in decided] == PET_RULES
+    p = patients(spark, "/root/testdata/sf0.001")
+    assert decide(p, rules).exceptAll(decide(p)).count() == 0
