@@ -6,7 +6,9 @@ session (``spark.checkpoint.dir``) and only filled in for local masters.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -57,6 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="evalsmith-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, current, ignore_errors=True)  # a folder of this process's own
         spark.conf.set("spark.checkpoint.dir", current)
     if not held.isDefined():
         sc.setCheckpointDir(current)
