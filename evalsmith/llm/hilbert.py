@@ -99,9 +99,14 @@ def quantised(rows: DataFrame, codes: list[str], bits: int) -> DataFrame:
     n = len(codes)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("code")) for i, c in enumerate(codes)]))
     counts = rows.select(pairs.alias("p")).groupBy("p.dim", "p.code").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("dim").orderBy("code")
-    total = F.sum("n").over(Window.partitionBy("dim"))
-    step = F.floor((F.sum("n").over(upto) - F.col("n") / 2) * (1 << bits) / total).cast("int")
+    counts = store(counts.withColumn("high", F.shiftright("code", _CODE_BITS // 2)), "hilbert-counts")
+    # Running counts in two levels of at most 2^(_CODE_BITS / 2) rows a window.
+    before = Window.partitionBy("dim").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
+    highs = counts.groupBy("dim", "high").agg(F.sum("n").alias("high_n"))
+    highs = highs.select("dim", "high", F.coalesce(F.sum("high_n").over(before), F.lit(0)).alias("lower"), F.sum("high_n").over(Window.partitionBy("dim")).alias("total"))
+    upto = F.col("lower") + F.sum("n").over(Window.partitionBy("dim", "high").orderBy("code"))
+    counts = counts.join(F.broadcast(highs), ["dim", "high"])
+    step = F.floor((upto - F.col("n") / 2) * (1 << bits) / F.col("total")).cast("int")
     steps = store(counts.select("dim", "code", step.alias("step")), "hilbert-steps")
     for i in range(n):
         own = steps.where(F.col("dim") == i).select(F.col("code").alias(codes[i]), F.col("step").alias(f"__step_{i}"))
