@@ -267,5 +267,5 @@ def test_entry_without_the_subpackage(tmp_path):
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         else:
             shutil.copy(source, tmp_path / name)
-    code = "import __spark_entry__ as e; q = e.queries(); import re; assert q and not [k for k in q if re.match(r'op\d+_|pipeline', k)]; assert set(e.oracle_sql()) <= set(q)"
+    code = r"import __spark_entry__ as e; q = e.queries(); import re; assert q and not [k for k in q if re.match(r'op\d+_|pipeline', k)]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
