@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_of, py_strip
+from .joins import join_facts
 
 # ---------------------------------------------------------------------------
 # Broad subject categories by the first letter of a tree number.
@@ -112,6 +113,16 @@ def lookup_category(terms: DataFrame, categories: DataFrame, term: str = "term",
     return terms.join(c, term, "left").withColumn("category", F.coalesce(F.col("category"), F.lit(UNKNOWN_CATEGORY)))
 
 
+def term_weight_category(terms: DataFrame, weights: DataFrame, categories: DataFrame, spread: str, term: str = "term", name: str = "name") -> DataFrame:
+    """Each term row with its weight and category; a term that the tables
+    lack weighs 0 and is of Unknown Category. The two tables are brought
+    together first, so the rows are joined once, and frequent terms are dealt
+    over tasks by ``spread`` where the tables are too large to broadcast."""
+    known = weights.select(term, "weight").join(categories.select(F.col(name).alias(term), "category"), term, "full")
+    out = join_facts(terms, known, [term], F.col(spread), how="left")
+    return out.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "category": F.coalesce("category", F.lit(UNKNOWN_CATEGORY))})
+
+
 def term_frequency(terms: DataFrame, term: str = "term") -> DataFrame:
     """A5 + A6: rows containing each term (terms are distinct per row) and
     the inverse-frequency weight 1 / frequency."""

@@ -19,13 +19,17 @@ from ..operators.terms import (
     descriptor_categories,
     lookup_category,
     term_frequency,
+    term_weight_category,
     value_counts,
 )
 from ..session import store, table
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _terms(table(spark, sf_dir, "documents"))
+
+
+def _terms(d: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(\p{L}+)"), 1)
     terms = F.array_sort(F.array_distinct(words))
     return d.select("doc_id", F.posexplode(terms).alias("pos", "term"))
@@ -71,7 +75,16 @@ def category_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_counts(term_categories(spark, sf_dir), "weighted_category")
 
 
-QUERIES = {"term_categories": term_categories, "category_distribution": category_distribution}
+def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document terms against weights and categories of the benchmark's
+    vocabulary; terms outside it get the defaults."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    vocabulary = term_frequency(_terms(b))
+    cats = descriptor_categories(vocabulary_descriptors(vocabulary.select("term")))
+    return term_weight_category(doc_terms(spark, sf_dir), vocabulary, cats, "doc_id").select("doc_id", "pos", "term", "weight", "category")
+
+
+QUERIES = {"term_categories": term_categories, "category_distribution": category_distribution, "term_weights": term_weights}
 
 
 def _cat_case(x: str) -> str:
@@ -114,8 +127,19 @@ WITH w AS (
 )"""
 
 
+_WEIGHTS_SQL = (
+    _BASE_SQL[: _BASE_SQL.index("), rows AS (")].replace("FROM documents", "FROM d", 1).replace("WITH w AS", "WITH d AS (SELECT item_id AS doc_id, text FROM benchmark), w AS", 1)
+    + f""")
+, dw AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '(\\p{{L}}+)', 1))) AS terms FROM documents
+), dt AS (SELECT doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos FROM dw)
+SELECT dt.doc_id, CAST(dt.pos AS INTEGER) AS pos, dt.term, coalesce(f.weight, 0.0) AS weight, CASE WHEN b.letter IS NULL THEN '{UNKNOWN_CATEGORY}' ELSE {_cat_case('b.letter')} END AS category
+FROM dt LEFT JOIN freq f ON dt.term = f.term LEFT JOIN best b ON dt.term = b.term"""
+)
+
+
 def oracles() -> dict[str, str]:
     return {
+        "term_weights": _WEIGHTS_SQL,
         "term_categories": _BASE_SQL + " SELECT * FROM final",
         "category_distribution": _BASE_SQL + " SELECT weighted_category, count(*) AS count FROM final GROUP BY weighted_category",
     }
