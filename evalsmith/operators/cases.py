@@ -219,12 +219,18 @@ def select_index_range(df: DataFrame, start: int, end: int, col: str = "guidelin
     return df.filter(idx.isNotNull() & idx.between(start, end))
 
 
+def is_actionable(recommendation_class: Column) -> Column:
+    """Whether a rule of this class is more than a wrapper of the decision; an
+    unknown class counts as actionable."""
+    return recommendation_class.isNull() | ~recommendation_class.isin(*WRAPPER_CLASSES)
+
+
 def actionable_rules(rules) -> Column:
     """Drop wrapper-class rules from a rules array; no class is kept."""
     r = F.col(rules) if isinstance(rules, str) else rules
     return F.filter(
         r,
-        lambda x: x["recommendation_class"].isNull() | ~x["recommendation_class"].isin(*WRAPPER_CLASSES),
+        lambda x: is_actionable(x["recommendation_class"]),
     )
 
 

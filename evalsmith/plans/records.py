@@ -4,10 +4,13 @@ vignette replies, headers, rule positions and audit rows."""
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.replies import guideline_reply_label, option_vote, qa_reply_label
+from ..operators import prompts
 from ..operators.cases import guideline_header, record_status, select_index_range
 from ..operators.decisions import POLICY_VERSION, audit_log, decide
 from ..operators.diagnostics import DIAGNOSTIC_COLUMNS, diagnose, diagnostic_projection
@@ -308,11 +311,52 @@ def _audit_sql() -> str:
 FROM ({decisions._fire_sql('specificity')}) f JOIN ({decisions._patients_sql()}) p USING (patient_id)"""
 
 
+#: What fills the placeholders, in Spark and in DuckDB (null prints as empty).
+_PROMPT_FIELDS = {
+    "question": (lambda: F.col("text"), "text"), "answer": (lambda: F.concat(F.lit("A: "), "text"), "'A: ' || text"), "knowledge": (lambda: F.col("role"), "role"),
+    "guideline_title": (lambda: F.nullif(F.col("role"), F.lit("user")), "nullif(role, 'user')"), "rules_text": (lambda: F.col("case_id"), "case_id"),
+    "patient_vignette": (lambda: F.col("text"), "text"), "proposed_actions_text": (lambda: F.concat(F.lit("- "), "text"), "'- ' || text"),
+    "ground_truth": (lambda: F.reverse("case_id"), "reverse(case_id)"), "payload": (lambda: F.concat(F.lit("["), "role", F.lit("]")), "'[' || role || ']'"),
+    "option_1": (lambda: F.col("text"), "text"), "option_2": (lambda: F.concat("text", F.lit("?")), "text || '?'"),
+}
+
+
+def prompt_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every template, and the revision of a generation prompt, over every
+    turn."""
+    t = _turns(spark, sf_dir)
+    fields = {k: v[0]() for k, v in _PROMPT_FIELDS.items()}
+    named = [F.struct(F.lit(n).alias("template"), prompts.render(text, **fields).alias("prompt")) for n, text in _templates().items()]
+    again = prompts.revision_prompt(prompts.render(prompts.GENERATION_TEMPLATE, **fields), F.when(F.col("role") != "user", F.col("text")))
+    named.append(F.struct(F.lit("revision").alias("template"), again.alias("prompt")))
+    return t.select("case_id", F.explode(F.array(*named)).alias("p")).select("case_id", "p.template", "p.prompt")
+
+
+def _templates() -> dict[str, str]:
+    return {k.removesuffix("_TEMPLATE").lower(): v for k, v in vars(prompts).items() if k.endswith("_TEMPLATE")}
+
+
+def _prompt_sql(template: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        parts += [quoted(literal)] if literal else []
+        parts += [f"coalesce({_PROMPT_FIELDS[field][1]}, '')"] if field else []
+    return " || ".join(parts)
+
+
+def _prompt_set_sql() -> str:
+    rows = [f"SELECT case_id, '{n}' AS template, {_prompt_sql(t)} AS prompt FROM {_TURNS_SQL}" for n, t in _templates().items()]
+    base = _prompt_sql(prompts.GENERATION_TEMPLATE)
+    rows.append(f"SELECT case_id, 'revision', CASE WHEN role <> 'user' AND text <> '' THEN {base} || '{prompts.REVISION_SUFFIX}' || text ELSE {base} END FROM {_TURNS_SQL}")
+    return " UNION ALL ".join(rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_labels, label_action_pairs, knowledge_items, medqa_rows, knowledge_terms, term_map, log_texts, diagnostics_table, vignette_replies,
-        record_headers, record_rules, extraction_methods, judge_metrics_by_kind, audit_rows,
+        record_headers, record_rules, extraction_methods, judge_metrics_by_kind, audit_rows, prompt_set,
     )
 }
 assert len(DIAGNOSTIC_COLUMNS) == 28
@@ -341,4 +385,5 @@ SELECT term, n, category FROM c""",
         "extraction_methods": f"SELECT CASE WHEN {digit} < 10 THEN 'llm' WHEN {digit} < 13 THEN 'llm_no_valid_rules' ELSE 'llm_failed' END AS extraction_method, count(*) AS count FROM documents GROUP BY 1",
         "judge_metrics_by_kind": _judge_metrics_sql(),
         "audit_rows": _audit_sql(),
+        "prompt_set": _prompt_set_sql(),
     }
