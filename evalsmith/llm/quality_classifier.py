@@ -123,7 +123,6 @@ def train(labelled: DataFrame, bits: int = 18, max_train: int = 20_000, shards:
             z0, n0 = state.value
             model, vectors, seen = Ftrl(z0.copy(), n0.copy(), *settings), Vectors(bits), False
             for f in frames:
-                f = f.sort_values("__order")
                 texts, labels = [as_text(t) for t in f["text"]], f["label"].to_numpy(float)
                 for a, b in chunks([len(t) for t in texts], _BYTES):
                     rows, at, x = vectors(texts[a:b])
@@ -136,7 +135,8 @@ def train(labelled: DataFrame, bits: int = 18, max_train: int = 20_000, shards:
                 moved = np.flatnonzero((model.z != z0) | (model.n != n0))
                 yield pd.DataFrame({"i": moved, "dz": model.z[moved] - z0[moved], "dn": model.n[moved] - n0[moved]})
 
-        changes = sample.repartition(shards, "shard").mapInPandas(shard_pass, "i long, dz double, dn double")
+        # In one order, so that a pass run again ends in the same state.
+        changes = sample.repartition(shards, "shard").sortWithinPartitions("__order", "label").mapInPandas(shard_pass, "i long, dz double, dn double")
         moved = changes.groupBy("i").agg((F.sum("dz") / shards).alias("dz"), (F.sum("dn") / shards).alias("dn")).toPandas()
         z, n = z.copy(), n.copy()
         z[moved["i"]] += moved["dz"].to_numpy(float)
