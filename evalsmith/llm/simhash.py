@@ -229,8 +229,10 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3, task_rows:
     out on the slim rows before that."""
     found = near_duplicates(docs, shingle, max_bits, task_rows)
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
-    firsts = firsts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    kept = keyed.join(store(firsts, "simhash-firsts"), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+    # One key, never null, for the join and for counting out copies: the texts
+    # are partitioned by it once.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    firsts = firsts.select(name.alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    keyed = docs.withColumns({"__id": name, "__hash": F.xxhash64("text")})
+    kept = keyed.join(store(firsts, "simhash-firsts"), ["__id", "__hash"], "left_semi")
+    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
