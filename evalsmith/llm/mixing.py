@@ -101,11 +101,17 @@ def _stops(rows: DataFrame, goals: DataFrame, broadcast_sources: int) -> DataFra
             held = held.where(F.shiftrightunsigned("h", 64 - _DIGIT * k) == F.col("head"))
         digit = F.shiftrightunsigned("h", 64 - _DIGIT * (k + 1)).bitwiseAND(F.lit((1 << _DIGIT) - 1))
         sums = held.groupBy("source", "rest", "head", digit.alias("digit")).agg(F.sum("size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("source").orderBy("digit"))
+        # Running words in two levels, of 2^(_DIGIT / 2) rows a window.
+        sums = store(sums.withColumn("high", F.shiftright("digit", _DIGIT // 2)), "mix-digits")
+        before = Window.partitionBy("source").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
+        highs = sums.groupBy("source", "high").agg(F.sum("words").alias("high_words"))
+        lower = highs.select(F.col("source").alias("__s"), F.col("high").alias("__high"), F.coalesce(F.sum("high_words").over(before), F.lit(0)).alias("lower"))
+        upto = F.sum("words").over(Window.partitionBy("source", "high").orderBy("digit"))
+        run = sums.withColumn("upto", upto).join(lower, F.col("source").eqNullSafe(F.col("__s")) & (F.col("high") == F.col("__high")))
         # The first digit whose running words pass the rest; in the last pass,
         # the first that passes it by more than half its own words.
         half = F.col("words") / 2 if k == _PASSES - 1 else F.lit(0)
-        passed = sums.withColumn("upto", upto).where(F.col("upto") - half > F.col("rest"))
+        passed = run.withColumn("upto", F.col("upto") + F.col("lower")).where(F.col("upto") - half > F.col("rest"))
         first = passed.groupBy("source").agg(F.min(F.struct("digit", "upto", "words")).alias("first"))
         joined = at.join(first.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left")
         # None passes it: the whole digit is taken, and the stop is behind it.
