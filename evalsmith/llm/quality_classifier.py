@@ -150,8 +150,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, usable: Co
     documents, those of the smallest id hash.
 
     The label table is cut first, by a threshold on the hash that leaves a
-    fifth more than the bound, then exactly; only ids that remain meet the
-    documents.
+    fifth more than the bound, then exactly. The ids that remain, at most
+    ``max_train`` small rows, are broadcast, so documents are not shuffled.
     """
     order = F.xxhash64(F.lit(7), "doc_id")
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("double").alias("label"))
@@ -159,7 +159,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, usable: Co
     share = min(1.0, 1.2 * max_train / max(own.count(), 1))
     own = own.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("doc_id").agg(F.avg("label").alias("label"))
     own = own.withColumn("__order", order).orderBy("__order", "doc_id").limit(max_train)
-    return docs.select("doc_id", "text").join(own, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = 18, text_col: str = "text", out: str = "score") -> DataFrame:
