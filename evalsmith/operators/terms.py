@@ -54,9 +54,11 @@ def extract_mesh_terms(context) -> Column:
     for s in ["array(", "dtype=object", ")"]:
         c = F.replace(c, F.lit(s), F.lit(""))
     c = py_strip(F.regexp_replace(c, r"\s+", " "))
-    body = F.regexp_extract(c, r"'meshes':\s*\[(.*?)\]", 1)
+    # One search: what precedes the list's end, or null without a list.
+    found = F.regexp_substr(c, F.lit(r"'meshes':\s*\[[^\]]*\]"))
+    body = F.regexp_replace(found, r"^'meshes':\s*\[|\]$", "")
     items = F.transform(F.split(body, "', '"), lambda x: F.regexp_replace(py_strip(x), "^'+|'+$", ""))
-    return F.when(c.rlike(r"'meshes':\s*\[(.*?)\]"), F.array_join(items, "; "))
+    return F.array_join(items, "; ")
 
 
 def distinct_sorted_terms(meshes) -> Column:

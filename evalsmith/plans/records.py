@@ -137,8 +137,8 @@ def knowledge_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 + O3 over documents: their words as a record's term list."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     quoted = F.concat(F.lit("{'contexts': ['x'],\n 'meshes': array(['"), F.array_join(_words(), "', '"), F.lit("'], dtype=object)}"))
-    m = extract_mesh_terms(quoted)
-    return d.select("doc_id", m.alias("meshes"), distinct_sorted_terms(F.replace(m, F.lit("; "), F.lit(" ; "))).alias("terms"))
+    d = d.select("doc_id", extract_mesh_terms(quoted).alias("meshes"))  # a column, so it is made once
+    return d.select("doc_id", "meshes", distinct_sorted_terms(F.replace("meshes", F.lit("; "), F.lit(" ; "))).alias("terms"))
 
 
 def _words() -> Column:
