@@ -140,6 +140,31 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pseudonyms.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def replaced(spark, texts):
+    """(new text, kinds) of each text; all are turned back to what they were."""
+    rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "doc_id long, text string")
+    out = pseudonyms.pseudonymise(rows(texts), "k").orderBy("doc_id").collect()
+    back = pseudonyms.pseudonymise(rows([r["text"] for r in out]), "k", back=True).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == list(texts)
+    return [(r["text"], [p["kind"] for p in r["pii"]]) for r in out]
+
+
+def test_card_or_iban_before_more_digits_or_capitals(spark):
+    rng = random.Random(5)
+    c, spaced, acc = "4111111111111111", "4111 1111 1111 1111", iban("ES", "21000418450200051332")
+    grouped = " ".join(acc[i : i + 4] for i in range(0, 24, 4))
+    tails = [" 12/25", " 123", "-123", " 77 5500000000000004", " 123-45-6789", " 10.0.0.1", " 31/12/1999", "/12/25", ""]
+    for (new, kinds), old in zip(replaced(spark, [v + x for v in (c, spaced) for x in tails]), [v for v in (c, spaced) for _ in tails], strict=True):
+        assert not new.startswith(old) and kinds[0] == "card"
+        assert luhn(re.sub(r"\D", "", new[: len(old)])) % 10 == 0
+    assert [k[1:] for _, k in replaced(spark, [c + x for x in tails])] == [[], [], [], ["card"], ["ssn"], ["ip"], ["date"], [], []]
+    for new, kinds in replaced(spark, [f"{acc} USD", f"{grouped} USD", f"{grouped} PLEASE pay", f"{grouped} {grouped} USD"]):
+        assert set(kinds) == {"iban"} and "1332" not in new
+    # The result must not read as a longer card: turned back by replaced().
+    many = [f"{b[:4]} {b[4:8]} {b[8:12]} {b[12:]} {rng.randrange(10, 1000)}" for b in (card(f"4{rng.randrange(10**14):014d}") for _ in range(200))]
+    assert all(k == ["card"] for _, k in replaced(spark, many))
+
+
 @pytest.mark.parametrize("radices", [[10, 10], [17, 29], [3, 2, 5, 4], [7]])
 def test_feistel_is_a_permutation(spark, radices):
     size = int(np.prod(radices))
