@@ -23,7 +23,8 @@ matches, the matches are replaced, and the parts joined again.
     ssn       area, group and serial in their valid ranges
     iban      account characters; as long as its country's, passes mod 97
     date      days of 1900-01-01 to 2099-12-31
-    secret    a quoted value behind token, key, secret or password
+    secret    a quoted value of 16 characters or more behind token, key, secret
+              or password in any case; hexadecimal stays so in its case
 
 Defined results: a value that fails its check (a 16-digit number that isn't a
 card's, 31 February) stays as it is; a null text stays null; an empty text
@@ -43,7 +44,7 @@ ROUNDS = 8
 WALK = 100
 
 _EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-_SECRET = r"[\"'](?<=(?:token|key|secret|password) ?[=:] ?.)[A-Za-z0-9+/_-]{16,256}(?=[\"'])"
+_SECRET = r"[\"'](?<=(?i:token|key|secret|password) ?[=:] ?.)[A-Za-z0-9+/_.=-]{16,}+(?=[\"'])"
 _IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
 _DATE = r"(?<![\w/.-])(?:(?:19|20)\d\d(?:-\d\d-|/\d\d/)\d\d|\d\d(?:\.\d\d\.|/\d\d/)(?:19|20)\d\d)(?![\w/-])"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -63,8 +64,13 @@ _CARD = rf"(?<![\w.])\d(?:(?:-| (?!{_IP}|{_DATE}|{_SSN}|{_PHONE}))?\d){{12,18}}(
 #: bracket is tried there only.
 PATTERN = f"{_EMAIL}|{_SECRET}|(?=[0-9+(])(?:{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})|{_IBAN}"
 #: Every value has one of these; texts without are passed by.
-_ANY = r"[0-9@]|(?:token|key|secret|password)"
+_ANY = r"[0-9@]|(?i:token|key|secret|password)"
 
+#: Behind the last place of any value.
+_ALL = (1 << 31) - 1
+#: Up to so many numbers a half, the stream's blocks are seeded with the other
+#: half itself; beyond, with its digest, so that work grows with the length.
+_DIRECT = 160
 #: 1900-01-01 to 2099-12-31 has 73,049 days = 17 * 4297.
 _DAYS = (17, 4297)
 
@@ -154,8 +160,9 @@ def _kind(m: Column) -> Column:
 
 
 def _hex(s: Column) -> Column:
-    """Whether a secret, behind its quote, is all hexadecimal."""
-    return s.rlike(r"^.[0-9a-f]+$")
+    """Whether a secret, behind its quote, is all hexadecimal: ``lower``,
+    ``upper`` or ``no``."""
+    return F.when(s.rlike(r"^.[0-9a-f]++$"), "lower").when(s.rlike(r"^.[0-9A-F]++$"), "upper").otherwise("no")
 
 
 def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
@@ -164,7 +171,7 @@ def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
     last = F.length(m)
     # Characters before the first kept place and from the last one on stay.
     start = F.when(kind == "phone", F.length(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0))).when(kind == "iban", F.lit(4)).otherwise(F.lit(0))
-    end = F.when(kind == "card", last - 1).when(kind == "email", last - F.length(F.substring_index(m, ".", -1))).otherwise(last)
+    end = F.when(kind == "secret", _ALL).when(kind == "card", last - 1).when(kind == "email", last - F.length(F.substring_index(m, ".", -1))).otherwise(last)
     plain_r = F.transform(chars, lambda c, i: F.when((i >= start) & (i < end), _radix(c)).otherwise(1))
     plain_v = F.transform(chars, lambda c, i: F.when((i >= start) & (i < end), _value(c)).otherwise(0))
     y, mo, d = _date_parts(m)
@@ -175,14 +182,14 @@ def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
         F.when(kind == "ip", F.transform(F.split(m, r"\."), lambda o: o.cast("int")))
         .when(kind == "date", ints(day % _DAYS[0], F.floor(day / _DAYS[0])))
         .when(kind == "ssn", ints(area - F.when(area > 666, 2).otherwise(1), F.substring(m, 5, 2).cast("int") - 1, F.substring(m, 8, 4).cast("int") - 1))
-        .when((kind == "secret") & _hex(m), F.transform(chars, lambda c, i: F.when(i > 0, F.conv(c, 16, 10).cast("int")).otherwise(0)))
+        .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c, i: F.when(i > 0, F.conv(c, 16, 10).cast("int")).otherwise(0)))
         .otherwise(plain_v)
     )
     radices = (
         F.when(kind == "ip", F.array_repeat(F.lit(256), 4))
         .when(kind == "date", ints(*_DAYS))
         .when(kind == "ssn", ints(898, 99, 9999))
-        .when((kind == "secret") & _hex(m), F.transform(chars, lambda c, i: F.when(i > 0, 16).otherwise(1)))
+        .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c, i: F.when(i > 0, 16).otherwise(1)))
         .otherwise(plain_r)
     )
     return values, radices
@@ -197,14 +204,17 @@ def _network(halves: Column, radix: Column, key: str, tweak: Column, rounds: int
 
             def with_stream(stream: Column) -> Column:
                 def one(x: Column, i: Column) -> Column:
-                    y = F.conv(F.substring(stream, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+                    y = F.conv(F.substring(F.get(stream, F.shiftright(i, 4)), (i % 16) * 8 + 1, F.lit(8)), 16, 10).cast("long")
                     return F.pmod(x - y if back else x + y, F.get(radix[target], i)).cast("int")
 
                 return F.transform(state[target], one)
 
             # Sixteen numbers of 32 bits from each block of the stream.
-            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(state[target]) / 16).cast("int")), lambda k: F.sha2(F.concat_ws(":", seed, k.cast("string")), 512))
-            return _let(F.array_join(blocks, ""), with_stream)
+            def with_seed(seed: Column) -> Column:
+                ks = F.sequence(F.lit(0), F.floor(F.size(state[target]) / 16).cast("int"))
+                return _let(F.transform(ks, lambda k: F.sha2(F.concat_ws(":", seed, k.cast("string")), 512)), with_stream)
+
+            return _let(F.when(F.size(state[source]) > _DIRECT, F.sha2(seed, 512)).otherwise(seed), with_seed)
 
         return F.struct(
             F.when(r % 2 == 0, add("a", "b")).otherwise(state["a"]).alias("a"),
@@ -227,11 +237,9 @@ def feistel(values: Column, radices: Column, key: str, tweak: Column, rounds: in
         halves = lambda a: F.struct(half(a, 0).alias("a"), half(a, 1).alias("b"))
 
         def put_back(done: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                j = F.array_position(at, i).cast("int") - 1
-                return F.when(j < 0, x).otherwise(F.get(F.when(j % 2 == 0, done["a"]).otherwise(done["b"]), (j / 2).cast("int")))
-
-            return F.transform(values, one)
+            new = F.transform(at, lambda i, j: F.struct(i.alias("i"), F.get(F.when(j % 2 == 0, done["a"]).otherwise(done["b"]), F.shiftright(j, 1)).alias("x")))
+            kept = F.filter(F.transform(values, lambda x, i: F.struct(i.alias("i"), F.when(F.get(radices, i) <= 1, x).alias("x"))), lambda s: s["x"].isNotNull())
+            return F.transform(F.array_sort(F.concat(new, kept)), lambda s: s["x"])
 
         done = _let(halves(radices), lambda radix: _network(halves(values), radix, key, tweak, rounds, back))
         return _let(done, put_back)
@@ -250,7 +258,7 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
     # A kept character has radix 1 and so number 0: it is told by its place.
     chars = _chars(m)
     start = F.when(kind == "phone", F.length(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0))).when(kind == "iban", F.lit(4)).otherwise(F.lit(0))
-    end = F.when(kind == "card", F.length(m) - 1).when(kind == "email", F.length(m) - F.length(F.substring_index(m, ".", -1))).otherwise(F.length(m))
+    end = F.when(kind == "secret", _ALL).when(kind == "card", F.length(m) - 1).when(kind == "email", F.length(m) - F.length(F.substring_index(m, ".", -1))).otherwise(F.length(m))
     plain = F.array_join(F.transform(chars, lambda c, i: F.when((i >= start) & (i < end), _char(c, F.element_at(v, i + 1))).otherwise(c)), "")
     day = F.date_add(F.lit("1900-01-01").cast("date"), at(1) + at(2) * _DAYS[0])
     iso = F.date_format(day, "yyyy-MM-dd")
@@ -259,12 +267,14 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     check = (F.lit(10) - _luhn_sum(_digits(body), 0) % 10) % 10
     bare = F.replace(plain, F.lit(" "), F.lit(""))
+    hexadecimal = F.array_join(F.transform(v, lambda x, i: F.when(i > 0, F.hex(x)).otherwise(F.substring(m, 1, 1))), "")
     control = F.lit(98) - _mod97(F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 2), F.lit("00")))
     return (
         F.when(kind == "ip", F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
         .when(kind == "date", F.when(m.rlike(r"^\d{4}"), F.concat_ws("", y, sep, mo, sep, d)).otherwise(F.concat_ws("", d, sep, mo, sep, y)))
         .when(kind == "ssn", F.concat_ws("-", F.lpad((at(1) + F.when(at(1) >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((at(2) + 1).cast("string"), 2, "0"), F.lpad((at(3) + 1).cast("string"), 4, "0")))
-        .when((kind == "secret") & _hex(m), F.array_join(F.transform(v, lambda x, i: F.when(i > 0, F.lower(F.hex(x))).otherwise(F.substring(m, 1, 1))), ""))
+        .when((kind == "secret") & (_hex(m) == "lower"), F.lower(hexadecimal))
+        .when((kind == "secret") & (_hex(m) == "upper"), hexadecimal)
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "iban", F.concat(F.substring(plain, 1, 2), F.lpad(control.cast("string"), 2, "0"), F.substring(plain, F.lit(5), F.length(plain))))
         .otherwise(plain)
@@ -273,7 +283,8 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
 
 def _fits(head: Column, rest: Column, kind: Column, v: Column) -> Column:
     """Whether the value of numbers ``v`` is found again as ``head`` was."""
-    return F.when((kind == "card") & (rest != ""), _let(_render(head, kind, v), lambda x: _head(F.concat(x, rest)) == x)).otherwise(True)
+    as_before = lambda x: F.when(kind == "card", _head(F.concat(x, rest)) == x).otherwise(_hex(x) == _hex(head))
+    return F.when(((kind == "card") & (rest != "")) | (kind == "secret"), _let(_render(head, kind, v), as_before)).otherwise(True)
 
 
 def _walk(s: Column, key: str, back: bool) -> Column:

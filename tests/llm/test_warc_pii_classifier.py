@@ -165,6 +165,22 @@ def test_card_or_iban_before_more_digits_or_capitals(spark):
     assert all(k == ["card"] for _, k in replaced(spark, many))
 
 
+def test_secrets_in_capitals_and_of_any_length(spark):
+    rng = random.Random(6)
+    draw = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    upper, lower, long = draw(40, "0123456789ABCDEF"), draw(40, "0123456789abcdef"), draw(2000, letters)
+    jwt = ".".join(draw(n, letters + "-_") for n in (36, 300, 43))
+    found = {f'TOKEN = "{upper}"': r'TOKEN = "[0-9A-F]{40}"', f"Token ='{lower}'": "Token ='[0-9a-f]{40}'", f'API_KEY="{long}"': r'API_KEY="\w{2000}"', f'secret: "{jwt}"': r'secret: "[\w-]{36}\.[\w-]{300}\.[\w-]{43}"'}
+    found[f'Password="{draw(30, letters)}=="'] = r'Password="\w{30}=="'
+    found[f'key = "{draw(50_000, letters)}"'] = r'key = "\w{50000}"'
+    for old, (new, kinds) in zip(found, replaced(spark, list(found)), strict=True):
+        assert kinds == ["secret"] and new != old and re.fullmatch(found[old], new)
+    # Few letters: the result must stay hexadecimal of its case, or not: turned back by replaced().
+    few = [f'KEY="{draw(15, "0123456789")}{x}"' for x in "AFafGg" for _ in range(60)]
+    assert all(k == ["secret"] for _, k in replaced(spark, few))
+
+
 @pytest.mark.parametrize("radices", [[10, 10], [17, 29], [3, 2, 5, 4], [7]])
 def test_feistel_is_a_permutation(spark, radices):
     size = int(np.prod(radices))
