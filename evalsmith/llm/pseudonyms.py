@@ -22,7 +22,9 @@ matches, the matches are replaced, and the parts joined again.
               part of them up to a separator that does
     ssn       area, group and serial in their valid ranges
     iban      account characters; as long as its country's, passes mod 97
-    date      days of 1900-01-01 to 2099-12-31
+    date      days of 1900-01-01 to 2099-12-31, year first or day first, or
+              month first where only that makes a date (12/25/1990); days and
+              months of one digit stay so; a time may follow behind a T
     secret    a quoted value of 16 characters or more behind token, key, secret
               or password in any case; hexadecimal stays so in its case
 
@@ -46,7 +48,7 @@ WALK = 100
 _EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _SECRET = r"[\"'](?<=(?i:token|key|secret|password) ?[=:] ?.)[A-Za-z0-9+/_.=-]{16,}+(?=[\"'])"
 _IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
-_DATE = r"(?<![\w/.-])(?:(?:19|20)\d\d(?:-\d\d-|/\d\d/)\d\d|\d\d(?:\.\d\d\.|/\d\d/)(?:19|20)\d\d)(?![\w/-])"
+_DATE = r"(?<![\w/.-])(?:(?:19|20)\d\d(?:-\d{1,2}-|/\d{1,2}/)\d{1,2}|\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)(?:19|20)\d\d)(?:(?=T\d)|(?![\w/-]))"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
 #: Countries by the length of their account numbers; others have any length.
@@ -132,10 +134,21 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0), one)
 
 
+def _date_texts(m: Column) -> tuple[Column, Column, Column]:
+    """Year, month and day as written: month first if only that can be one."""
+    parts = F.split(m, "[-/.]")
+    a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+    year_first, month_first = m.rlike(r"^\d{4}"), _month_first(m)
+    return F.when(year_first, a).otherwise(c), F.when(month_first, a).otherwise(b), F.when(year_first, c).when(month_first, b).otherwise(a)
+
+
+def _month_first(m: Column) -> Column:
+    return m.rlike(r"^\d\d?/(?:1[3-9]|[2-9]\d)/\d{4}$")
+
+
 def _date_parts(m: Column) -> tuple[Column, Column, Column]:
-    first = m.rlike(r"^\d{4}")
-    cut = lambda a, b, n: F.when(first, F.substring(m, a, n)).otherwise(F.substring(m, b, n)).cast("int")
-    return F.when(first, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4)).cast("int"), cut(6, 4, 2), F.when(first, F.substring(m, 9, 2)).otherwise(F.substring(m, 1, 2)).cast("int")
+    y, mo, d = (t.cast("int") for t in _date_texts(m))
+    return y, mo, d
 
 
 def _kind(m: Column) -> Column:
@@ -151,7 +164,7 @@ def _kind(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^[\"']"), "secret")
         .when(m.rlike(r"^\d+(?:\.\d+){3}$") & ~m.rlike(r"\d{4}"), F.when(octets_fit, "ip"))
-        .when(m.rlike(r"^(?:\d{4}[-/]\d\d[-/]\d\d|\d\d[./]\d\d[./]\d{4})$"), F.when(date_fits, "date"))
+        .when(m.rlike(r"^(?:\d{4}[-/]\d\d?[-/]\d\d?|\d\d?[./]\d\d?[./]\d{4})$"), F.when(date_fits, "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(ssn_fits, "ssn"))
         .when(m.rlike(r"^(?:[+(]|\d{3}-\d{3}-\d{4}$)"), F.when(n.between(7, 15), "phone"))
         .when(m.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9])+$"), F.when(iban_fits, "iban"))
@@ -165,6 +178,16 @@ def _hex(s: Column) -> Column:
     return F.when(s.rlike(r"^.[0-9a-f]++$"), "lower").when(s.rlike(r"^.[0-9A-F]++$"), "upper").otherwise("no")
 
 
+def _one_digit_day(m: Column) -> Column:
+    return F.length(_date_texts(m)[2]) == 1
+
+
+def _date_of(m: Column, v: Column) -> Column:
+    """The day of numbers ``v`` in the format of ``m``."""
+    at = lambda i: F.element_at(v, i)
+    return F.when(_one_digit_day(m), F.make_date(at(1) + 1900, at(2) + 1, at(3) + 1)).otherwise(F.date_add(F.lit("1900-01-01").cast("date"), at(1) + at(2) * _DAYS[0]))
+
+
 def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
     """(numbers, radices) of a value."""
     chars = _chars(m)
@@ -180,6 +203,7 @@ def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
     area = F.substring(m, 1, 3).cast("int")
     values = (
         F.when(kind == "ip", F.transform(F.split(m, r"\."), lambda o: o.cast("int")))
+        .when((kind == "date") & _one_digit_day(m), ints(y - 1900, mo - 1, d - 1))
         .when(kind == "date", ints(day % _DAYS[0], F.floor(day / _DAYS[0])))
         .when(kind == "ssn", ints(area - F.when(area > 666, 2).otherwise(1), F.substring(m, 5, 2).cast("int") - 1, F.substring(m, 8, 4).cast("int") - 1))
         .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c, i: F.when(i > 0, F.conv(c, 16, 10).cast("int")).otherwise(0)))
@@ -187,6 +211,7 @@ def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
     )
     radices = (
         F.when(kind == "ip", F.array_repeat(F.lit(256), 4))
+        .when((kind == "date") & _one_digit_day(m), ints(200, F.when(F.length(_date_texts(m)[1]) == 1, 9).otherwise(12), 9))
         .when(kind == "date", ints(*_DAYS))
         .when(kind == "ssn", ints(898, 99, 9999))
         .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c, i: F.when(i > 0, 16).otherwise(1)))
@@ -260,10 +285,12 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
     start = F.when(kind == "phone", F.length(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0))).when(kind == "iban", F.lit(4)).otherwise(F.lit(0))
     end = F.when(kind == "secret", _ALL).when(kind == "card", F.length(m) - 1).when(kind == "email", F.length(m) - F.length(F.substring_index(m, ".", -1))).otherwise(F.length(m))
     plain = F.array_join(F.transform(chars, lambda c, i: F.when((i >= start) & (i < end), _char(c, F.element_at(v, i + 1))).otherwise(c)), "")
-    day = F.date_add(F.lit("1900-01-01").cast("date"), at(1) + at(2) * _DAYS[0])
-    iso = F.date_format(day, "yyyy-MM-dd")
-    y, mo, d = F.substring(iso, 1, 4), F.substring(iso, 6, 2), F.substring(iso, 9, 2)
-    sep = F.when(m.rlike(r"^\d{4}"), F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
+    iso = F.date_format(_date_of(m, v), "yyyy-MM-dd")
+    _, month_text, day_text = _date_texts(m)
+    y = F.substring(iso, 1, 4)
+    mo = F.when(F.length(month_text) == 1, F.substring(iso, 7, 1)).otherwise(F.substring(iso, 6, 2))
+    d = F.when(F.length(day_text) == 1, F.substring(iso, 10, 1)).otherwise(F.substring(iso, 9, 2))
+    sep = F.regexp_extract(m, "[-/.]", 0)
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     check = (F.lit(10) - _luhn_sum(_digits(body), 0) % 10) % 10
     bare = F.replace(plain, F.lit(" "), F.lit(""))
@@ -271,7 +298,7 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
     control = F.lit(98) - _mod97(F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 2), F.lit("00")))
     return (
         F.when(kind == "ip", F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
-        .when(kind == "date", F.when(m.rlike(r"^\d{4}"), F.concat_ws("", y, sep, mo, sep, d)).otherwise(F.concat_ws("", d, sep, mo, sep, y)))
+        .when(kind == "date", F.when(m.rlike(r"^\d{4}"), F.concat_ws("", y, sep, mo, sep, d)).when(_month_first(m), F.concat_ws("", mo, sep, d, sep, y)).otherwise(F.concat_ws("", d, sep, mo, sep, y)))
         .when(kind == "ssn", F.concat_ws("-", F.lpad((at(1) + F.when(at(1) >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((at(2) + 1).cast("string"), 2, "0"), F.lpad((at(3) + 1).cast("string"), 4, "0")))
         .when((kind == "secret") & (_hex(m) == "lower"), F.lower(hexadecimal))
         .when((kind == "secret") & (_hex(m) == "upper"), hexadecimal)
@@ -284,12 +311,15 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
 def _fits(head: Column, rest: Column, kind: Column, v: Column) -> Column:
     """Whether the value of numbers ``v`` is found again as ``head`` was."""
     as_before = lambda x: F.when(kind == "card", _head(F.concat(x, rest)) == x).otherwise(_hex(x) == _hex(head))
-    return F.when(((kind == "card") & (rest != "")) | (kind == "secret"), _let(_render(head, kind, v), as_before)).otherwise(True)
+    day = _date_of(head, v)
+    one_digit_month = F.length(_date_texts(head)[1]) == 1
+    date_fits = (~one_digit_month | (F.month(day) < 10)) & (~_month_first(head) | (F.dayofmonth(day) > 12))
+    return F.when(kind == "date", date_fits).when(((kind == "card") & (rest != "")) | (kind == "secret"), _let(_render(head, kind, v), as_before)).otherwise(True)
 
 
 def _walk(s: Column, key: str, back: bool) -> Column:
     """The permutation, repeated until the value fits: a permutation of the
-    values that fit. More than half of all do, wherever some don't."""
+    values that fit. About half of all do, wherever some don't."""
 
     def step(state: Column, _: Column) -> Column:
         moved = lambda w: F.struct(w.alias("v"), _fits(s["m"], s["rest"], s["kind"], w).alias("done"))

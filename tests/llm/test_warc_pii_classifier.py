@@ -181,6 +181,24 @@ def test_secrets_in_capitals_and_of_any_length(spark):
     assert all(k == ["secret"] for _, k in replaced(spark, few))
 
 
+def test_dates_in_every_form(spark):
+    forms = {
+        "2024-01-05T10:00:00Z": r"(\d{4})-(\d\d)-(\d\d)T10:00:00Z", "12/25/1990": r"(?P<m>\d\d)/(?P<d>\d\d)/(?P<y>\d{4})", "1/25/1990": r"(?P<m>\d)/(?P<d>\d\d)/(?P<y>\d{4})",
+        "25/12/1990": r"(?P<d>\d\d)/(?P<m>\d\d)/(?P<y>\d{4})", "2024-1-5": r"(\d{4})-(\d)-(\d)", "5.1.2024": r"(?P<d>\d)\.(?P<m>\d)\.(?P<y>\d{4})",
+        "2024/1/31": r"(\d{4})/(\d)/(\d\d)", "2024-12-5": r"(\d{4})-(\d\d)-(\d)", "5/12/2024": r"(?P<d>\d)/(?P<m>\d\d)/(?P<y>\d{4})", "28.2.2023": r"(?P<d>\d\d)\.(?P<m>\d)\.(?P<y>\d{4})",
+    }
+    for old, (new, kinds) in zip(forms, replaced(spark, list(forms)), strict=True):
+        m = re.fullmatch(forms[old], new)
+        assert kinds == ["date"] and new != old and m, (old, new)
+        g = m.groupdict()
+        date(int(g.get("y") or m[1]), int(g.get("m") or m[2]), int(g.get("d") or m[3]))
+    stay = ["2023-02-29T10:00:00Z", "13/32/1990", "2/30/1990", "2024-1-055", "2024-01-05x", "1.2.3.2024", "0/5/2024", "2024-0-1", "31.4.2000"]
+    assert replaced(spark, stay) == [(x, []) for x in stay]
+    days = [date.fromordinal(date(1900, 1, 1).toordinal() + 241 * i) for i in range(300)]
+    every = [f.format(d=d.day, m=d.month, y=d.year) for d in days for f in ("{m}/{d}/{y}", "{d}.{m}.{y}", "{y}-{m}-{d}", "{m:02}/{d:02}/{y}")]
+    assert all(k == ["date"] for _, k in replaced(spark, every))
+
+
 @pytest.mark.parametrize("radices", [[10, 10], [17, 29], [3, 2, 5, 4], [7]])
 def test_feistel_is_a_permutation(spark, radices):
     size = int(np.prod(radices))
