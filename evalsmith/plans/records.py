@@ -25,7 +25,7 @@ from . import actions, decisions, generation, guidelines, judging
 from .common import hex_digit, key_text, sql_hex_digit
 
 THRESHOLD = actions.THRESHOLD
-LONG = 60  # characters from which the stand-in scorer gives no score
+LONG = 60  # characters from which the oracle alone still gives no score
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,17 +45,11 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_action_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10 + J7 on given rows: each generated action with the reference action
-    of its place. The scorer gives no score to long texts."""
+    of its place, texts of any length."""
     cases = actions.action_cases(spark, sf_dir)
     zipped = F.arrays_zip(F.col("generated_actions").alias("text_a"), F.col("reference_actions").alias("text_b"))
     pairs = cases.select(*actions.KEYS, F.posexplode(zipped).alias("i", "p")).select(*actions.KEYS, "i", "p.text_a", "p.text_b")
-
-    def scorer(distinct: DataFrame) -> DataFrame:
-        s = token_pair_scores(distinct)
-        short = F.length("text_b") < LONG
-        return s.select("text_a", "text_b", F.when(short, F.col("forward")).alias("forward"), F.when(short, F.col("backward")).alias("backward"))
-
-    out = label_pairs(pairs, THRESHOLD, scorer=scorer)
+    out = label_pairs(pairs, THRESHOLD, scorer=token_pair_scores)
     return truncate_floats(out.select(*actions.KEYS, "i", "forward", "backward", "score", "label"), 6)
 
 

@@ -220,3 +220,24 @@ def test_no_cartesian_in_candidate_plan(spark):
     plan = overlap_candidates(tokenize(a), tokenize(a), ["case_id"], 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert explode_actions is not None and F is not None
+
+
+def test_label_action_pairs_scores_long_actions(spark, tmpdir_path):
+    """Every pair has scores, however long; only a failing scorer leaves 'unknown'."""
+    from evalsmith.operators.matching import label_pairs, token_pair_scores
+    from evalsmith.plans.records import label_action_pairs
+
+    long = " ".join(f"word{i}" for i in range(500))
+    rows = [(1, t, "user", f"give {long} daily. then {long} twice. stop") for t in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmpdir_path}/conversations.parquet")
+    got = label_action_pairs(spark, tmpdir_path).collect()
+    assert got and all(r["score"] is not None and r["label"] in ("same", "different") for r in got)
+    assert {"same", "different"} == {r["label"] for r in got}
+
+    def failing(distinct):
+        some = F.col("text_b") != "fails"
+        return token_pair_scores(distinct).withColumns({c: F.when(some, F.col(c)) for c in ("forward", "backward")})
+
+    pairs = spark.createDataFrame([("a b", "a b"), ("a b", "fails"), ("a", long), ("", "fails")], "text_a string, text_b string")
+    labels = {(r["text_a"], r["text_b"]): r["label"] for r in label_pairs(pairs, 0.5, scorer=failing).collect()}
+    assert labels == {("a b", "a b"): "same", ("a b", "fails"): "unknown", ("a", long): "different", ("", "fails"): "different"}
