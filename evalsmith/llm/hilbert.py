@@ -1,7 +1,9 @@
 """Sharding along a Hilbert curve over document metadata.
 
 Several metadata columns are quantised to ``bits`` bits each, so that a step
-holds about as many rows as the next. The quantised values are a point in a
+holds about as many rows as the next; texts are quantised as whole values in
+the order of their UTF-8 bytes, whatever their script or common beginnings, and
+sizes by their logarithm. The quantised values are a point in a
 cube; its index on the Hilbert curve orders the rows, and equal runs of that
 order become shards. Neighbours on the curve are near in every dimension, so
 a shard's files have narrow value ranges and a filter on any of the columns
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import BROADCAST_KEYS, join_facts
 from .common import running, store
 
 #: Codes are so many bits wide before they are ranked.
@@ -74,15 +77,23 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, one)["h"]
 
 
-def text_code(col: str, low: str | None, high: str | None) -> Column:
-    """Order-keeping code of a text column: its two characters behind what
-    all values between ``low`` and ``high`` begin with; 0 for null."""
-    same = 0
-    if low is not None and high is not None:
-        while same < min(len(low), len(high)) and low[same] == high[same]:
-            same += 1
-    at = lambda i: F.least(F.ascii(F.substring(col, same + i, 1)), F.lit(254))
-    return F.when(F.col(col).isNull(), 0).otherwise(at(1) * 256 + at(2) + 1).cast("int")
+def text_steps(rows: DataFrame, cols: dict[str, str], bits: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` with, for each (column, out) of ``cols``, the step ``out``, of
+    2^bits, in which the middle of the rows of its whole value lies, null
+    before all others. One row per distinct value is ordered, by ranges; few
+    are broadcast, more joined with each dealt over tasks."""
+    value = lambda c: F.coalesce(F.concat(F.lit("1"), c), F.lit("0"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), value(c).alias("__value")) for i, c in enumerate(cols)]))
+    counts = store(rows.select(pairs.alias("p")).groupBy("p.dim", "p.__value").agg(F.count("*").alias("n")), "hilbert-values")
+    total = counts.where("dim = 0").agg(F.sum("n")).first()[0] or 1
+    # Every row has one value in each dimension: ``total`` rows a dimension.
+    placed = running(counts, [F.col("dim"), F.col("__value")], {"before": "n"})
+    step = F.floor((F.col("before") - F.col("dim") * F.lit(total) + F.col("n") / 2) * (1 << bits) / F.lit(total)).cast("int")
+    steps = store(placed.select("dim", "__value", step.alias("step")), "hilbert-text-steps")
+    for i, (c, out) in enumerate(cols.items()):
+        own = steps.where(F.col("dim") == i).select("__value", F.col("step").alias(out))
+        rows = join_facts(rows.withColumn("__value", value(c)), own, ["__value"], F.struct("doc_id", "text_crc32"), broadcast_keys=broadcast_keys).drop("__value")
+    return rows
 
 
 def number_code(col: Column) -> Column:
@@ -125,9 +136,10 @@ def shard_by_curve(docs: DataFrame, shards: int = 40, bits: int = 7, text_dims:
     named = {f"dim_{c}": F.col(c).cast("string") for c in text_dims}
     rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), *[v.alias(k) for k, v in named.items()])
     rows = store(rows, "hilbert-rows")
-    ends = rows.agg(*[f(k).alias(f"{f.__name__}_{k}") for k in named for f in (F.min, F.max)]).first()
-    codes = {f"code_{k}": text_code(k, ends[f"min_{k}"], ends[f"max_{k}"]) for k in named} | {"code_size": number_code(F.col("size"))}
-    points = quantised(rows.withColumns(codes), list(codes), bits)
+    codes = [*[f"code_{k}" for k in named], "code_size"]
+    points = quantised(rows.withColumn("code_size", number_code(F.col("size"))), ["code_size"], bits)
+    if named:
+        points = text_steps(points, {k: f"code_{k}" for k in named}, bits)
     curve = hilbert_index([F.col(c) for c in codes], bits)
     points = store(points.withColumn("curve_index", curve).withColumn("tie", F.xxhash64("doc_id", "text_crc32")).drop(*codes), "hilbert-points")
     n = points.count()

@@ -3,7 +3,7 @@
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -208,3 +208,26 @@ def test_shards_are_runs_of_the_curve(odd_docs, no_docs):
     assert [r["curve_index"] for r in line] == sorted(r["curve_index"] for r in line)
     assert hilbert.shard_by_curve(no_docs).count() == 0
     assert sorted(r["slot"] for r in hilbert.shard_by_curve(odd_docs.limit(3)).collect()) == [0, 0, 0]
+
+
+@pytest.mark.parametrize("names", [
+    [f"src{i}" for i in range(20)] + ["hot", "", None], [f"src{i}" for i in range(100)] + ["hot"], ["zh-CN", "zh-TW", "zh", "en"], ["Вики", "Весть", "新闻", "新书", "日报", "éa", "ea"],
+])
+def test_every_value_has_a_place_on_the_curve(spark, names):
+    rows = [(i, "same text", "en", names[i % len(names)], 9) for i in range(4 * len(names))]
+    got = hilbert.shard_by_curve(spark.createDataFrame(rows, SCHEMA), shards=len(names), text_dims=("source",)).collect()
+    place = {r["dim_source"]: r["curve_index"] for r in got}
+    assert len(set(place.values())) == len(names) == len({(r["dim_source"], r["curve_index"]) for r in got})
+    # As many shards as sources, and as many rows of each: no shard spans two.
+    assert len({(r["shard"], r["dim_source"]) for r in got}) == len(names)
+
+
+def test_text_steps_keep_the_order_by_either_join(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", None, "", "zz"] + [f"v{k}" for k in range(50)]), i) for i in range(900)]
+    docs = common.store(spark.createDataFrame(rows, "doc_id long, v string, text_crc32 long"), "test-steps")
+    few, many = (hilbert.text_steps(docs.withColumn("w", F.lit("x")), {"w": "one", "v": "step"}, 5, broadcast_keys=k).collect() for k in (100, 10))
+    assert sorted(few, key=str) == sorted(many, key=str) and len(few) == len(rows)
+    line = sorted(((r["v"] is not None, r["v"] or "", r["step"]) for r in few))
+    assert [x[2] for x in line] == sorted(x[2] for x in line) and 0 <= line[0][2] and line[-1][2] < 32
+    assert max(Counter(x[2] for x in line).values()) < 3 * len(rows) / 32
