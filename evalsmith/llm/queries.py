@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert, mixing, pseudonyms, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
+from . import decontamination, divergence, hilbert, mixing, pseudonyms, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -101,6 +101,10 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 QUERIES = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op2_feistel_pii": op2_feistel_pii,
@@ -112,6 +116,7 @@ QUERIES = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_trie": op10_simhash_trie,
+    "op13_divergence_audit": op13_divergence_audit,
 }
 
 #: Words of a text, lower-cased or not, in DuckDB.
@@ -201,7 +206,41 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'r
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), t AS (
+  SELECT rid, lang, source, unnest(terms) AS term FROM d
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), per AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL
+), kept AS (
+  SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10
+), full_ AS (
+  SELECT g.lang, g.source, kept.term, coalesce(per.n, 0) AS n, ln FROM g JOIN kept USING (lang) LEFT JOIN per ON per.lang = g.lang AND per.source = g.source AND per.term = kept.term
+), shares AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p,
+    1 + (1000000000::HUGEINT * (ln + 2)) // (sum(ln) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS q
+  FROM full_
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES = {
+    "op13_divergence_audit": _OP13_SQL,
     "op3_url_trie": _OP3_SQL,
     "op7_gzip_normaliser": _OP7_SQL,
     "op4_aho_corasick": _OP4_SQL,
