@@ -8,11 +8,12 @@ as a whole, gives a kept term the smoothed share
 uses more than its language does, and every other source of the language by
 the divergence summed over all kept terms.
 
-Late string materialization: one scan counts the terms of every batch and
-writes them with a 64-bit digest. Counts and document counts are then shuffled
-by digest alone, fixed in width. Digests that reach the vocabulary are given
-the least and the greatest of their strings; where these differ, two terms
-share the digest, and its rows are counted anew by their text and numbered
+Late string materialization: terms travel as 64-bit digests. One scan counts
+documents by language and digest, which gives the vocabulary; a second counts
+occurrences by group and keeps, before anything is shuffled, what belongs to
+it. Beside its counts each task tells every term's text once, and only the
+least and the greatest string of a digest are shuffled: where these differ, two
+terms share the digest, and it is counted anew by text and its terms numbered
 apart (``sub``). Text is joined back only to the terms that the result lists.
 
 The divergence of two sources needs no row per pair and term: a term that
@@ -42,9 +43,10 @@ from pyspark.sql import functions as F
 from ..operators.joins import join_facts
 from .common import as_text, shuffle_partitions, store
 
-#: Terms counted before they are given out, rows given out at a time, and rows
-#: of term lists paired at a time.
-_HELD, _ROWS, _PAIRED = 250_000, 1 << 16, 1 << 18
+#: Terms counted before they are given out, rows given out at a time, rows of
+#: term lists paired at a time, and digests (two numbers each) that a broadcast
+#: may hold.
+_HELD, _ROWS, _PAIRED, _BROADCAST = 400_000, 1 << 16, 1 << 18, 1_000_000
 #: ASCII letters in lower case and all bytes of other characters make up terms.
 _TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -54,27 +56,39 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
 
 
-def _digest(term: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(term) >> (64 - bits)
+def _digests(words: list[bytes], bits: int) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - bits)).view(np.int64)
 
 
-def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(lid, gid, digest, term, n, df) counted within each task's batches, from
-    (lid, gid, text); map-only."""
+def count_terms(docs: DataFrame, columns: list[str], bits: int = 64) -> DataFrame:
+    """(lid, gid, digest, then of n, df and term what ``columns`` names) from
+    (lid, gid, text), counted within each task; map-only. ``n`` without ``df``
+    is for the main counts: there, rows with counts have no term, and each
+    task gives a row with every term of a language and no count."""
+    apart_ = columns == ["n", "term"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], tuple[Counter, Counter]] = {}
+        held: dict[tuple[int, int], dict[str, Counter]] = {}
+
+        def rows(lid: int, gid: int, words: list[bytes], values: dict) -> Iterator[pd.DataFrame]:
+            digest = _digests(words, bits)
+            for i in range(0, len(words), _ROWS):
+                part = {"lid": lid, "gid": gid, "digest": digest[i : i + _ROWS]}
+                for c in columns:
+                    part[c] = [w.decode("utf-8", "surrogatepass") for w in words[i : i + _ROWS]] if values[c] is words else values[c] and list(values[c][i : i + _ROWS])
+                yield pd.DataFrame(part).astype({c: "Int64" for c in columns if c != "term"})
 
         def given() -> Iterator[pd.DataFrame]:
-            for (lid, gid), (times, docs_) in held.items():
-                words = list(times)
-                for i in range(0, len(words), _ROWS):
-                    part = words[i : i + _ROWS]
-                    digest = np.array([_digest(w, bits) for w in part], np.uint64).view(np.int64)
-                    yield pd.DataFrame({
-                        "lid": lid, "gid": gid, "digest": digest, "term": [w.decode("utf-8", "surrogatepass") for w in part],
-                        "n": [times[w] for w in part], "df": [docs_[w] for w in part],
-                    })
+            spelled: dict[int, set[bytes]] = {}
+            for (lid, gid), counts in held.items():
+                words = list(next(iter(counts.values())))
+                values = {c: [own[w] for w in words] for c, own in counts.items()}
+                yield from rows(lid, gid, words, values | {"term": None if apart_ else words})
+                if apart_:
+                    spelled.setdefault(lid, set()).update(words)
+            for lid, words in spelled.items():
+                words = list(words)
+                yield from rows(lid, lid, words, {"n": None, "term": words})
             held.clear()
 
         total = 0
@@ -83,17 +97,20 @@ def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
                 words = terms_of(as_text(text))
                 if not words:
                     continue
-                times, docs_ = held.setdefault((lid, gid), (Counter(), Counter()))
-                before = len(times)
-                times.update(words)
-                docs_.update(set(words))
-                total += len(times) - before
+                counts = held.setdefault((lid, gid), {c: Counter() for c in columns if c != "term"})
+                before = sum(len(c) for c in counts.values())
+                if "n" in counts:
+                    counts["n"].update(words)
+                if "df" in counts:
+                    counts["df"].update(set(words))
+                total += sum(len(c) for c in counts.values()) - before
                 if total >= _HELD:
                     yield from given()
                     total = 0
         yield from given()
 
-    return docs.mapInPandas(run, "lid long, gid long, digest long, term string, n long, df long")
+    kinds = {"n": "n long", "df": "df long", "term": "term string"}
+    return docs.mapInPandas(run, ", ".join(["lid long, gid long, digest long", *[kinds[c] for c in columns]]))
 
 
 def share(count: str | Column, total: str, terms: str) -> Column:
@@ -108,39 +125,49 @@ def apart(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def kept_terms(partial: DataFrame, key: list[str], least_docs: int) -> DataFrame:
-    """(lid, gid, key.., n, ln, first) of terms in enough documents of their
-    language; ln is the language's count and ``first`` marks one row a term."""
-    counts = partial.groupBy("lid", "gid", *key).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+def _among(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are in ``facts``. Tasks count before this join, so no
+    key repeats beyond tasks times groups: what isn't broadcast needs no salt."""
+    few = facts.limit(_BROADCAST + 1).count() <= _BROADCAST
+    return rows.join(F.broadcast(facts) if few else facts, keys)
+
+
+def _by_group(counts: DataFrame, key: list[str]) -> DataFrame:
+    """(lid, gid, key.., n, ln, first): ln is the language's count and
+    ``first`` marks one row a term."""
     term = Window.partitionBy("lid", *key)
-    counts = counts.withColumns({"ldf": F.sum("df").over(term), "ln": F.sum("n").over(term), "first": F.min("gid").over(term) == F.col("gid")})
-    return counts.where(F.col("ldf") >= least_docs).drop("df", "ldf")
-
-
-def vocabulary(partial: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    """The kept terms by (digest, sub), and (digest, sub, term) of them all."""
-    spark = partial.sparkSession
-    parts = shuffle_partitions(spark, partial.count(), 1_000_000)
-    # Partitioned by digest alone: the counts by group and the sums by language
-    # share one shuffle of fixed-width rows.
-    slim = partial.select("lid", "gid", "digest", "n", "df").repartition(parts, "digest")
-    kept = store(kept_terms(slim, ["digest"], least_docs), "terms-kept")
-    # Two rare terms that share a digest may reach the vocabulary together; a
-    # term that belongs to it always does.
-    digests = store(kept.select("digest").distinct(), "terms-digests")
-    texts = join_facts(partial.select("digest", "term"), digests, ["digest"], F.col("term"))
-    spelled = store(texts.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")), "terms-spelled")
-    shared = store(spelled.where("term != last").select("digest"), "terms-shared")
-    names = spelled.where("term = last").select("digest", F.lit(0).alias("sub"), "term")
+    counts = counts.groupBy("lid", "gid", *key).agg(F.sum("n").alias("n"))
+    return counts.withColumns({"ln": F.sum("n").over(term), "first": F.min("gid").over(term) == F.col("gid")})
+
+
+def vocabulary(docs: DataFrame, least_docs: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The kept terms' counts by (lid, gid, digest, sub), and (lid, digest,
+    sub, term) of them all, from (lid, gid, text)."""
+    spark = docs.sparkSession
+    found = count_terms(docs.withColumn("gid", F.col("lid")), ["df"], bits).groupBy("lid", "digest").agg(F.sum("df").alias("df"))
+    # Two rare terms that share a digest may come in together; a term that
+    # belongs to the vocabulary always does.
+    digests = store(found.where(F.col("df") >= least_docs).select("lid", "digest"), "terms-digests")
+    told = store(_among(count_terms(docs, ["n", "term"], bits), digests, ["lid", "digest"]), "terms-counts")
+    # Dealt by digest: the sums by group and by language share one shuffle of
+    # fixed-width rows.
+    slim = told.where("n IS NOT NULL").select("lid", "gid", "digest", "n")
+    slim = slim.repartition(shuffle_partitions(spark, told.count(), 1_000_000), "digest")
+    kept = store(_by_group(slim, ["digest"]), "terms-kept")
+    spelled = told.where("term IS NOT NULL").groupBy("lid", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    spelled = store(spelled, "terms-spelled")
+    shared = store(spelled.where("term != last").select("lid", "digest"), "terms-shared")
+    names = spelled.where("term = last").select("lid", "digest", F.lit(0).alias("sub"), "term")
     kept = kept.withColumn("sub", F.lit(0))
     if shared.isEmpty():
         return kept, names
-    rows = store(join_facts(partial, shared, ["digest"], F.col("term")).groupBy("lid", "gid", "digest", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "terms-split")
-    place = F.row_number().over(Window.partitionBy("digest").orderBy("term")).cast("int")
-    split = store(rows.select("digest", "term").distinct().withColumn("sub", place), "terms-names")
-    anew = kept_terms(join_facts(rows, split, ["digest", "term"], F.col("gid")), ["digest", "sub"], least_docs)
-    sole = kept.join(shared, "digest", "left_anti")
-    return store(sole.unionByName(anew), "terms-apart"), names.unionByName(split.select("digest", "sub", "term"))
+    rows = store(_among(count_terms(docs, ["n", "df", "term"], bits), shared, ["lid", "digest"]), "terms-split")
+    place = F.row_number().over(Window.partitionBy("lid", "digest").orderBy("term")).cast("int")
+    split = rows.groupBy("lid", "digest", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs)
+    split = store(split.select("lid", "digest", "term", place.alias("sub")), "terms-names")
+    anew = _by_group(_among(rows, split, ["lid", "digest", "term"]), ["digest", "sub"])
+    sole = kept.join(shared, ["lid", "digest"], "left_anti")
+    return store(sole.unionByName(anew), "terms-apart"), names.unionByName(split.select("lid", "digest", "sub", "term"))
 
 
 def _common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,8 +231,7 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, bits: int = 64)
     langs = store(docs.select("lang").distinct().withColumn("lid", number), "audit-langs")
     groups = store(join_facts(docs.select("lang", "source").distinct(), langs, ["lang"], F.col("source")).withColumn("gid", number), "audit-groups")
     placed = join_facts(docs, groups, ["lang", "source"], F.xxhash64("text")).select("lid", "gid", "text")
-    partial = store(count_terms(placed, bits), "audit-counts")
-    kept, names = vocabulary(partial, least_docs)
+    kept, names = vocabulary(placed, least_docs, bits)
     of_group = kept.groupBy("gid").agg(F.sum("n").alias("total"))
     of_lang = kept.where("first").groupBy("lid").agg(F.count("*").alias("terms"), F.sum("ln").alias("lang_total"))
     stats = groups.join(of_group, "gid", "left").join(of_lang, "lid", "left").fillna(0, ["total", "terms", "lang_total"])
@@ -218,11 +244,12 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, bits: int = 64)
     by_item = Window.partitionBy("gid").orderBy(F.col("value").desc(), "item")
 
     # All that tie with the last rank stay until their text is known.
-    above = rows.where("p > q").select("gid", "digest", "sub", apart("p", "q").alias("value"))
+    above = rows.where("p > q").select("lid", "gid", "digest", "sub", apart("p", "q").alias("value"))
     above = store(above.withColumn("r", F.rank().over(Window.partitionBy("gid").orderBy(F.col("value").desc()))).where(F.col("r") <= top).drop("r"), "audit-above")
-    shown = store(above.select("digest", "sub").distinct(), "audit-shown")
-    texts = store(join_facts(names, shown, ["digest", "sub"], F.col("term")), "audit-texts")
-    listed = join_facts(above, texts, ["digest", "sub"], F.col("gid")).withColumnRenamed("term", "item")
+    term = ["lid", "digest", "sub"]
+    shown = store(above.select(*term).distinct(), "audit-shown")
+    texts = store(join_facts(names, shown, term, F.col("term")), "audit-texts")
+    listed = join_facts(above, texts, term, F.col("gid")).withColumnRenamed("term", "item")
     listed = listed.withColumn("rank", F.row_number().over(by_item)).where(F.col("rank") <= top)
     listed = join_facts(listed, names_of, ["gid"], F.col("item")).withColumn("part", F.lit("term")).select(*columns)
 
