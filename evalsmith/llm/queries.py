@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, hilbert, mixing, pseudonyms, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
+from . import decontamination, divergence, hilbert, mixing, pseudonyms, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import table
 
 
@@ -101,6 +101,15 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    prior = toxicity.class_prior(labels, "toxic", fold != 1)
+    weights = toxicity.train(toxicity.examples(docs, labels, "toxic", fold != 1), prior)
+    scored = toxicity.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
@@ -116,6 +125,7 @@ QUERIES = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_trie": op10_simhash_trie,
+    "op11_nnpu_toxicity": op11_nnpu_toxicity,
     "op13_divergence_audit": op13_divergence_audit,
 }
 
