@@ -9,12 +9,13 @@ uses more than its language does, and every other source of the language by
 the divergence summed over all kept terms.
 
 Late string materialization: terms travel as 64-bit digests. One scan counts
-documents by language and digest, which gives the vocabulary; a second counts
-occurrences by group and keeps, before anything is shuffled, what belongs to
-it. Beside its counts each task tells every term's text once, and only the
-least and the greatest string of a digest are shuffled: where these differ, two
-terms share the digest, and it is counted anew by text and its terms numbered
-apart (``sub``). Text is joined back only to the terms that the result lists.
+documents by language and digest, which gives the vocabulary, and sets every
+term's text down beside its digest; a second counts occurrences by group and
+keeps, before anything is shuffled, what belongs to the vocabulary. Of texts
+only the least and the greatest of a kept digest are shuffled: where these
+differ, two terms share the digest, and it is counted anew by text and its
+terms numbered apart (``sub``). Text is joined back only to the terms that the
+result lists.
 
 The divergence of two sources needs no row per pair and term: a term that
 neither has adds the same to all; one that one has is counted by how often it
@@ -62,34 +63,26 @@ def _digests(words: list[bytes], bits: int) -> np.ndarray:
 
 def count_terms(docs: DataFrame, columns: list[str], bits: int = 64) -> DataFrame:
     """(lid, gid, digest, then of n, df and term what ``columns`` names) from
-    (lid, gid, text), counted within each task; map-only. ``n`` without ``df``
-    is for the main counts: there, rows with counts have no term, and each
-    task gives a row with every term of a language and no count."""
-    apart_ = columns == ["n", "term"]
+    (lid, gid, text), counted within each task; map-only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], dict[str, Counter]] = {}
 
-        def rows(lid: int, gid: int, words: list[bytes], values: dict) -> Iterator[pd.DataFrame]:
-            digest = _digests(words, bits)
-            for i in range(0, len(words), _ROWS):
-                part = {"lid": lid, "gid": gid, "digest": digest[i : i + _ROWS]}
-                for c in columns:
-                    part[c] = [w.decode("utf-8", "surrogatepass") for w in words[i : i + _ROWS]] if values[c] is words else values[c] and list(values[c][i : i + _ROWS])
-                yield pd.DataFrame(part).astype({c: "Int64" for c in columns if c != "term"})
-
         def given() -> Iterator[pd.DataFrame]:
-            spelled: dict[int, set[bytes]] = {}
-            for (lid, gid), counts in held.items():
-                words = list(next(iter(counts.values())))
-                values = {c: [own[w] for w in words] for c, own in counts.items()}
-                yield from rows(lid, gid, words, values | {"term": None if apart_ else words})
-                if apart_:
-                    spelled.setdefault(lid, set()).update(words)
-            for lid, words in spelled.items():
-                words = list(words)
-                yield from rows(lid, lid, words, {"n": None, "term": words})
+            first = [next(iter(c.values())) for c in held.values()]
+            words = [w for c in first for w in c]
+            size = [len(c) for c in first]
+            rows = {"lid": np.repeat([g[0] for g in held], size), "gid": np.repeat([g[1] for g in held], size), "digest": _digests(words, bits)}
+            for c in columns:
+                if c == "term":
+                    rows[c] = [w.decode("utf-8", "surrogatepass") for w in words]
+                else:
+                    # Both count the same terms, each in its own order.
+                    own = (n for f, k in zip(first, held.values(), strict=True) for n in (f.values() if k[c] is f else map(k[c].__getitem__, f)))
+                    rows[c] = np.fromiter(own, np.int64, len(words))
             held.clear()
+            for i in range(0, len(words), _ROWS):
+                yield pd.DataFrame({k: v[i : i + _ROWS] for k, v in rows.items()})
 
         total = 0
         for f in frames:
@@ -98,12 +91,10 @@ def count_terms(docs: DataFrame, columns: list[str], bits: int = 64) -> DataFram
                 if not words:
                     continue
                 counts = held.setdefault((lid, gid), {c: Counter() for c in columns if c != "term"})
-                before = sum(len(c) for c in counts.values())
-                if "n" in counts:
-                    counts["n"].update(words)
-                if "df" in counts:
-                    counts["df"].update(set(words))
-                total += sum(len(c) for c in counts.values()) - before
+                for c, own in counts.items():
+                    total -= len(own)
+                    own.update(words if c == "n" else set(words))
+                    total += len(own)
                 if total >= _HELD:
                     yield from given()
                     total = 0
@@ -144,17 +135,17 @@ def vocabulary(docs: DataFrame, least_docs: int, bits: int = 64) -> tuple[DataFr
     """The kept terms' counts by (lid, gid, digest, sub), and (lid, digest,
     sub, term) of them all, from (lid, gid, text)."""
     spark = docs.sparkSession
-    found = count_terms(docs.withColumn("gid", F.col("lid")), ["df"], bits).groupBy("lid", "digest").agg(F.sum("df").alias("df"))
+    told = store(count_terms(docs.withColumn("gid", F.col("lid")), ["df", "term"], bits).drop("gid"), "terms-told")
     # Two rare terms that share a digest may come in together; a term that
     # belongs to the vocabulary always does.
-    digests = store(found.where(F.col("df") >= least_docs).select("lid", "digest"), "terms-digests")
-    told = store(_among(count_terms(docs, ["n", "term"], bits), digests, ["lid", "digest"]), "terms-counts")
+    found = told.groupBy("lid", "digest").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs)
+    digests = store(found.select("lid", "digest"), "terms-digests")
     # Dealt by digest: the sums by group and by language share one shuffle of
     # fixed-width rows.
-    slim = told.where("n IS NOT NULL").select("lid", "gid", "digest", "n")
+    slim = _among(count_terms(docs, ["n"], bits), digests, ["lid", "digest"])
     slim = slim.repartition(shuffle_partitions(spark, told.count(), 1_000_000), "digest")
     kept = store(_by_group(slim, ["digest"]), "terms-kept")
-    spelled = told.where("term IS NOT NULL").groupBy("lid", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    spelled = _among(told, digests, ["lid", "digest"]).groupBy("lid", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
     spelled = store(spelled, "terms-spelled")
     shared = store(spelled.where("term != last").select("lid", "digest"), "terms-shared")
     names = spelled.where("term = last").select("lid", "digest", F.lit(0).alias("sub"), "term")
