@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, hilbert, mixing, pseudonyms, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filter, warc
+from . import decontamination, divergence, hard_negatives, hilbert, mixing, pseudonyms, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import table
 
 
@@ -110,6 +110,11 @@ def op11_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op12_l2ap_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
@@ -126,6 +131,7 @@ QUERIES = {
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_trie": op10_simhash_trie,
     "op11_nnpu_toxicity": op11_nnpu_toxicity,
+    "op12_l2ap_negatives": op12_l2ap_negatives,
     "op13_divergence_audit": op13_divergence_audit,
 }
 
@@ -249,7 +255,26 @@ WITH d AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+_OP12_SQL = r"""
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), a AS (
+  SELECT * FROM r WHERE vec_id % 100 = 0
+), s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM a JOIN r ON a.rid <> r.rid
+), pos AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS k FROM s WHERE same
+), neg AS (
+  SELECT p.rid, p.anchor_id, positive_id, positive_score, k, s.vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.rid, k ORDER BY score DESC, s.vec_id) AS rank
+  FROM pos p JOIN s ON s.rid = p.rid AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WHERE k <= 5
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
 ORACLES = {
+    "op12_l2ap_negatives": _OP12_SQL,
     "op13_divergence_audit": _OP13_SQL,
     "op3_url_trie": _OP3_SQL,
     "op7_gzip_normaliser": _OP7_SQL,
