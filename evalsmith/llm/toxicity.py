@@ -140,8 +140,9 @@ class Learner:
 def screened(present: list[np.ndarray], toxic: np.ndarray, dims: int, least_z: float) -> np.ndarray:
     """Coordinates whose presence differs between toxic and other texts."""
     n, m = toxic.sum(), (~toxic).sum()
-    of = lambda kind: np.bincount(np.concatenate([present[i] for i in np.flatnonzero(kind)] or [np.zeros(0, np.int64)]), minlength=dims)
-    a, b = of(toxic), of(~toxic)
+    a, b = np.zeros(dims, np.int32), np.zeros(dims, np.int32)
+    for p, t in zip(present, toxic, strict=True):
+        (a if t else b)[p] += 1
     # Half an example more on either side: no variance is zero.
     share = (a + b + 1) / (n + m + 2)
     z = np.abs(a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
