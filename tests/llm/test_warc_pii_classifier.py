@@ -68,13 +68,13 @@ def test_normalised_files_and_sidecar(spark, pages, tmp_path):
 
 
 def test_reader_takes_any_chunks_and_members():
-    made = [warc.response(i, f"http://x/{i}", os.urandom(1 + i * 997)) for i in range(20)]
+    made = [warc.response(str(i), f"http://x/{i}", os.urandom(1 + i * 997)) for i in range(20)]
     for data in (gzip.compress(b"".join(made)), b"".join(map(gzip.compress, made))):
         path = f"/tmp/evalsmith-test-{os.getpid()}.gz"
         with open(path, "wb") as f:
             f.write(data)
         with open(path, "rb") as f:
-            assert b"".join(warc.encode({k: v for k, v in h.items() if k != "Content-Length"}, b) for h, b in warc.records(warc.inflated(f))) == b"".join(made)
+            assert b"".join(r.whole() for r in warc.records(warc.inflated(f))) == b"".join(made)
         os.remove(path)
     every = b"".join(made)
     assert len(list(warc.records(every[i : i + 7] for i in range(0, len(every), 7)))) == 20
@@ -86,6 +86,65 @@ def test_archives_of_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def foreign(kind, block, *lines):
+    head = "\r\n".join(["WARC/1.0", f"warc-type:{kind}", *lines, f"CONTENT-LENGTH:{len(block)}"])
+    return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """Headers in any case, without blanks or folded, blocks that are no HTTP, names that are no pages."""
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    body = b"<html>" + b"payload " * 300
+    first = [
+        foreign("warcinfo", b"software: x\r\n", "WARC-Record-ID:<urn:uuid:0>", "Content-Type:application/warc-fields"),
+        foreign("response", http + body, "warc-record-id: <urn:uuid:1>", "Content-Type:Application/HTTP; msgtype=response", "WARC-Target-URI:http://a/\r\n  folded"),
+        foreign("resource", body, "WARC-Record-ID:<urn:uuid:2>", "Content-Type: text/html"),
+        foreign("response", b"no header", "WARC-Record-ID:<urn:uuid:3>", "Content-Type: application/http"),
+        foreign("metadata", b"", "WARC-Payload-Digest: md5:abc"),
+    ]
+    second = [foreign("response", http + body, "WARC-Record-ID:<urn:uuid:9>", "content-type: application/http", "WARC-Date: 2020-01-01T00:00:00Z"), b"\r\n" + foreign("response", http + b"small", "WARC-Record-ID:<urn:uuid:4>", "content-type: application/http")]
+    os.makedirs(tmp_path / "in")
+    for name, made in (("a.warc.gz", first), ("b.warc.gz", second)):
+        (tmp_path / "in" / name).write_bytes(gzip.compress(b"".join(made)))
+    files = spark.createDataFrame([("a.warc.gz",), ("b.warc.gz",)], "file string")
+    listed = warc.survey(files, str(tmp_path / "in"))
+    assert [(r["nth"], r["record_type"], r["page_id"], r["payload_bytes"]) for r in listed.where("file = 'a.warc.gz'").orderBy("nth").collect()] == [
+        (0, "warcinfo", "urn:uuid:0", 13), (1, "response", "urn:uuid:1", len(body)), (2, "resource", "urn:uuid:2", len(body)), (3, "block", "urn:uuid:3", 9), (4, "metadata", None, 0)
+    ]
+    index = warc.normalise(files, str(tmp_path / "in"), str(tmp_path / "as-is"))
+    for name, made in (("a", first), ("b", second)):
+        (out,) = [f for f in os.listdir(tmp_path / "as-is") if f.startswith(name) and f.endswith(".gz")]
+        raw = (tmp_path / "as-is" / out).read_bytes()
+        rows = sorted((r["offset"], r["length"]) for r in index.where(F.col("file") == out).collect())
+        assert [gzip.decompress(raw[a : a + n]) for a, n in rows] == [m.lstrip(b"\r\n") for m in made]
+    split = str(tmp_path / "out")
+    got = {r["page_id"]: r for r in warc.read_records(warc.normalise(warc.plan_revisits(listed), str(tmp_path / "in"), split), split, True, task_bytes=64).collect()}
+    assert len(got) == 7 and got["urn:uuid:1"]["record_type"] == "revisit" and got["urn:uuid:1"]["refers_to"] == "urn:uuid:9"
+    assert got["urn:uuid:1"]["payload_digest"] == got["urn:uuid:9"]["payload_digest"] == hashlib.sha1(body).hexdigest()
+    assert got["urn:uuid:1"]["payload_bytes"] == len(body) and got["urn:uuid:1"]["url"] == "http://a/ folded"
+    assert bytes(got["urn:uuid:9"]["payload"]) == body and got["urn:uuid:2"]["record_type"] == "resource"
+
+
+def test_text_ids_and_clashing_columns(spark):
+    big = "y" * 1500
+    rows = [("b/é x", "u", big), ("9", "u", big), ("10", "u", big), (None, "u", big), ("", "u", "s"), ("a:b<c>", "u", "t")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    pages = pages.selectExpr("*", "1 AS payload", "'f' AS file", "3 AS nth", "4 AS offset", "'x' AS record_type", "0 AS best")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {("b/é x", "revisit", "10"), ("9", "revisit", "10"), ("10", "response", None), (None, "revisit", "10"), ("", "response", None), ("a:b<c>", "response", None)}
+
+
+def test_archives_spread_over_tasks(spark):
+    """A task an archive, and reading dealt by bytes, not by index rows."""
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 4000) AS html").repartition(8)
+    folder, out = common.shared_path(spark, "warc-in"), common.shared_path(spark, "warc-out")
+    index = warc.normalise(warc.plan_revisits(warc.write_archives(pages, folder)), folder, out)
+    total = index.agg(F.sum("length")).first()[0]
+    dealt = warc.read_records(index, out, task_bytes=total // 8).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(dealt) >= 8 and sum(dealt) == 400 and max(dealt) <= 200
+    assert len({r["file"] for r in index.select("file").distinct().collect()}) == 8
+
+
 def luhn(digits):
     d = [int(x) for x in reversed(digits)]
     return sum(d[::2]) + sum(2 * x - 9 * (x > 4) for x in d[1::2])
