@@ -25,7 +25,6 @@ from . import actions, decisions, generation, guidelines, judging
 from .common import hex_digit, key_text, sql_hex_digit
 
 THRESHOLD = actions.THRESHOLD
-LONG = 60  # characters from which the oracle alone still gives no score
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +59,8 @@ def _label_pairs_sql() -> str:
 ), p AS (
   SELECT case_id, model_name, i, ga[i + 1] AS a, ra[i + 1] AS b, {tok('ga[i + 1]')} AS ta, {tok('ra[i + 1]')} AS tb FROM z
 ), s AS (
-  SELECT *, CASE WHEN trim(coalesce(a, '')) = '' OR trim(coalesce(b, '')) = '' THEN 0.0 WHEN length(b) < {LONG} THEN {cov('ta', 'tb')} END AS f,
-    CASE WHEN trim(coalesce(a, '')) = '' OR trim(coalesce(b, '')) = '' THEN 0.0 WHEN length(b) < {LONG} THEN {cov('tb', 'ta')} END AS w FROM p
+  SELECT *, CASE WHEN trim(coalesce(a, '')) = '' OR trim(coalesce(b, '')) = '' THEN 0.0 ELSE {cov('ta', 'tb')} END AS f,
+    CASE WHEN trim(coalesce(a, '')) = '' OR trim(coalesce(b, '')) = '' THEN 0.0 ELSE {cov('tb', 'ta')} END AS w FROM p
 )
 SELECT case_id, model_name, CAST(i AS INTEGER) AS i, {actions._t6('f')} AS forward, {actions._t6('w')} AS backward, {actions._t6('least(f, w)')} AS score,
   CASE WHEN f IS NULL THEN 'unknown' WHEN least(f, w) >= {THRESHOLD} THEN 'same' ELSE 'different' END AS label FROM s
