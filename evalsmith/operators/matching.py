@@ -14,12 +14,12 @@ Scale design
 * For any other scorer the caller brings the candidate pairs (its blocking),
   and each distinct text pair is scored once (``score_distinct_pairs``).
 * Greedy matching (T2) and keep-first de-duplication (T3) are sequential by
-  definition. Every case takes the same two steps: ``ROUNDS`` rounds settle
-  what depends on nothing undecided, in parallel; what is left is dealt by
-  connected component and decided in order while it streams through a task
-  (sorted by Spark's spilling sort; the task holds the used endpoints of one
-  component). That takes 2 * ROUNDS stored tables and those of the component
-  search, whose steps grow with the logarithm of the longest chain.
+  definition. ``ROUNDS`` rounds settle what depends on nothing undecided; what
+  is left is a system of decisions that ``settle`` decides by pointer doubling:
+  a chain of a million in one case takes about twenty rounds of joins. Dense
+  ties, where each decision waits for several others, can be deeper than that
+  (both problems are P-complete); what its rounds leave is dealt by connected
+  component and decided in order while it streams, sorted, through a task.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ from ..functions.similarity import bidirectional, coverage, lexical_overlap, sim
 from ..functions.text import py_strip, tokens
 from ..session import store
 from .graph import components
+from .ordering import numbered_within
+from .settle import same_rows, settle
 
-#: Parallel rounds before the ordered pass.
+#: Rounds that take what depends on nothing, before the rest is settled.
 ROUNDS = 2
 
 
@@ -239,7 +241,60 @@ def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def greedy_match(
+#: Cases and endpoints with more rows than this are numbered in ranges.
+WINDOW_ROWS = 1_000_000
+
+
+def _with_previous(edges: DataFrame, keys: list[str], end: str, other: str) -> DataFrame:
+    """``edges`` with the edge before each at its endpoint ``end`` (its
+    ``other`` end, null for the first) and whether another follows."""
+    order = [F.col("score").desc(), F.col(other)]
+    most = edges.groupBy(*keys, end).count().agg(F.max("count")).first()[0]
+    if most <= WINDOW_ROWS:
+        w = Window.partitionBy(*keys, end).orderBy(*order)
+        return edges.withColumns({f"before_{end}": F.lag(other).over(w), f"more_{end}": F.lead(other).over(w).isNotNull()})
+    placed = store(numbered_within(edges, [*keys, end], order, "_at"), "greedy-placed")
+    near = lambda step, out: placed.select(*keys, end, F.col(other).alias(out), (F.col("_at") + step).alias("_at"))
+    placed = placed.join(near(1, f"before_{end}"), [*keys, end, "_at"], "left").join(near(-1, "_next"), [*keys, end, "_at"], "left")
+    return placed.withColumn(f"more_{end}", F.col("_next").isNotNull()).drop("_at", "_next")
+
+
+def _taken_in_order(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The (keys, g, r, score) that the loop takes of ``edges``.
+
+    An edge is taken iff both endpoints are free before it; an endpoint is free
+    after an edge iff it was free before and the edge isn't taken. That is two
+    literals a decision and three decisions an edge, however many edges an
+    endpoint has. Decisions are numbered by what they are, g and r."""
+    e = store(_with_previous(_with_previous(edges, keys, "g", "r"), keys, "r", "g"), "greedy-system")
+    name = lambda kind, g, r: F.lit(kind << 60).bitwiseOR(F.shiftleft(g.cast("long"), 30)).bitwiseOR(r.cast("long"))
+    g, r = F.col("g"), F.col("r")
+    taken, of_g, of_r = name(0, g, r), name(1, g, r), name(2, g, r)
+    before_g, before_r = name(1, g, F.col("before_r_of_g")), name(2, F.col("before_g_of_r"), r)
+    e = e.withColumnsRenamed({"before_g": "before_r_of_g", "before_r": "before_g_of_r"})
+    literal = lambda v, t, negated: F.struct(v.alias("v"), t.alias("t"), F.lit(negated).alias("negated"))
+    nothing = F.lit(None).cast("long")
+    rows = F.array(
+        literal(taken, nothing, False), literal(taken, before_g, True), literal(taken, before_r, True),
+        F.when(F.col("more_g"), literal(of_g, taken, False)), F.when(F.col("more_g"), literal(of_g, before_g, True)),
+        F.when(F.col("more_r"), literal(of_r, taken, False)), F.when(F.col("more_r"), literal(of_r, before_r, True)),
+    )
+    literals = e.select(*keys, F.explode(rows).alias("l")).where("l IS NOT NULL").select(*keys, "l.*")
+    values, open_ = settle(literals, keys)
+    own = lambda rows: rows.where(F.col("v") < 1 << 60).select(*keys, F.shiftright("v", 30).cast("int").alias("g"), F.col("v").bitwiseAND(F.lit((1 << 30) - 1)).cast("int").alias("r"))
+    among = lambda rows: edges.alias("e").join(rows.alias("t"), same_rows([*keys, "g", "r"], "e", "t"), "left_semi")
+    taken = among(own(values.where("value")))
+    if open_ is None:
+        return taken
+    taken, left = store(taken, "greedy-settled"), among(own(open_))
+    for end in ("g", "r"):
+        left = left.join(taken.select(*keys, end), [*keys, end], "left_anti")
+    dealt = _component_of(left, F.xxhash64(F.lit("g"), *keys, "g"), F.xxhash64(F.lit("r"), *keys, "r"), "greedy-parts")
+    dealt = dealt.repartition("_root").sortWithinPartitions("_root", F.col("score").desc(), "g", "r")
+    return taken.unionByName(dealt.mapInPandas(_take_in_order(keys), _fields(edges, [*keys, "g", "r", "score"])))
+
+
+def greedy_pairs(
     edges: DataFrame,
     keys: Sequence[str],
     threshold: float,
@@ -250,11 +305,10 @@ def greedy_match(
     """Repeatedly take the best free pair (score desc, then lower g, then
     lower r) while its score is at least ``threshold``.
 
-    Returns matched pairs ``(keys, g, r, score, ord)`` with ``ord`` the
-    acceptance order. Edges below the threshold can never be taken, so they
-    are dropped first. An edge that is the best of both its ends is taken
-    whatever else happens: a round takes all of those and drops their
-    neighbours. The rest is decided in order per component.
+    Returns matched pairs ``(keys, g, r, score)``. Edges below the threshold
+    can never be taken, so they are dropped first. An edge that is the best of
+    both its ends is taken whatever else happens: a round takes all of those
+    and drops their neighbours. The rest is settled as a system.
     """
     keys = list(keys)
     e = edges.select(*keys, F.col(g).cast("int").alias("g"), F.col(r).cast("int").alias("r"), F.col(score).cast("double").alias("score"))
@@ -270,14 +324,21 @@ def greedy_match(
         left = left.join(taken.select(*keys, "g"), [*keys, "g"], "left_anti").join(taken.select(*keys, "r"), [*keys, "r"], "left_anti")
         left = store(left.select(*keys, "g", "r", "score"), "greedy-left")
     if not left.isEmpty():
-        dealt = _component_of(left, F.xxhash64(F.lit("g"), *keys, "g"), F.xxhash64(F.lit("r"), *keys, "r"), "greedy-parts")
-        dealt = dealt.repartition("_root").sortWithinPartitions("_root", F.col("score").desc(), "g", "r")
-        parts.append(dealt.mapInPandas(_take_in_order(keys), _fields(left, [*keys, "g", "r", "score"])))
+        parts.append(_taken_in_order(left, keys))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "g", "r")
-    return out.withColumn("ord", F.row_number().over(w)).withColumnsRenamed({"g": g, "r": r, "score": score})
+    return out.withColumnsRenamed({"g": g, "r": r, "score": score})
+
+
+def greedy_match(edges: DataFrame, keys: Sequence[str], threshold: float, g: str = "g", r: str = "r", score: str = "score") -> DataFrame:
+    """``greedy_pairs`` with ``ord``, the acceptance order in each case."""
+    keys, order = list(keys), [F.col(score).desc(), F.col(g), F.col(r)]
+    taken = store(greedy_pairs(edges, keys, threshold, g, r, score), "greedy-result")
+    most = taken.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= WINDOW_ROWS:
+        return taken.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered_within(taken, keys, order, "ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def match_metrics(
@@ -290,13 +351,13 @@ def match_metrics(
     """Per case matched / unmatched lists, P, R, F1, exact flag and mean
     score, with the empty-list rules of Q5.
 
-    ``matched`` is the output of ``greedy_match`` with g / r indexes into the
+    ``matched`` is the output of ``greedy_pairs`` with g / r indexes into the
     case's lists; per case it holds at most min(|gen|, |ref|) rows, so
     gathering it per case is bounded by the case row itself.
     """
     keys = list(keys)
     m = matched.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "g", "r", "score"))).alias("_pairs"),
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "g", "r", "score"))).alias("_pairs"),
         F.count("*").alias("_m"),
         F.sum("score").alias("_s"),
     )
@@ -413,10 +474,22 @@ def _removed(edges: DataFrame, keys: list[str]) -> DataFrame:
             live = live.join(gone.withColumnRenamed("idx", end), [*keys, end], "left_anti")
         live = store(live.select(*keys, "a", "b"), "dedup-live")
     if not live.isEmpty():
-        node = lambda c: F.xxhash64(*keys, c)
-        dealt = _component_of(live, node("a"), node("b"), "dedup-parts")
-        dealt = dealt.repartition("_root").sortWithinPartitions("_root", *keys, "b", "a")
-        parts.append(dealt.mapInPandas(_remove_in_order(keys), _fields(live.withColumnRenamed("b", "idx"), [*keys, "idx"])))
+        items = live.select(*keys, F.explode(F.array("a", "b")).alias("v")).select(*keys, F.col("v").cast("long"), F.lit(None).cast("long").alias("t"), F.lit(False).alias("negated"))
+        literals = items.unionByName(live.select(*keys, F.col("b").cast("long").alias("v"), F.col("a").cast("long").alias("t"), F.lit(False).alias("negated")))
+        values, open_ = settle(literals, keys)
+        place = F.col("v").cast("int")
+        parts.append(values.where(~F.col("value")).select(*keys, place.alias("idx")))
+        if open_ is not None:
+            # What a kept one is next to goes; the rest is decided in order.
+            kept = values.where("value").select(*keys, place.alias("a"))
+            gone = store(live.join(kept, [*keys, "a"]).join(open_.select(*keys, place.alias("b")), [*keys, "b"], "left_semi").select(*keys, F.col("b").alias("idx")).distinct(), "dedup-gone")
+            parts.append(gone)
+            for end in ("a", "b"):
+                live = live.join(open_.select(*keys, place.alias(end)), [*keys, end], "left_semi").join(gone.withColumnRenamed("idx", end), [*keys, end], "left_anti")
+            node = lambda c: F.xxhash64(*keys, c)
+            dealt = _component_of(live.select(*keys, "a", "b"), node("a"), node("b"), "dedup-parts")
+            dealt = dealt.repartition("_root").sortWithinPartitions("_root", *keys, "b", "a")
+            parts.append(dealt.mapInPandas(_remove_in_order(keys), _fields(gone, [*keys, "idx"])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

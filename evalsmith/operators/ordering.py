@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import store
+from .joins import join_facts
 
 
 def shuffle_partitions(spark: SparkSession, rows: int, rows_per_task: int) -> int:
@@ -47,10 +48,8 @@ def numbered_within(df: DataFrame, groups: list[str], order: list[Column], out:
     ``order``: the place in one global order by (group, order) less the
     group's first. A group of any size spreads over many ranges."""
     placed = store(running(store(df, "number-rows"), [*[F.col(g).asc_nulls_first() for g in groups], *order], index="__place", rows_per_task=rows_per_task), "number-placed")
-    first = store(placed.groupBy(*groups).agg(F.min("__place").alias("__first")), "number-firsts")
-    first = first.withColumnsRenamed({g: f"__{g}" for g in groups})
-    same = None
-    for g in groups:
-        one = F.col(g).eqNullSafe(F.col(f"__{g}"))
-        same = one if same is None else same & one
-    return placed.join(first, same).withColumn(out, F.col("__place") - F.col("__first") + 1).drop("__place", "__first", *[f"__{g}" for g in groups])
+    # One key for the join: structs with null fields are equal.
+    placed = placed.withColumn("__group", F.struct(*groups))
+    first = store(placed.groupBy("__group").agg(F.min("__place").alias("__first")), "number-firsts")
+    joined = join_facts(placed, first, ["__group"], F.col("__place"))
+    return joined.withColumn(out, F.col("__place") - F.col("__first") + 1).drop("__place", "__first", "__group")

@@ -19,7 +19,7 @@ from ..sources.readers import read_matched_pairs, read_predictions
 from ..operators.matching import (
     attach_texts,
     explode_actions,
-    greedy_match,
+    greedy_pairs,
     keep_first_distinct_rows,
     match_metrics,
     overlap_candidates,
@@ -100,7 +100,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     gen, ref = _exploded(cases)
     cand = overlap_candidates(gen, ref, KEYS, THRESHOLD, mode="max")  # the match score is two-way
     scored = token_pair_scores(attach_texts(cand, gen, ref, KEYS, with_text=False)).withColumnsRenamed({"a": "g", "b": "r"})
-    matched = greedy_match(scored, KEYS, THRESHOLD)
+    matched = greedy_pairs(scored, KEYS, THRESHOLD)
     return match_metrics(cases, matched, KEYS)
 
 
