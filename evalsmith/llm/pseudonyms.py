@@ -18,15 +18,17 @@ matches, the matches are replaced, and the parts joined again.
     email     letters and digits, up to the last dot of the domain
     ip        four octets of an IPv4 address
     phone     digits behind the country code
-    card      13 to 19 digits that pass the Luhn check, or else the longest
-              part of them up to a separator that does
+    card      13 to 19 digits that pass the Luhn check, or else the first
+              and longest part of them between separators that does
     ssn       area, group and serial in their valid ranges
-    iban      account characters; as long as its country's, passes mod 97
+    iban      account characters, in either case; as long as its country's,
+              passes mod 97
     date      days of 1900-01-01 to 2099-12-31, year first or day first, or
               month first where only that makes a date (12/25/1990); days and
               months of one digit stay so; a time may follow behind a T
-    secret    a quoted value of 16 characters or more behind token, key, secret
-              or password in any case; hexadecimal stays so in its case
+    secret    16 characters or more behind token, key, secret or password in
+              any case, a closing quote of its own, blanks and = or :; quoted,
+              or with a digit; hexadecimal stays so in its case
 
 Defined results: a value that fails its check (a 16-digit number that isn't a
 card's, 31 February) stays as it is; a null text stays null; an empty text
@@ -46,7 +48,9 @@ ROUNDS = 8
 WALK = 100
 
 _EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-_SECRET = r"[\"'](?<=(?i:token|key|secret|password) ?[=:] ?.)[A-Za-z0-9+/_.=-]{16,}+(?=[\"'])"
+#: A keyword, its closing quote if it has one, and the sign before the value.
+_NAMED = r"(?i:token|key|secret|password)[\"']?\s{0,16}[=:]\s{0,16}"
+_SECRET = rf"{_NAMED}(?:[\"'][A-Za-z0-9+/_.=-]{{16,}}+(?=[\"'])|(?=[A-Za-z+/_.=-]{{0,64}}\d)[A-Za-z0-9+/_.=-]{{16,}}+)"
 _IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
 _DATE = r"(?<![\w/.-])(?:(?:19|20)\d\d(?:-\d{1,2}-|/\d{1,2}/)\d{1,2}|\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)(?:19|20)\d\d)(?:(?=T\d)|(?![\w/-]))"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -59,9 +63,13 @@ IBAN_COUNTRIES = {
     31: "MT SC", 32: "LC", 33: "RU",
 }
 _BY_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items())
-_IBAN = rf"(?<!\w)(?=[A-Z]{{2}}\d{{2}})(?:(?:{_BY_COUNTRY})(?!\w)|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
+_IBAN = rf"(?<!\w)(?=[A-Za-z]{{2}}\d{{2}})(?:(?i:{_BY_COUNTRY})(?!\w)|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
 # A blank before a value of another kind ends the digits.
-_CARD = rf"(?<![\w.])\d(?:(?:-| (?!{_IP}|{_DATE}|{_SSN}|{_PHONE}))?\d){{12,18}}(?!\w)"
+_SEP = rf"(?:-| (?!{_IP}|{_DATE}|{_SSN}|{_PHONE}))"
+#: Digits in fours, with one more four (a year before a card) unless a card begins there.
+_FOURS = rf"\d{{4}}(?:{_SEP}\d{{4}}){{3}}(?:{_SEP}\d{{4}}(?!(?:[ -]\d{{4}}){{3}}))?(?:{_SEP}\d{{1,3}})?(?!\w)"
+#: Other digits, but not a number that stands before a card in fours.
+_CARD = rf"(?<![\w.])(?:{_FOURS}|(?!(?:\d{{1,12}}[ -]){{1,4}}{_FOURS})\d(?:{_SEP}?\d){{12,18}}(?!\w))"
 #: The first that matches at a place counts. What begins with a digit, plus or
 #: bracket is tried there only.
 PATTERN = f"{_EMAIL}|{_SECRET}|(?=[0-9+(])(?:{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})|{_IBAN}"
@@ -112,21 +120,37 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(_chars(F.reverse(digits)), F.struct(F.lit(0).alias("i"), F.lit(0).alias("s")), one)["s"]
 
 
+#: Digits that could hold a card.
+_CARDLIKE = r"^\d(?:[ -]?\d){12,22}$"
+
+
 def _head(m: Column) -> Column:
-    """What counts of a match: of digits that could be a card the longest part
-    up to a separator that passes the Luhn check, of any other all."""
+    """(at, len) of what counts of a match: of digits that could be a card the
+    first and longest part between separators that passes the Luhn check, of a
+    secret its value, of any other all."""
+    edge = lambda i: F.substring(m, i, F.lit(1)).isin(" ", "-")
+
+    def longest(at: Column) -> Column:
+        def passes(n: Column) -> Column:
+            digits = _digits(F.substring(m, at, n))
+            ends = (at + n - 1 == F.length(m)) | edge(at + n)
+            return ends & F.length(digits).between(13, 19) & (_luhn_sum(digits, 1) % 10 == 0)
 
-    def passes(i: Column) -> Column:
-        digits = _digits(F.substring(m, F.lit(1), i))
-        ends = (i == F.length(m)) | F.substring(m, i + 1, F.lit(1)).isin(" ", "-")
-        return ends & (F.length(digits) >= 13) & (_luhn_sum(digits, 1) % 10 == 0)
+        room = F.length(m) - at + 1
+        ends = F.when(room >= 13, F.filter(F.sequence(F.greatest(room, F.lit(13)), F.lit(13), F.lit(-1)), passes))
+        return F.struct(at.alias("at"), F.get(ends, F.lit(0)).alias("len"))
 
-    end = F.get(F.filter(F.sequence(F.length(m), F.lit(13), F.lit(-1)), passes), F.lit(0))
-    return F.when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.substring(m, F.lit(1), F.coalesce(end, F.length(m)))).otherwise(m)
+    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i == 1) | edge(i - 1))
+    card = F.get(F.filter(F.transform(starts, longest), lambda x: x["len"].isNotNull()), F.lit(0))
+    named = F.length(F.regexp_extract(m, rf"^{_NAMED}[\"']?", 0))
+    at = F.when(named > 0, named + 1).when(m.rlike(_CARDLIKE), F.coalesce(card["at"], F.lit(1))).otherwise(1)
+    n = F.when(m.rlike(_CARDLIKE), F.coalesce(card["len"], F.length(m))).otherwise(F.length(m) - at + 1)
+    return F.struct(at.alias("at"), n.alias("len"))
 
 
 def _mod97(s: Column) -> Column:
     """Of the number that letters (A is 10) and digits spell."""
+    s = F.upper(s)
 
     def one(acc: Column, c: Column) -> Column:
         return F.when(c.rlike("^[0-9]$"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
@@ -151,8 +175,8 @@ def _date_parts(m: Column) -> tuple[Column, Column, Column]:
     return y, mo, d
 
 
-def _kind(m: Column) -> Column:
-    """The kind of a match, null if it fails the kind's check."""
+def _kind(m: Column, before: Column) -> Column:
+    """The kind of what counts of a match, null if it fails the kind's check."""
     octets_fit = F.forall(F.split(m, r"\."), lambda o: o.cast("int") < 256)
     y, mo, d = _date_parts(m)
     date_fits = F.when(mo.between(1, 12), d.between(1, F.dayofmonth(F.last_day(F.make_date(y, F.when(mo.between(1, 12), mo).otherwise(1), F.lit(1)))))).otherwise(False)
@@ -162,20 +186,19 @@ def _kind(m: Column) -> Column:
     n = F.length(_digits(m))
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike(r"^[\"']"), "secret")
+        .when(before.rlike(f"^{_NAMED}"), "secret")
         .when(m.rlike(r"^\d+(?:\.\d+){3}$") & ~m.rlike(r"\d{4}"), F.when(octets_fit, "ip"))
         .when(m.rlike(r"^(?:\d{4}[-/]\d\d?[-/]\d\d?|\d\d?[./]\d\d?[./]\d{4})$"), F.when(date_fits, "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(ssn_fits, "ssn"))
         .when(m.rlike(r"^(?:[+(]|\d{3}-\d{3}-\d{4}$)"), F.when(n.between(7, 15), "phone"))
-        .when(m.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9])+$"), F.when(iban_fits, "iban"))
-        .when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.when(_luhn_sum(_digits(m), 1) % 10 == 0, "card"))
+        .when(m.rlike(r"^[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9])+$"), F.when(iban_fits, "iban"))
+        .when(m.rlike(_CARDLIKE), F.when((n <= 19) & (_luhn_sum(_digits(m), 1) % 10 == 0), "card"))
     )
 
 
 def _hex(s: Column) -> Column:
-    """Whether a secret, behind its quote, is all hexadecimal: ``lower``,
-    ``upper`` or ``no``."""
-    return F.when(s.rlike(r"^.[0-9a-f]++$"), "lower").when(s.rlike(r"^.[0-9A-F]++$"), "upper").otherwise("no")
+    """Whether a secret is all hexadecimal: ``lower``, ``upper`` or ``no``."""
+    return F.when(s.rlike(r"^[0-9a-f]++$"), "lower").when(s.rlike(r"^[0-9A-F]++$"), "upper").otherwise("no")
 
 
 def _one_digit_day(m: Column) -> Column:
@@ -206,7 +229,7 @@ def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
         .when((kind == "date") & _one_digit_day(m), ints(y - 1900, mo - 1, d - 1))
         .when(kind == "date", ints(day % _DAYS[0], F.floor(day / _DAYS[0])))
         .when(kind == "ssn", ints(area - F.when(area > 666, 2).otherwise(1), F.substring(m, 5, 2).cast("int") - 1, F.substring(m, 8, 4).cast("int") - 1))
-        .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c, i: F.when(i > 0, F.conv(c, 16, 10).cast("int")).otherwise(0)))
+        .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c: F.conv(c, 16, 10).cast("int")))
         .otherwise(plain_v)
     )
     radices = (
@@ -214,7 +237,7 @@ def _numbers(m: Column, kind: Column) -> tuple[Column, Column]:
         .when((kind == "date") & _one_digit_day(m), ints(200, F.when(F.length(_date_texts(m)[1]) == 1, 9).otherwise(12), 9))
         .when(kind == "date", ints(*_DAYS))
         .when(kind == "ssn", ints(898, 99, 9999))
-        .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c, i: F.when(i > 0, 16).otherwise(1)))
+        .when((kind == "secret") & (_hex(m) != "no"), F.transform(chars, lambda c: F.lit(16)))
         .otherwise(plain_r)
     )
     return values, radices
@@ -294,7 +317,7 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     check = (F.lit(10) - _luhn_sum(_digits(body), 0) % 10) % 10
     bare = F.replace(plain, F.lit(" "), F.lit(""))
-    hexadecimal = F.array_join(F.transform(v, lambda x, i: F.when(i > 0, F.hex(x)).otherwise(F.substring(m, 1, 1))), "")
+    hexadecimal = F.array_join(F.transform(v, lambda x: F.hex(x)), "")
     control = F.lit(98) - _mod97(F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 2), F.lit("00")))
     return (
         F.when(kind == "ip", F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
@@ -308,13 +331,20 @@ def _render(m: Column, kind: Column, v: Column) -> Column:
     )
 
 
-def _fits(head: Column, rest: Column, kind: Column, v: Column) -> Column:
-    """Whether the value of numbers ``v`` is found again as ``head`` was."""
-    as_before = lambda x: F.when(kind == "card", _head(F.concat(x, rest)) == x).otherwise(_hex(x) == _hex(head))
+def _fits(s: Column, v: Column) -> Column:
+    """Whether the value of numbers ``v`` is found again as ``s.m`` was."""
+    head, kind, part = s["m"], s["kind"], (s["before"] != "") | (s["rest"] != "")
+
+    def as_before(x: Column) -> Column:
+        place = _head(F.concat(s["before"], x, s["rest"]))
+        digits = x.rlike("[0-9]") | ~head.rlike("[0-9]")
+        same = (place["at"] == F.length(s["before"]) + 1) & (place["len"] == F.length(x))
+        return F.when(kind == "card", same).otherwise((_hex(x) == _hex(head)) & digits)
+
     day = _date_of(head, v)
     one_digit_month = F.length(_date_texts(head)[1]) == 1
     date_fits = (~one_digit_month | (F.month(day) < 10)) & (~_month_first(head) | (F.dayofmonth(day) > 12))
-    return F.when(kind == "date", date_fits).when(((kind == "card") & (rest != "")) | (kind == "secret"), _let(_render(head, kind, v), as_before)).otherwise(True)
+    return F.when(kind == "date", date_fits).when(((kind == "card") & part) | (kind == "secret"), _let(_render(head, kind, v), as_before)).otherwise(True)
 
 
 def _walk(s: Column, key: str, back: bool) -> Column:
@@ -322,7 +352,7 @@ def _walk(s: Column, key: str, back: bool) -> Column:
     values that fit. About half of all do, wherever some don't."""
 
     def step(state: Column, _: Column) -> Column:
-        moved = lambda w: F.struct(w.alias("v"), _fits(s["m"], s["rest"], s["kind"], w).alias("done"))
+        moved = lambda w: F.struct(w.alias("v"), _fits(s, w).alias("done"))
         return F.when(state["done"], state).otherwise(_let(feistel(state["v"], s["r"], key, s["kind"], back=back), moved))
 
     start = F.struct(s["v"].alias("v"), F.lit(False).alias("done"))
@@ -336,27 +366,34 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out: str = "
     text = F.col(text_col)
     step = docs.withColumn("__pii", F.when(text.rlike(_ANY), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
-    def with_numbers(s: Column) -> Column:
-        v, r = _numbers(s["m"], s["kind"])
-        return F.struct(s["m"].alias("m"), s["rest"].alias("rest"), s["kind"].alias("kind"), F.when(s["kind"].isNotNull(), v).alias("v"), r.alias("r"))
+    around = lambda s: [s["before"].alias("before"), s["m"].alias("m"), s["rest"].alias("rest")]
+
+    def with_parts(s: Column) -> Column:
+        m, at, n = s["all"], s["head"]["at"], s["head"]["len"]
+        part = lambda a, k, name: F.substring(m, a, k).alias(name)
+        return F.struct(part(F.lit(1), at - 1, "before"), part(at, n, "m"), part(at + n, F.length(m), "rest"))
 
     def with_kind(s: Column) -> Column:
-        return F.struct(s["m"].alias("m"), s["rest"].alias("rest"), _kind(s["m"]).alias("kind"))
+        return F.struct(*around(s), _kind(s["m"], s["before"]).alias("kind"))
+
+    def with_numbers(s: Column) -> Column:
+        v, r = _numbers(s["m"], s["kind"])
+        return F.struct(*around(s), s["kind"].alias("kind"), F.when(s["kind"].isNotNull(), v).alias("v"), r.alias("r"))
 
     def moved(s: Column) -> Column:
         v = F.when(s["kind"].isNotNull(), _walk(s, key, back))
-        return F.struct(s["m"].alias("m"), s["rest"].alias("rest"), s["kind"].alias("kind"), v.alias("v"))
+        return F.struct(*around(s), s["kind"].alias("kind"), v.alias("v"))
 
     def rendered(s: Column) -> Column:
         value = F.when(s["kind"].isNull(), s["m"]).otherwise(_render(s["m"], s["kind"], s["v"]))
-        return F.struct(s["kind"].alias("kind"), value.alias("value"), s["rest"].alias("rest"))
+        return F.struct(s["kind"].alias("kind"), value.alias("value"), s["before"].alias("before"), s["rest"].alias("rest"))
 
     # One column a step; each lambda then names the step before it once.
-    step = step.withColumn("__pii", F.transform("__pii", lambda m: F.struct(m.alias("all"), _head(m).alias("m"))))
-    step = step.withColumn("__pii", F.transform("__pii", lambda s: F.struct(s["m"].alias("m"), F.substring(s["all"], F.length(s["m"]) + 1, F.length(s["all"])).alias("rest"))))
+    step = step.withColumn("__pii", F.transform("__pii", lambda m: F.struct(m.alias("all"), _head(m).alias("head"))))
+    step = step.withColumn("__pii", F.transform("__pii", with_parts))
     for then in (with_kind, with_numbers, moved, rendered):
         step = step.withColumn("__pii", F.transform("__pii", then))
     hits = F.col("__pii")
-    parts = F.transform(F.split(text, PATTERN, -1), lambda p, i: F.concat(p, F.coalesce(F.concat(F.get(hits, i)["value"], F.get(hits, i)["rest"]), F.lit(""))))
+    parts = F.transform(F.split(text, PATTERN, -1), lambda p, i: F.concat(p, F.coalesce(F.concat(F.get(hits, i)["before"], F.get(hits, i)["value"], F.get(hits, i)["rest"]), F.lit(""))))
     step = step.withColumn(out, F.when(F.size(hits) > 0, F.array_join(parts, "")).otherwise(text))
-    return step.withColumn(found_col, F.transform(F.filter("__pii", lambda s: s["kind"].isNotNull()), lambda s: s.dropFields("rest"))).drop("__pii")
+    return step.withColumn(found_col, F.transform(F.filter("__pii", lambda s: s["kind"].isNotNull()), lambda s: s.dropFields("before", "rest"))).drop("__pii")

@@ -387,3 +387,40 @@ def test_entry_without_the_subpackage(tmp_path):
             shutil.copy(source, tmp_path / name)
     code = r"import __spark_entry__ as e; q = e.queries(); import re; assert q and not [k for k in q if re.match(r'op\d+_|pipeline', k)]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_values_that_other_text_hid(spark):
+    """Numbers before cards, names with quotes, blanks and no quotes, small
+    letters; an independent finder sees none of the values again."""
+    c, other = card("411111111111111"), card("550000000000000")
+    fours = " ".join(c[i : i + 4] for i in range(0, 16, 4))
+    acc = iban("DE", "370400440532013000")
+    spaced = " ".join(acc[i : i + 4] for i in range(0, len(acc), 4))
+    token = "9233a8ec04dbebab91ab85687d33eeaaf9ac699e"
+    hidden = [
+        (f"order 12345 {fours}", fours, "card"), (f"2024 {fours} end", fours, "card"), (f"123 {c}", c, "card"), (f"7 8 99 {fours} 12/25", fours, "card"), (f"nr 12345 {other}.", other, "card"),
+        (f'{{"token": "{token}"}}', token, "secret"), (f"api_key  =  '{token}'", token, "secret"), (f"export TOKEN={token.upper()}", token.upper(), "secret"), (f"{{'my_secret' : '{token}'}}", token, "secret"),
+        (f"password: {token}", token, "secret"), (spaced.lower(), spaced.lower(), "iban"), (f"pay {acc.lower()} now", acc.lower(), "iban"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(hidden)], "doc_id long, text string")
+    out = pseudonyms.pseudonymise(docs, "k")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    for i, (text, value, kind) in enumerate(hidden):
+        new = rows[i]["text"]
+        assert value not in new and len(new) == len(text), (text, new)
+        assert [p["kind"] for p in rows[i]["pii"]] == [kind], (text, new)
+        at = text.index(value)
+        got = rows[i]["pii"][0]["value"]
+        assert new == text[:at] + got + text[at + len(value) :]
+        bare = re.sub("[ -]", "", got)
+        if kind == "card":
+            assert luhn(bare) % 10 == 0 and re.sub(r"\d", "0", got) == re.sub(r"\d", "0", value)
+        elif kind == "iban":
+            assert int("".join(str(int(x, 36)) for x in bare[4:] + bare[:4])) % 97 == 1 and got == got.lower()
+        else:
+            assert re.fullmatch("[0-9a-f]{40}" if value.islower() else "[0-9A-F]{40}", got)
+    back = pseudonyms.pseudonymise(out.select("doc_id", "text"), "k", back=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t for i, (t, _, _) in enumerate(hidden)}
+    clean = ["the key = internationalization of it", "token is here", "password: short", "key: 12345", "1234 5678 9012 3456 7890"]
+    same = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string"), "k")
+    assert [r["text"] for r in same.orderBy("doc_id").collect()] == clean
