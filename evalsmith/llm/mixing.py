@@ -14,14 +14,18 @@ Positions: each source has a schedule, its relative weight over training time
 0 to 1, linear between knots. The schedule's integral, scaled to the target,
 is the demand for the source's words up to a time; a document's place in the
 running words of its source is inverted through it to a time. Documents are
-then range-sorted by that time.
+then range-sorted by that time. The running words are exact: rows without texts
+are range-sorted by source and hash once, and carry their sums.
 
-Only DataFrame functions. Every decision follows from a row's own columns and
-one row of plan per source, so texts are shuffled only by the final sort.
+Only DataFrame functions. How often a row is taken follows from its hash and
+one row of plan per source; texts are shuffled to meet their places, and by the
+final sort.
 
 Defined results: null and empty texts have size 0 and take 0 words; a source
-without words takes nothing; a null source is a source of its own, last in order; rows equal in doc_id and text
-share a hash and so one fate; an empty table gives an empty mix. Working
+without words takes nothing; a null source is a source of its own, last in
+order; rows equal in doc_id and text share a hash and so one fate, and stand at
+one place of the curriculum; very long texts are counted whole, and a document
+of any length moves only those behind it; an empty table gives an empty mix. Working
 columns start with ``__mix``; a column ``mix`` of the input is replaced.
 """
 
@@ -40,9 +44,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((3.0, 2.0, 1.0), (1.0, 2.0, 1.0), (1.0, 2.0, 3.0))
 #: Bits of the hash settled per pass, and passes: 2^36 places to stop at.
 _DIGIT, _PASSES = 12, 3
-#: Hash cells per source between whose bounds running words are interpolated.
-_CELL_BITS = 8
-#: Plans of up to so many sources (about 2 KB each) are broadcast; beyond, the
+#: Plans of up to so many sources (about 100 bytes each) are broadcast; beyond, the
 #: plan is joined with each source dealt over ``_SALTS`` tasks.
 BROADCAST_SOURCES, _SALTS = 10_000, 64
 
@@ -127,19 +129,14 @@ def _stops(rows: DataFrame, goals: DataFrame, broadcast_sources: int) -> DataFra
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_repeat: float = 2.0, broadcast_sources: int = BROADCAST_SOURCES) -> tuple[DataFrame, DataFrame]:
-    """(rows, plan): rows has doc_id, source, size and hash of each document;
-    plan has one row per source: size, target, whole passes, the hash at which
-    the partial pass stops, and the words before each hash cell."""
+    """(rows, plan): rows has doc_id, source, size and hash of each document
+    and the words before it (``__mix_before``, in the order of source and
+    hash); plan has one row per source: size, target, whole passes, the hash at
+    which the partial pass stops, and the words before the source."""
     rows = store(docs.select("doc_id", "source", words(F.col("text")).alias("size"), place_hash().alias("h")), "mix-rows")
-    cell = F.shiftrightunsigned("h", 64 - _CELL_BITS).cast("int")
-    cells = store(rows.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words")), "mix-cells")
-    # At most 2^_CELL_BITS cells a source.
-    sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"), F.collect_list(F.struct("cell", "words")).alias("cells"))
-    before = F.transform(
-        F.sequence(F.lit(0), F.lit(1 << _CELL_BITS)),
-        lambda i: F.aggregate(F.filter("cells", lambda c: c["cell"] < i), F.lit(0).cast("long"), lambda acc, c: acc + c["words"]),
-    )
-    sources = store(sources.select("source", "source_size", before.alias("before")), "mix-sized")
+    order = [F.col("source").asc_nulls_last(), _unsigned("h"), F.col("doc_id"), F.col("size")]
+    placed = running(rows, order, {"__mix_before": "size"}, index="__mix_nth").drop("__mix_nth")
+    sources = store(placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("__mix_before").alias("start")), "mix-sized")
     aims = targets(sources.select("source", "source_size"), weights, share, max_repeat)
     passes = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int")
     aims = store(aims.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-aims")
@@ -148,7 +145,12 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     for more in (stops, sources.drop("source_size")):
         more = more.withColumnRenamed("source", "__s")
         plan = plan.join(more, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    return rows, store(plan.fillna(0, ["stop"]), "mix-plan")
+    return placed, store(plan.fillna(0, ["stop"]), "mix-plan")
+
+
+def _unsigned(h: str) -> Column:
+    """Orders a hash as the number that its bits spell, as stops are found."""
+    return F.col(h).bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def _time_of(q: Column, knots: Sequence[float]) -> Column:
@@ -169,15 +171,12 @@ def _time_of(q: Column, knots: Sequence[float]) -> Column:
 
 
 def mixed(rows: DataFrame, plan: DataFrame, h: Column, schedules: Sequence[Sequence[float]] = SCHEDULES, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """``rows`` with the struct ``mix``: source_size, target, copies and one
-    time per copy. The size of a row isn't needed: its hash decides."""
+    """``rows`` (with ``__mix_before``) with the struct ``mix``: source_size,
+    target, copies and one time per copy."""
     r = with_plan(rows.drop("mix").withColumn("__mix_h", h), plan, h, broadcast_sources)
     p, hash_ = F.col("__mix_plan"), F.col("__mix_h")
     extra = F.when(F.shiftrightunsigned(hash_, 64 - _DIGIT * _PASSES) < p["stop"], 1).otherwise(0)
-    cell = F.shiftrightunsigned(hash_, 64 - _CELL_BITS).cast("int")
-    inside = F.shiftrightunsigned(hash_, 32 - _CELL_BITS).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
-    low, high = F.element_at(p["before"], cell + 1), F.element_at(p["before"], cell + 2)
-    r = r.select("*", (p["passes"] + extra).alias("__mix_copies"), (low + (high - low) * inside).alias("__mix_at"))
+    r = r.select("*", (p["passes"] + extra).alias("__mix_copies"), (F.col("__mix_before") - p["start"]).alias("__mix_at"))
     kinds = len(schedules)
 
     def time(copy: Column) -> Column:
@@ -189,14 +188,19 @@ def mixed(rows: DataFrame, plan: DataFrame, h: Column, schedules: Sequence[Seque
 
     times = F.when(F.col("__mix_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("__mix_copies") - 1), time)).otherwise(F.array().cast("array<double>"))
     mix = F.struct(p["source_size"].alias("source_size"), p["target"].alias("target"), F.col("__mix_copies").alias("copies"), times.alias("times"))
-    return r.withColumn("mix", mix).withColumn("__mix_order", hash_).drop("__mix_plan", "__mix_h", "__mix_copies", "__mix_at")
+    return r.withColumn("mix", mix).withColumn("__mix_order", hash_).drop("__mix_plan", "__mix_h", "__mix_copies", "__mix_at", "__mix_before")
 
 
 def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_repeat: float = 2.0, schedules: Sequence[Sequence[float]] = SCHEDULES, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The training mix: each document as often as it is taken, sorted by its
     training time; the columns of ``docs`` only."""
-    _, plan = plan_mix(docs, weights, share, max_repeat, broadcast_sources)
-    m = mixed(docs, plan, place_hash(), schedules, broadcast_sources)
+    rows, plan = plan_mix(docs, weights, share, max_repeat, broadcast_sources)
+    # Equal rows have one place: each document meets one row, by its own hash.
+    places = rows.groupBy("source", "h").agg(F.min("__mix_before").alias("__mix_before"))
+    places = store(places.select(F.col("source").alias("__mix_from"), F.col("h").alias("__mix_key"), "__mix_before"), "mix-places")
+    keyed = docs.withColumn("__mix_own", place_hash())
+    keyed = keyed.join(places, (F.col("__mix_own") == F.col("__mix_key")) & F.col("source").eqNullSafe(F.col("__mix_from"))).drop("__mix_key", "__mix_from")
+    m = mixed(keyed, plan, F.col("__mix_own"), schedules, broadcast_sources)
     order = ["__mix_time", "__mix_order"]
     copies = m.select(*docs.columns, "__mix_order", F.explode("mix.times").alias("__mix_time"))
     return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

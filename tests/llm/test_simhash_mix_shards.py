@@ -177,6 +177,52 @@ def test_curriculum_follows_the_schedules(spark):
     assert order.columns == docs.columns and order.count() == pytest.approx(3000, abs=4)
 
 
+def time_plain(q, knots):
+    """Time at which the share q of a schedule's integral lies before, by halving."""
+    n = len(knots) - 1
+
+    def area(t):
+        k = min(int(t * n), n - 1)
+        x = t * n - k
+        whole = sum((a + b) / 2 for a, b in zip(knots[:k], knots[1:], strict=False))
+        return whole + knots[k] * x + (knots[k + 1] - knots[k]) * x * x / 2
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if area(mid) < q * area(1.0) else (lo, mid)
+    return lo
+
+
+def test_times_are_the_exact_inverse(spark):
+    """Also behind documents of very many words in a small source."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, prose(rng, 5000 if i % 50 == 0 else 20), "en", "small" if i % 6 == 0 else "large", 0) for i in range(600)], SCHEMA)
+    rows, plan = mixing.plan_mix(docs)
+    got = mixing.mixed(rows, plan, F.col("h")).collect()
+    for place, source in enumerate(["large", "small"]):
+        own = sorted((r for r in got if r["source"] == source), key=lambda r: r["h"] % (1 << 64))
+        before = 0
+        for r in own:
+            for copy, t in enumerate(r["mix"]["times"]):
+                q = min((before + copy * r["mix"]["source_size"]) / r["mix"]["target"], 1.0)
+                assert t == pytest.approx(time_plain(q, mixing.SCHEDULES[place]), abs=1e-6)
+            before += r["size"]
+    # The sorted copies are those of the rows, in the order of their times.
+    line = [r["doc_id"] for r in mixing.curriculum(docs).collect()]
+    times = sorted((t, r["doc_id"]) for r in got for t in r["mix"]["times"])
+    assert sorted(line) == sorted(d for _, d in times)
+    at = {}
+    for t, d in times:
+        at.setdefault(d, []).append(t)
+    seen, last = defaultdict(int), -1.0
+    for d in line:
+        t = at[d][seen[d]]
+        seen[d] += 1
+        assert t >= last - 1e-12
+        last = t
+
+
 def test_mix_of_no_documents(no_docs):
     rows, plan = mixing.plan_mix(no_docs)
     assert mixing.mixed(rows, plan, F.col("h")).count() == 0
