@@ -6,10 +6,13 @@ a pattern; one automaton over all patterns reads each normalised document
 once. Matches become word ranges and, through the word positions, character
 spans of the original text.
 
-The benchmark is the side that is broadcast. Its size is measured first: a
-larger one is cut into blocks of ``block_bytes`` by a hash of the item, each
-block has its own automaton, and the documents pass the blocks one after the
-other within the same map-only job, so nothing else changes.
+The benchmark is the side that is broadcast. What bounds an automaton is the
+length of its windows, about ``window`` times the text, and a node of it takes
+some 50 bytes: items whose windows come to more than ``block_bytes`` are cut
+into blocks by a hash of the item. Each block is a pass of its own over the
+documents, stored before the next: it broadcasts its items, keeps only the
+documents that it hits, and its automaton goes before the next one comes. An
+item is never cut; one alone beyond the bound is a block.
 
 Defined results: null and empty texts have no words, are never hit and, as
 items, hit nothing; a repeated item counts once; windows of an item without
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text
+from .common import as_text, store
 
 #: Fixed: what parts words after A-Z is lower-cased, and the same over the original text.
 _OTHER = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -101,22 +104,35 @@ def spans_of(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b][1]) for a, b in ranges]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "leak", block_bytes: int = 64 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "leak", block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with the struct ``out``: n_words, n_hit, items (sorted ids as
     strings), word ranges and character spans of the hits. Map-only over the
     documents; only their text crosses into Python."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text").cast("long") * window)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    found = docs
-    names = [f"__{out}_{i}" for i in range(blocks)]
-    for i, name in enumerate(names):
-        # One block at a time on the driver, of block_bytes by hash.
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i)
-        shared = spark.sparkContext.broadcast({"items": [(r["id"], r["text"]) for r in own.toLocalIterator()]})
-        found = found.withColumn(name, _scanner(shared, window)(F.col(text_col)))
-    return found.withColumn(out, F.col(names[0]) if blocks == 1 else F.pandas_udf(_combine, RESULT)(text_col, *names)).drop(*names)
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+
+    def shared(i: int):
+        # One block at a time on the driver.
+        own = items if blocks == 1 else items.where(part == i)
+        return spark.sparkContext.broadcast({"items": [(r["id"], r["text"]) for r in own.toLocalIterator()]})
+
+    if blocks == 1:
+        return docs.withColumn(out, _scanner(shared(0), window)(F.col(text_col)))
+    keyed = store(docs.withColumn("__leak_id", F.monotonically_increasing_id()), "leak-docs")
+    hits = None
+    for i in range(blocks):
+        block = shared(i)
+        found = keyed.select("__leak_id", _scanner(block, window)(F.col(text_col)).alias("l")).where("l.n_hit > 0")
+        found = store(found.select("__leak_id", "l.ranges", "l.items"), "leak-hits")
+        block.destroy()
+        hits = found if hits is None else hits.unionAll(found)
+    # At most a row per block and document.
+    hits = hits.groupBy("__leak_id").agg(F.flatten(F.collect_list("ranges")).alias("__ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+    joined = keyed.join(hits, "__leak_id", "left")
+    return joined.withColumn(out, F.pandas_udf(_together, RESULT)(text_col, "__ranges", "__items")).drop("__leak_id", "__ranges", "__items")
 
 
 def _scanner(shared, window: int):
@@ -145,10 +161,11 @@ def _row(text: str, n: int, ranges, items):
     )
 
 
-def _combine(texts: pd.Series, *blocks: pd.DataFrame) -> pd.DataFrame:
+def _together(texts: pd.Series, ranges: pd.Series, items: pd.Series) -> pd.DataFrame:
+    """What the blocks have found of each text."""
     rows = []
-    for i, t in enumerate(texts):
-        own = [b.iloc[i] for b in blocks]
-        ranges = merged((r["first"], r["last"]) for o in own for r in o["ranges"])
-        rows.append(_row(as_text(t), int(own[0]["n_words"]), ranges, {x for o in own for x in o["items"]}))
+    for t, own, ids in zip(texts, ranges, items, strict=True):
+        text = as_text(t)
+        own = [] if own is None else merged((r["first"], r["last"]) for r in own)
+        rows.append(_row(text, len(words_of(text)), own, [] if ids is None else ids))
     return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "ranges", "spans"])
