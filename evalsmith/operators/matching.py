@@ -205,6 +205,40 @@ def label_pairs(pairs: DataFrame, threshold: float, a: str = "text_a", b: str =
     return scored.withColumn("score", score).withColumn("label", similarity_label("score", threshold))
 
 
+# -- J5: all pairs of a case ------------------------------------------------------
+
+
+def action_classes(items: DataFrame, keys: Sequence[str], idx: str = "idx", text: str = "text") -> DataFrame:
+    """(keys, idx, tok, n, members): the actions of a case with equal token
+    sets as one row, named by the first of them; ``members`` are all."""
+    own = tokenize(items, text).select(*keys, idx, F.array_sort("tok").alias("tok"))
+    return own.groupBy(*keys, "tok").agg(F.min(idx).alias(idx), F.count("*").alias("n"), F.array_sort(F.collect_list(idx)).alias("members"))
+
+
+def case_pairs(generated: DataFrame, reference: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """J5 + F10 over every generated x reference pair of a case, factored:
+    (keys, g, r, n_pairs, forward, backward, score, label).
+
+    A row stands for all pairs of two classes (``action_classes``) that share a
+    token, g and r being the first of each. Pairs without a common token score
+    0 whatever they are; they aren't listed but counted, in one row a case with
+    null g and r. ``n_pairs`` of a case sum up to |generated| x |reference|."""
+    keys = list(keys)
+    left, right = (store(action_classes(x, keys).drop("members"), "pair-classes") for x in (generated, reference))
+    # A prefix of all tokens: whatever shares one is a candidate.
+    linked = overlap_candidates(left, right, keys, 1e-6)
+    pairs = linked.join(left.select(*keys, F.col("idx").alias("a"), F.col("tok").alias("tok_a"), F.col("n").alias("n_a")), [*keys, "a"])
+    pairs = pairs.join(right.select(*keys, F.col("idx").alias("b"), F.col("tok").alias("tok_b"), F.col("n").alias("n_b")), [*keys, "b"])
+    listed = token_pair_scores(pairs).select(*keys, F.col("a").alias("g"), F.col("b").alias("r"), (F.col("n_a") * F.col("n_b")).alias("n_pairs"), "forward", "backward", "score")
+    listed = store(listed, "pair-listed")
+    total = lambda side, name: side.groupBy(*keys).agg(F.sum("n").alias(name))
+    left_over = total(left, "_g").join(total(right, "_r"), keys).join(listed.groupBy(*keys).agg(F.sum("n_pairs").alias("_n")), keys, "left")
+    left_over = left_over.select(*keys, (F.col("_g") * F.col("_r") - F.coalesce("_n", F.lit(0))).alias("n_pairs")).where("n_pairs > 0")
+    zero = [F.lit(0.0).alias(c) for c in ("forward", "backward", "score")]
+    nothing = left_over.select(*keys, F.lit(None).cast("int").alias("g"), F.lit(None).cast("int").alias("r"), "n_pairs", *zero)
+    return listed.unionByName(nothing).withColumn("label", similarity_label("score", threshold))
+
+
 # -- T2: greedy matching --------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ from ..operators.diagnostics import diagnose, rescore_saved
 from ..sources.readers import read_matched_pairs, read_predictions
 from ..operators.matching import (
     attach_texts,
+    case_pairs,
     explode_actions,
     greedy_pairs,
     keep_first_distinct_rows,
@@ -95,6 +96,14 @@ def bidirectional_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncate_floats(out, 6)
 
 
+def within_case_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 + F10: every generated x reference pair of a case with its label,
+    factored by classes of equal token sets; pairs without a common token as
+    one counted row a case."""
+    gen, ref = _exploded(action_cases(spark, sf_dir))
+    return truncate_floats(case_pairs(gen, ref, KEYS, THRESHOLD), 6)
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = materialize(action_cases(spark, sf_dir))
     gen, ref = _exploded(cases)
@@ -178,6 +187,7 @@ def semantic_dedup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "action_pairs": action_pairs,
     "bidirectional_similarity": bidirectional_similarity,
+    "within_case_pairs": within_case_pairs,
     "greedy_match": greedy_match_table,
     "action_summary": action_summary_table,
     "diagnose": diagnose_table,
@@ -267,6 +277,18 @@ def _bidir_sql() -> str:
     )
 
 
+def _case_pairs_sql() -> str:
+    return f"""WITH {_cases_sql()}, linked AS (
+  SELECT case_id, model_name, list_sort(ta) AS ca, list_sort(tb) AS cb, min(g) AS g, min(r) AS r, count(*) AS n_pairs, min(forward) AS forward, min(backward) AS backward, min(score) AS score
+  FROM scored WHERE overlap > 0 GROUP BY ALL
+), apart AS (
+  SELECT case_id, model_name, count(*) AS n_pairs FROM scored WHERE overlap = 0 GROUP BY ALL
+)
+SELECT case_id, model_name, CAST(g AS INTEGER) AS g, CAST(r AS INTEGER) AS r, n_pairs, {_t6('forward')} AS forward, {_t6('backward')} AS backward, {_t6('score')} AS score,
+  CASE WHEN score >= {THRESHOLD} THEN 'same' ELSE 'different' END AS label FROM linked
+UNION ALL SELECT case_id, model_name, NULL, NULL, n_pairs, 0.0, 0.0, 0.0, 'different' FROM apart"""
+
+
 def _match_sql() -> str:
     init = "{'ug': []::INTEGER[], 'ur': []::INTEGER[], 'm': []::STRUCT(g INTEGER, r INTEGER, score DOUBLE)[]}"
     step = (
@@ -423,6 +445,7 @@ def oracles() -> dict[str, str]:
         "rescore_saved": _rescore_sql(),
         "action_pairs": _action_pairs_sql(),
         "bidirectional_similarity": _bidir_sql(),
+        "within_case_pairs": _case_pairs_sql(),
         "greedy_match": _greedy_sql(),
         "action_summary": _summary_sql(),
         "diagnose": _diagnose_sql(),

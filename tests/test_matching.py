@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalsmith.operators.diagnostics import rescore_saved
 from evalsmith.operators.matching import (
+    case_pairs,
     explode_actions,
     greedy_match,
     match_metrics,
@@ -15,6 +16,7 @@ from evalsmith.operators.matching import (
     semantic_dedup,
     tokenize,
 )
+from evalsmith.operators.settle import settle
 
 
 def py_greedy(edges, t):
@@ -241,3 +243,51 @@ def test_label_action_pairs_scores_long_actions(spark, tmpdir_path):
     pairs = spark.createDataFrame([("a b", "a b"), ("a b", "fails"), ("a", long), ("", "fails")], "text_a string, text_b string")
     labels = {(r["text_a"], r["text_b"]): r["label"] for r in label_pairs(pairs, 0.5, scorer=failing).collect()}
     assert labels == {("a b", "a b"): "same", ("a b", "fails"): "unknown", ("a", long): "different", ("", "fails"): "different"}
+
+
+def test_long_chain_in_one_case(spark):
+    """One case, every decision waiting for the one before."""
+    n = 200_000
+    items = spark.range(n).selectExpr("'k' AS case_id", "cast(id AS int) AS idx", "'t' AS text")
+    edges = spark.range(n - 1).selectExpr("'k' AS case_id", "cast(id AS int) AS a", "cast(id + 1 AS int) AS b")
+    out = semantic_dedup(items, ["case_id"], 0.5, edges=edges)
+    wrong = out.where((F.col("status") == "kept") != (F.col("idx") % 2 == 0))
+    assert wrong.count() == 0 and "MapInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_settle_against_the_scan(spark):
+    """Random systems with both signs, of nulls among the keys, also when rounds run out."""
+    rng = random.Random(17)
+    rows, truth = [], {}
+    for case in [None, "a", "b", "c"]:
+        value = {}
+        for v in range(60):
+            own = {(rng.randrange(v), rng.random() < 0.5) for _ in range(rng.randrange(4))} if v else set()
+            value[v] = not any(value[t] != negated for t, negated in own)
+            rows.append((case, v, None, False))
+            rows += [(case, v, t, negated) for t, negated in own]
+        truth |= {(case, v): x for v, x in value.items()}
+    literals = spark.createDataFrame(rows, "case_id string, v long, t long, negated boolean")
+    values, left = settle(literals, ["case_id"])
+    assert left is None and {(r["case_id"], r["v"]): r["value"] for r in values.collect()} == truth
+    values, left = settle(literals, ["case_id"], rounds=2)
+    some = {(r["case_id"], r["v"]): r["value"] for r in values.collect()}
+    assert some.items() <= truth.items() and {(r["case_id"], r["v"]) for r in left.collect()} == truth.keys() - some.keys()
+
+
+def test_case_pairs_are_all_pairs(spark):
+    rng = random.Random(21)
+    words = ["a", "b", "c", "d", "e", "!!", "A"]
+    lists = {c: [[" ".join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(7))] for _ in range(2)] for c in ("x", "y", "z", "w")}
+    side = lambda k: spark.createDataFrame([(c, i, t) for c, both in lists.items() for i, t in enumerate(both[k])], "case_id string, idx int, text string")
+    got = case_pairs(side(0), side(1), ["case_id"], 0.5).collect()
+    for c, (gen, ref) in lists.items():
+        own = [r for r in got if r["case_id"] == c]
+        assert sum(r["n_pairs"] for r in own) == len(gen) * len(ref)
+        score = lambda x, y: min(len(x & y) / len(x), len(x & y) / len(y)) if x and y else 0.0
+        every = [score(_toks(g), _toks(r)) for g in gen for r in ref]
+        for label, n in (("same", sum(x >= 0.5 for x in every)), ("different", sum(x < 0.5 for x in every))):
+            assert sum(r["n_pairs"] for r in own if r["label"] == label) == n
+        for r in own:
+            if r["g"] is not None:
+                assert r["score"] == pytest.approx(score(_toks(gen[r["g"]]), _toks(ref[r["r"]]))) and _toks(gen[r["g"]]) & _toks(ref[r["r"]])
