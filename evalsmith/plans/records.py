@@ -14,13 +14,14 @@ from ..operators import prompts
 from ..operators.cases import guideline_header, record_status, select_index_range
 from ..operators.decisions import POLICY_VERSION, audit_log, decide
 from ..operators.diagnostics import DIAGNOSTIC_COLUMNS, diagnose, diagnostic_projection
+from ..operators.inference import attach_responses
 from ..operators.matching import label_pairs, token_pair_scores
 from ..operators.metrics import abstaining_binary_metrics, truncate_floats
 from ..operators.rules import explode_rules, extraction_method_counts, vignettes_from_replies
 from ..operators.sessions import FOLLOW_UP_SENTENCE, follow_up_prompt, query_text, question_from, variable_text
 from ..operators.terms import distinct_sorted_terms, explode_terms, extract_mesh_terms, term_category_map
 from ..session import table
-from ..sources.qa import adapt_medqa, decode_legacy_knowledge, prepare_qa_items
+from ..sources.qa import adapt_medqa, decode_legacy_knowledge, first_n, prepare_qa_items
 from . import actions, decisions, generation, guidelines, judging
 from .common import hex_digit, key_text, sql_hex_digit
 
@@ -42,6 +43,21 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attached_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn with the reply that follows it, by key; turns
+    without one stay, with a null reply and so the abstaining label."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    cases = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("raw_output"))
+    out = attach_responses(cases, replies, ["conv_id", "turn"], how="left")
+    return out.select("conv_id", "turn", F.length("question").alias("question_chars"), "raw_output", guideline_reply_label("raw_output").alias("label"))
+
+
+def first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred documents by id."""
+    return first_n(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 100, "doc_id")
+
+
 def label_action_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10 + J7 on given rows: each generated action with the reference action
     of its place, texts of any length."""
@@ -348,7 +364,7 @@ def _prompt_set_sql() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_labels, label_action_pairs, knowledge_items, medqa_rows, knowledge_terms, term_map, log_texts, diagnostics_table, vignette_replies,
+        text_labels, attached_replies, first_documents, label_action_pairs, knowledge_items, medqa_rows, knowledge_terms, term_map, log_texts, diagnostics_table, vignette_replies,
         record_headers, record_rules, extraction_methods, judge_metrics_by_kind, audit_rows, prompt_set,
     )
 }
@@ -361,6 +377,8 @@ def oracles() -> dict[str, str]:
     digit = sql_hex_digit("CAST(doc_id AS VARCHAR) || ':m'", 1)
     return {
         "text_labels": f"SELECT case_id, {judging._sql_qa_label('text')} AS qa_label, {judging._sql_guideline_label('text')} AS guideline_label, {generation._vote_sql('text')} AS vote FROM {_TURNS_SQL}",
+        "attached_replies": f"SELECT c.conv_id, c.turn, length(c.text) AS question_chars, r.text AS raw_output, {judging._sql_guideline_label('r.text')} AS label FROM conversations c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant' WHERE c.role = 'user'",
+        "first_documents": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100",
         "label_action_pairs": _label_pairs_sql(),
         "knowledge_items": "SELECT CAST(doc_id AS VARCHAR) AS question, coalesce(text, '') AS knowledge_text, 1 AS n_knowledge, lang AS ground_truth, source AS least_similar_answer, 'easy' AS final_difficulty_level FROM documents",
         "medqa_rows": _medqa_sql(),
