@@ -33,7 +33,7 @@ matches, the matches are replaced, and the parts joined again.
 Defined results: a value that fails its check (a 16-digit number that isn't a
 card's, 31 February) stays as it is; a null text stays null; an empty text
 stays empty; texts are read whole; repeated rows change alike; columns named
-like the results are replaced. A permutation may map a value to itself, as
+like the results are replaced; an empty table gives an empty one. A permutation may map a value to itself, as
 often as chance has it (one date in 73,049).
 """
 

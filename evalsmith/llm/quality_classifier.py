@@ -17,7 +17,8 @@ bounds what reaches the driver and what is broadcast.
 Defined results: null and empty texts have the constant only, and so a score;
 a document labelled several times has the mean label; a null label or id is
 no label; repeated rows score alike; texts are read whole; without labels
-every score is 0.5. Columns named like the results are replaced.
+every score is 0.5. Columns named like the results are replaced. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

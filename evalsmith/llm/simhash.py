@@ -19,7 +19,8 @@ members hash into chunks and every pair of chunks meets in one task.
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; fewer words than the shingle length make one shingle; repeated rows
-have equal results; a component's id is its smallest doc_id (null only if all
+have equal results; texts of any length are hashed whole, a part at a time;
+columns of the documents named like the results take no part; a component's id is its smallest doc_id (null only if all
 are null); empty tables give empty results.
 """
 

@@ -16,7 +16,8 @@ broadcast.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; a special
 token's string inside a text is one token, as in the library's default; texts
-of any length are counted whole.
+of any length are counted whole; repeated rows count alike; a column named like
+the result is replaced, others take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations

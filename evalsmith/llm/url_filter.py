@@ -15,7 +15,9 @@ the longest rule.
 
 Defined results: a null URL or one without ``://`` has empty host and path
 and gets the default; a rule with an empty host fits nothing; repeated rules
-and rows are harmless; without rules all URLs get the default.
+and rows are harmless; very long URLs are read whole; columns named like the
+result are replaced; without rules all URLs get the default; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
