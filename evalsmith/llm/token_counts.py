@@ -58,6 +58,7 @@ def load_vocabulary(path: str) -> dict:
         raise ValueError(f"{path} has {size} bytes; a vocabulary of over {MAX_VOCABULARY_BYTES} isn't broadcast")
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _built(path, spec)
     vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
     hidden = [b for b in range(256) if b not in set(_SHOWN)]
     char = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -74,6 +75,20 @@ def load_vocabulary(path: str) -> dict:
     }
 
 
+def _built(path: str, spec: dict) -> None:
+    """Raises on a file that asks for more than is built here: it would be
+    counted wrongly."""
+    cut = spec.get("pre_tokenizer") or {}
+    asked = {k: spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    asked |= {"normalizer": spec.get("normalizer"), "add_prefix_space": cut.get("add_prefix_space", True), "use_regex": not cut.get("use_regex", True)}
+    asked |= {f"{k} of {t['content']}": t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")}
+    found = [k for k, v in asked.items() if v]
+    if spec["model"].get("type", "BPE") != "BPE" or cut.get("type") != "ByteLevel":
+        found.append("another model or pre-tokenizer than byte-level BPE")
+    if found:
+        raise ValueError(f"{path} asks for what isn't built: {', '.join(found)}")
+
+
 class Merger:
     """Merges ragged batches of byte sequences by the tables of a vocabulary."""
 
