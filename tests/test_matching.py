@@ -247,7 +247,7 @@ def test_label_action_pairs_scores_long_actions(spark, tmpdir_path):
 
 def test_long_chain_in_one_case(spark):
     """One case, every decision waiting for the one before."""
-    n = 200_000
+    n = 100_000
     items = spark.range(n).selectExpr("'k' AS case_id", "cast(id AS int) AS idx", "'t' AS text")
     edges = spark.range(n - 1).selectExpr("'k' AS case_id", "cast(id AS int) AS a", "cast(id + 1 AS int) AS b")
     out = semantic_dedup(items, ["case_id"], 0.5, edges=edges)
