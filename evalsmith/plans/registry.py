@@ -14,6 +14,7 @@ _MODULES = [
     "terms",
     "generation",
     "records",
+    "vectors",
 ]
 
 

@@ -9,8 +9,8 @@ from evalsmith.operators.rules import explode_rules, extraction_method_counts
 from evalsmith.plans import registry
 
 SMOKE = "/root/testdata/sf0.001"
-# Model calls, and the ordered pass over what parallel rounds leave.
-PYTHON_ALLOWED = {"score_batches", "refine_rounds"}
+# Model calls, vector blocks, and the ordered pass over what parallel rounds leave.
+PYTHON_ALLOWED = {"score_batches", "refine_rounds", "nearest_vectors", "nearest_recall"}
 ORDERED_PASS = {"greedy_match", "action_summary", "diagnose", "diagnostics_table", "rescore_saved", "semantic_dedup"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
