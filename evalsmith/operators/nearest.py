@@ -89,15 +89,17 @@ def fit_cells(rows: DataFrame, id_col: str, vec: str, dims: int, k: int = 10, re
     """Cells and probes for ``rows``; None (the exact route) without a usable row.
 
     There are about as many cells as the square root of the rows, at most
-    ``MAX_CELLS`` and an eighth of the sample. Only the sample reaches the driver."""
+    ``MAX_CELLS`` and a sixteenth of the sample: half of it fits the cells, the other the probes. Only the sample reaches the driver."""
     good = rows.where(usable(vec, dims))
     sample = good.select(id_col, vec).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).collect()
     if not sample:
         return None
     m = _matrix([r[1] for r in sample])
-    n = max(1, min(int(good.count() ** 0.5), MAX_CELLS, len(m) // 8))
-    centroids = _centroids(_unit(m), n, rounds)
-    return Cells(centroids, _fewest_probes(m, centroids, k, recall, scale))
+    # Probes are read off rows that the centroids have not seen, as most rows are.
+    seen, unseen = (m[::2], m[1::2]) if len(m) > 16 else (m, m)
+    n = max(1, min(int(good.count() ** 0.5), MAX_CELLS, len(seen) // 8))
+    centroids = _centroids(_unit(seen), n, rounds)
+    return Cells(centroids, _fewest_probes(unseen, centroids, k, recall, scale))
 
 
 def with_cells(rows: DataFrame, vec: str, cells: Cells | None, n: int = 1, out: str = "cell") -> DataFrame:
