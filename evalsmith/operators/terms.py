@@ -9,11 +9,14 @@ map-side and never gathered into one list.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col_of, py_strip
+from ..session import store
 from .joins import join_facts
 
 # ---------------------------------------------------------------------------
@@ -133,14 +136,28 @@ def term_frequency(terms: DataFrame, term: str = "term") -> DataFrame:
 
 def term_category_map(rows: DataFrame, row_no: str = "row_no", meshes: str = "meshes", categories: str = "categories") -> DataFrame:
     """A10: term -> category from (terms, categories) rows paired by position,
-    cut to the shorter list; the last row (then last position) wins."""
+    cut to the shorter list; the last row (then last position) wins.
+
+    Where ``row_no`` is a whole number, a term's last place is one number and
+    its category is told by its hash: both fit a hash aggregation, which takes
+    repeats in before anything is sorted or spilled. The distinct categories
+    are looked up by hash afterwards."""
     terms = F.split(F.col(meshes), "; ")
     n = F.least(F.size(terms), F.size(F.col(categories)))
     z = F.arrays_zip(F.slice(terms, 1, n).alias("t"), F.slice(F.col(categories), 1, n).alias("c"))
+    term = py_strip(F.col("tc.t")).alias("term")
+    if isinstance(rows.schema[row_no].dataType, T.IntegralType):
+        names = rows.select(F.explode(F.array_distinct(F.col(categories))).alias("_c")).where("_c IS NOT NULL").distinct()
+        names = store(names.select(F.xxhash64("_c").alias("_code"), py_strip("_c").alias("category")), "category-names")
+        if names.groupBy("_code").count().where("count > 1").isEmpty():
+            # A row without a number comes before all others.
+            number = F.coalesce(F.col(row_no).cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)))
+            ex = rows.select((number * F.lit(Decimal(1 << 31))).alias("_row"), F.posexplode(z).alias("pos", "tc"))
+            code = F.when(F.col("tc.c").isNotNull(), F.xxhash64("tc.c"))
+            last = ex.groupBy(term).agg(F.max_by(code, F.col("_row") + F.col("pos")).alias("_code"))
+            return join_facts(last, names, ["_code"], F.col("term"), how="left").select("term", "category")
     ex = rows.select(row_no, F.posexplode(z).alias("pos", "tc"))
-    return ex.groupBy(py_strip(F.col("tc.t")).alias("term")).agg(
-        F.max_by(py_strip(F.col("tc.c")), F.struct(F.col(row_no), F.col("pos"))).alias("category")
-    )
+    return ex.groupBy(term).agg(F.max_by(py_strip(F.col("tc.c")), F.struct(F.col(row_no), F.col("pos"))).alias("category"))
 
 
 def category_by_weight(weighted: DataFrame, keys: Sequence[str], category: str = "category", weight: str = "weight", pos: str = "pos") -> DataFrame:

@@ -200,3 +200,20 @@ def test_decode_legacy_knowledge_long_text(spark):
     rows[1] = ("{'contexts': ['" + "\\'" * 300 + "']}", "'" * 300)
     df = spark.createDataFrame(rows, "k string, want string")
     assert all(r[0] == r[1] for r in df.select(decode_legacy_knowledge("k"), "want").collect())
+
+
+def test_term_category_map_keeps_no_text_in_the_sort(spark):
+    """A10 in one hash aggregation; nulls, blanks and unnumbered rows as in the
+    plain form, which text row numbers still take."""
+    from evalsmith.operators.terms import term_category_map
+
+    rows = [
+        (2, "a; b; a", ["x", " y", "z "]), (1, "a; c; d", ["p", "q"]), (None, "b; e", ["null", "n"]),
+        (3, "c; f", [None, "last"]), (-5, "g; g", ["first", "second"]), (9, "h", None), (4, "d;i; j ", ["u", " "]),
+    ]
+    want = {"a": "z", "b": "y", "c": None, "e": "n", "f": "last", "g": "second", "d;i": "u", "j": ""}
+    for kind in ("int", "long", "string"):
+        own = [(None if r is None else str(10 + r) if kind == "string" else r, m, c) for r, m, c in rows]
+        out = term_category_map(spark.createDataFrame(own, f"row_no {kind}, meshes string, categories array<string>"))
+        assert {r["term"]: r["category"] for r in out.collect()} == want
+        assert ("SortAggregate" in out._jdf.queryExecution().executedPlan().toString()) == (kind == "string")
